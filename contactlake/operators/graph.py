@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contactlake.functions import urls as U
 from contactlake.operators.firsts import first_per_key
 from contactlake.operators.joins import salted_lookup
+from contactlake.operators.ordering import running
 from contactlake.session import ensure_checkpoint_dir
 
 
@@ -68,7 +69,7 @@ def crawl_frontier(
     )
     order = Window.partitionBy("site").orderBy(F.col("priority").desc(), "depth", "url")
     if max_pages is None:
-        return ranked
+        return running(ranked, ["site"], [F.col("priority").desc(), F.col("depth"), F.col("url")], row_number="visit_rank")
     # The page cap is the feature; Spark cuts each task to the cap before the shuffle.
     return ranked.withColumn("visit_rank", F.row_number().over(order)).where(F.col("visit_rank") <= max_pages)
 
