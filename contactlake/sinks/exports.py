@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,19 +177,22 @@ def export_contacts(
     """Filter, segment, project, write, and log the export; returns the audit row."""
     if format not in WRITERS:
         raise ValueError(f"unknown format: {format}")
-    rows = export_selection(contacts, segment, suppressed)
+    # Counted while written, so the selection runs once.
+    seen = Observation()
+    rows = export_selection(contacts, segment, suppressed).observe(seen, F.count(F.lit(1)).alias("n"))
     WRITERS[format](rows, path, fields, mode)
     prefix, _ = datasets.segment_meta(segment)
     name = path.rstrip("/").rsplit("/", 1)[-1] or f"{prefix}.{format}"
-    audit = rows.agg(F.count("*").alias("record_count")).select(
+    spark = contacts.sparkSession
+    audit = spark.range(1).select(
         F.concat(F.lit("exp_"), F.expr("uuid()")).alias("id"),
         F.lit(user).alias("user_id"), F.lit(role).alias("user_role"), F.current_timestamp().alias("timestamp"),
-        F.lit(format).alias("format"), "record_count", F.lit(client_ip).alias("client_ip"),
+        F.lit(format).alias("format"), F.lit(seen.get["n"]).cast("bigint").alias("record_count"), F.lit(client_ip).alias("client_ip"),
         F.array(*[F.lit(f) for f in fields]).alias("exported_fields") if fields else F.lit(None).cast("array<string>").alias("exported_fields"),
         F.lit(segment).alias("export_segment"), F.lit(name).alias("filename"),
         F.lit(suppressed is not None).alias("filter_suppressed"),
     )
     if audit_path:
         privacy.export_audit_append(audit, audit_path)
-        return contacts.sparkSession.read.parquet(audit_path)
+        return spark.read.parquet(audit_path)
     return audit
