@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlake.functions import addresses as A
+from contactlake.functions.text import strip_ws
 from contactlake.operators import deliverability as M
 from contactlake.operators import validation as V
+from contactlake.operators.extraction import extract_contact_records, unique_contacts
 from contactlake.operators.joins import salted_lookup
+from contactlake.operators.policy import url_safety
+from contactlake.operators.privacy import redact_snippets
+from contactlake.operators.suppression import check_suppression
 
 
 def validate_contacts(
@@ -42,3 +47,43 @@ def validate_contacts(
         )
         .drop("mx_hosts", "hostname", "priority", "ip", "isp", "asn", "country", "city", "has_mx", "has_a")
     )
+
+
+def extraction_post_process(
+    records: DataFrame, suppression: DataFrame, max_chars: int = 150, strip: bool = False, redact: bool = True
+) -> DataFrame:
+    """Attach the suppression verdict and the redacted snippet to every record."""
+    return redact_snippets(check_suppression(records, suppression), "context_snippet", max_chars, strip, redact).drop(
+        "matched_type", "matched_value"
+    )
+
+
+def scrape_batch(pages: DataFrame, urls: DataFrame, discovered_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(outcome per requested URL, contacts first seen): ``urls(url, ord)``.
+
+    A URL counts as failed when it is empty, not http(s), unsafe, or absent
+    from the snapshot.
+    """
+    asked = urls.select("ord", strip_ws(F.coalesce("url", F.lit(""))).alias("url"))
+    judged = url_safety(asked).withColumn(
+        "error",
+        F.when(F.length("url") == 0, "Empty or invalid URL string")
+        .when(~F.col("url").rlike("^https?://"), "Invalid protocol. Only http: and https: are allowed.")
+        .when(~F.col("safe"), F.concat(F.lit("URL rejected: "), F.col("unsafe_reason"))),
+    )
+    wanted = judged.where(F.col("error").isNull()).select("url").distinct()
+    hit_pages = pages.join(wanted, "url", "left_semi")
+    records = extract_contact_records(hit_pages, discovered_at=discovered_at)
+    counts = hit_pages.select("url").distinct().join(
+        records.groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n")), "url", "left"
+    ).select("url", F.coalesce("n", F.lit(0)).alias("n"))
+    # A URL may be requested many times: its rows are spread over salts.
+    outcome = salted_lookup(judged, counts, "url", "ord").select(
+        "ord", "url",
+        (F.col("error").isNull() & F.col("n").isNotNull()).alias("success"),
+        F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).alias("email_count"),
+        F.coalesce("error", F.when(F.col("n").isNull(), "Page not in snapshot")).alias("error"),
+    )
+    first_ask = judged.where(F.col("error").isNull()).groupBy("url").agg(F.min("ord").alias("visit"))
+    visited = records.join(first_ask.withColumnRenamed("url", "source_url"), "source_url")
+    return outcome, unique_contacts(visited, ["visit", "ord"])
