@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ WORD_END = f"(?!{_W})"
 BOUNDARY = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it any number of times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse_ws(c: Column) -> Column:
     return F.regexp_replace(c, WS + "+", " ")
 
@@ -27,7 +34,7 @@ def strip_ws(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(F.length(c) > 0, c)
+    return F.nullif(c, F.lit(""))
 
 
 def may_contain_address(c: Column) -> Column:
@@ -44,12 +51,13 @@ def may_contain_address(c: Column) -> Column:
 
 def _percent_decode(c: Column) -> Column:
     # All or nothing: one malformed escape leaves only the two address escapes decoded.
-    whole = F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-    bad = F.contains(whole, F.lit("�")) & ~F.contains(c, F.lit("�"))
-    partial = F.regexp_replace(F.regexp_replace(c, "%40", "@"), "(?i)%2e", ".")
-    return F.when(~F.contains(c, F.lit("%")), c).otherwise(
-        F.coalesce(F.when(~bad, whole), partial)
+    marker = F.lit("\ufffd")
+    whole = let(
+        F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))),
+        lambda w: F.when(~F.contains(w, marker) | F.contains(c, marker), w),
     )
+    partial = F.regexp_replace(F.regexp_replace(c, "%40", "@"), "(?i)%2e", ".")
+    return F.when(~F.contains(c, F.lit("%")), c).otherwise(F.coalesce(whole, partial))
 
 
 def _code_unit(n: Column) -> Column:
@@ -121,17 +129,19 @@ def strip_markup(html: Column) -> Column:
 
 def snippet(text: Column, needle: Column, radius: int = 50) -> Column:
     """Text around the first case-insensitive occurrence; '' when absent."""
-    at = F.position(F.lower(needle), F.lower(text))
-    start = F.greatest(F.lit(1), at - F.lit(radius))
-    stop = F.least(F.length(text), at + F.length(needle) - F.lit(1) + F.lit(radius))
-    body = strip_ws(collapse_ws(F.substring(text, start, stop - start + 1)))
-    return F.when(at == 0, F.lit("")).otherwise(
-        F.concat(
-            F.when(start > 1, F.lit("...")).otherwise(F.lit("")),
-            body,
-            F.when(stop < F.length(text), F.lit("...")).otherwise(F.lit("")),
+
+    def cut(at: Column) -> Column:
+        start = F.greatest(F.lit(1), at - F.lit(radius))
+        stop = F.least(F.length(text), at + F.length(needle) - F.lit(1) + F.lit(radius))
+        return F.when(at == 0, F.lit("")).otherwise(
+            F.concat(
+                F.when(start > 1, F.lit("...")).otherwise(F.lit("")),
+                strip_ws(collapse_ws(F.substring(text, start, stop - start + 1))),
+                F.when(stop < F.length(text), F.lit("...")).otherwise(F.lit("")),
+            )
         )
-    )
+
+    return let(F.position(F.lower(needle), F.lower(text)), cut)
 
 
 def phones(html: Column) -> Column:
@@ -156,7 +166,7 @@ def phones_strict(html: Column) -> Column:
     whole = F.transform(
         F.regexp_extract_all(html, F.lit(r"[+(]?\d[\d\-. ()]*"), F.lit(0)), strip_ws
     )
-    return F.filter(phones(html), lambda p: F.exists(whole, lambda w: w == p))
+    return let(whole, lambda ws: F.filter(phones(html), lambda p: F.array_contains(ws, p)))
 
 
 def socials(html: Column) -> Column:
@@ -174,14 +184,13 @@ def job_title(text: Column) -> Column:
     """First title pattern found, in priority order; short ones upper-cased."""
     clean = F.regexp_replace(text, r"""(?i)https?://[^\s"'<>]+""", " ")
     clean = collapse_ws(F.regexp_replace(clean, "<[^>]+>", " "))
-    # One alternation scan decides whether any pattern can match at all.
+    # Most texts hold no title word at all: one scan spares them the fifteen.
     any_title = "|".join(f"(?:{p})" for p in K.TITLE_PATTERNS)
-    hits = [
-        blank_to_null(F.regexp_extract(clean, f"(?i){WORD_START}{p}{WORD_END}", 0))
-        for p in K.TITLE_PATTERNS
-    ]
-    best = F.coalesce(*hits)
-    return F.when(
-        text.rlike(f"(?i){any_title}"),
-        F.when(F.length(best) <= 3, F.upper(best)).otherwise(best),
-    )
+
+    def first_hit(t: Column) -> Column:
+        return F.coalesce(
+            *[blank_to_null(F.regexp_extract(t, f"(?i){WORD_START}{p}{WORD_END}", 0)) for p in K.TITLE_PATTERNS]
+        )
+
+    shout = lambda m: F.when(F.length(m) <= 3, F.upper(m)).otherwise(m)
+    return F.when(text.rlike(f"(?i){any_title}"), let(let(clean, first_hit), shout))

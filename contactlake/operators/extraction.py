@@ -59,8 +59,10 @@ def extract_phones(df: DataFrame, id_col: str, col: str = "html", strict: bool =
 
 def contact_phone(phones: Column, context: Column) -> Column:
     """Phone printed next to the address, else the first of the page."""
-    near = F.filter(phones, lambda p: F.contains(context, p))
-    return F.coalesce(F.get(near, F.lit(0)), F.get(phones, F.lit(0)))
+    return T.let(
+        phones,
+        lambda ps: F.coalesce(F.get(F.filter(ps, lambda p: F.contains(context, p)), F.lit(0)), F.get(ps, F.lit(0))),
+    )
 
 
 def extract_socials(df: DataFrame, col: str = "html") -> DataFrame:
@@ -149,14 +151,15 @@ def extract_contact_records(
         "page_id", "source_url", "depth", "__html", "__title",
         F.posexplode_outer(F.transform(everything, hit)).alias("ord", "hit"),
     ).where(F.col("hit").isNotNull())
-    e, ctx, page = F.col("hit.email"), F.col("hit.context"), F.col("__html")
+    hits = hits.withColumn("__role", A.is_role_address(F.col("hit.email")))
+    e, ctx, page, role = F.col("hit.email"), F.col("hit.context"), F.col("__html"), F.col("__role")
     return hits.select(
         "page_id",
         "ord",
         e.alias("email"),
         A.part(e, 1).alias("domain"),
-        F.when(A.is_role_address(e), "role").otherwise("personal").alias("type"),
-        F.when(~A.is_role_address(e), A.infer_name(e)).alias("name"),
+        F.when(role, "role").otherwise("personal").alias("type"),
+        F.when(~role, A.infer_name(e)).alias("name"),
         F.coalesce(T.job_title(ctx), T.job_title(page)).alias("job_title"),
         contact_phone(T.phones(page), ctx).alias("phone"),
         T.socials(page).alias("socials"),

@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture on every Column call doubles the time to build long expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
