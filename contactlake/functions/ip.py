@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactlake import constants as K
+from contactlake.functions.text import let
 
 _MAX = 0xFFFFFFFF
 
@@ -33,35 +34,39 @@ def bare_host(host: Column) -> Column:
 
 def mapped_ipv4(host: Column) -> Column:
     """Dotted or numeric IPv4 inside ::ffff:..., else null."""
-    rest = F.regexp_extract(host, "^::ffff:(.+)$", 1)
-    hi, lo = F.regexp_extract(rest, "^([0-9a-f]{1,4}):", 1), F.regexp_extract(rest, ":([0-9a-f]{1,4})$", 1)
-    pair = (_radix(hi, 16) * 65536 + _radix(lo, 16)).cast("string")
-    single = _radix(rest, 16).cast("string")
-    return (
-        F.when(F.length(rest) == 0, F.lit(None).cast("string"))
-        .when(rest.contains("."), rest)
-        .when(rest.rlike("^[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), pair)
-        .when(rest.rlike("^[0-9a-f]{1,8}$"), single)
-    )
+
+    def read(rest: Column) -> Column:
+        hi, lo = F.regexp_extract(rest, "^([0-9a-f]{1,4}):", 1), F.regexp_extract(rest, ":([0-9a-f]{1,4})$", 1)
+        pair = (_radix(hi, 16) * 65536 + _radix(lo, 16)).cast("string")
+        return (
+            F.when(rest.contains("."), rest)
+            .when(rest.rlike("^[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), pair)
+            .when(rest.rlike("^[0-9a-f]{1,8}$"), _radix(rest, 16).cast("string"))
+        )
+
+    return F.when(host.startswith("::ffff:"), let(F.substring(host, 8, 1000), read))
 
 
 def ipv4_number(host: Column) -> Column:
     """Host in any IPv4 spelling as a number; null for names and out-of-range values."""
-    h = F.coalesce(mapped_ipv4(host), host)
-    values = F.transform(F.split(h, r"\."), _part_value)
-    n = F.size(values)
-    v = lambda i: F.get(values, F.lit(i))
-    one = F.when(v(0) <= _MAX, v(0))
-    two = F.when((v(0) <= 0xFF) & (v(1) <= 0xFFFFFF), v(0) * 16777216 + v(1))
-    three = F.when(
-        (v(0) <= 0xFF) & (v(1) <= 0xFF) & (v(2) <= 0xFFFF), v(0) * 16777216 + v(1) * 65536 + v(2)
-    )
-    four = F.when(
-        (v(0) <= 0xFF) & (v(1) <= 0xFF) & (v(2) <= 0xFF) & (v(3) <= 0xFF),
-        v(0) * 16777216 + v(1) * 65536 + v(2) * 256 + v(3),
-    )
-    readable = h.rlike("^[0-9a-fx.]+$") & ~F.exists(values, lambda x: x.isNull())
-    return F.when(readable, F.when(n == 1, one).when(n == 2, two).when(n == 3, three).when(n == 4, four))
+
+    def combine(values: Column) -> Column:
+        n = F.size(values)
+        last = F.element_at(values, -1)
+        # All parts but the last are octets; the last one fills the remaining bytes.
+        octets = F.slice(values, 1, n - 1)
+        room = F.element_at(F.array(*[F.lit(2**bits - 1) for bits in (32, 24, 16, 8)]), n)
+        head = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
+        scale = F.element_at(F.array(*[F.lit(2**bits) for bits in (32, 24, 16, 8)]), n)
+        fits = (last <= room) & ~F.exists(octets, lambda o: o > 0xFF)
+        return F.when(n <= 4, F.when(~F.exists(values, lambda x: x.isNull()) & fits, head * scale + last))
+
+    def parse(h: Column) -> Column:
+        return F.when(
+            h.rlike("^[0-9a-fx.]+$"), let(F.transform(F.split(h, r"\."), _part_value), combine)
+        )
+
+    return let(F.coalesce(mapped_ipv4(host), host), parse)
 
 
 def dotted(number: Column) -> Column:
@@ -98,11 +103,13 @@ def restricted_ipv6(host: Column, compat: bool = False) -> Column:
 
 def is_restricted(ip: Column, compat: bool = False) -> Column:
     """Private, loopback, reserved, metadata or malformed addresses; not host names."""
-    h = bare_host(ip)
-    number = ipv4_number(h)
-    return (
-        F.when(F.coalesce(F.length(h), F.lit(0)) == 0, F.lit(True))
-        .when(number.isNotNull(), in_ranges(number))
-        .when(looks_numeric(h), F.lit(True))
-        .otherwise(restricted_ipv6(h, compat))
-    )
+
+    def judge(h: Column) -> Column:
+        return F.coalesce(
+            F.when(F.length(h) == 0, F.lit(True)),
+            let(ipv4_number(h), in_ranges),
+            F.when(looks_numeric(h), F.lit(True)),
+            restricted_ipv6(h, compat),
+        )
+
+    return F.coalesce(let(bare_host(ip), judge), F.lit(True))

@@ -25,8 +25,11 @@ def authority(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host without credentials and port; IPv6 keeps its brackets."""
-    bare = F.regexp_replace(authority(url), "^.*@", "")
-    return F.regexp_replace(bare, r":\d*$", "")
+    return host_in(authority(url))
+
+
+def host_in(auth: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(auth, "^.*@", ""), r":\d*$", "")
 
 
 def path(url: Column) -> Column:

@@ -9,7 +9,7 @@ from contactlake import constants as K
 from contactlake.functions import ip as IP
 from contactlake.functions import urls as U
 from contactlake.functions.redact import safe_filename
-from contactlake.functions.text import strip_ws
+from contactlake.functions.text import let, strip_ws
 from contactlake.operators.firsts import first_per_key
 from contactlake.operators.joins import salted_lookup
 from contactlake.operators.ordering import running
@@ -131,49 +131,69 @@ def url_safety(
     urls: DataFrame, resolved: DataFrame | None = None, allow_local: bool = False, compat: bool = False, url: str = "url"
 ) -> DataFrame:
     """Add safe and unsafe_reason.  ``resolved(host, ip)`` also judges what hosts resolve to."""
-    u = F.col(url)
-    parts = urls.select(
-        "*",
-        U.scheme(strip_ws(u)).alias("__scheme"),
-        U.authority(strip_ws(u)).alias("__auth"),
-        IP.bare_host(U.host(strip_ws(u))).alias("__host"),
-    )
-    h = F.col("__host")
-    parts = parts.withColumn("__ip", IP.ipv4_number(h))
-    local = (h == "localhost") | h.endswith(".localhost") | (h == "::1")
-    n = F.col("__ip")
-    loopback = n.between(0x7F000000, 0x7FFFFFFF)
-    metadata = n.between(0xA9FE0000, 0xA9FEFFFF) | (n == 0x646464C8)
-    reason = (
-        F.when(F.coalesce(F.length(u), F.lit(0)) == 0, "missing_url")
-        .when(u.rlike(r"[\x00\r\n\t]|%00"), "control_characters")
-        .when(F.length("__scheme") == 0, "invalid_url")
-        .when(~F.col("__scheme").isin("http", "https"), "invalid_protocol")
-        .when(F.col("__auth").contains("@"), "url_credentials")
-        .when((F.length(h) == 0) | h.rlike(r"[\s<>^|%]"), "invalid_url")
-        .when(h.isin(*K.METADATA_HOSTS), "metadata_host")
-        .when(loopback, F.lit(None) if allow_local else F.lit("loopback"))
-        .when(metadata, "metadata_ip")
-        .when(n.isNotNull(), F.when(IP.in_ranges(n), "restricted_ip"))
-        .when(IP.looks_numeric(h), "malformed_ip")
-        .when(local, F.lit(None) if allow_local else F.lit("localhost"))
-        .when(IP.restricted_ipv6(h, compat), "restricted_ip")
-    )
-    judged = parts.withColumn("unsafe_reason", reason)
+    judged = urls.withColumn("unsafe_reason", _unsafe_reason(F.col(url), allow_local, compat))
     if resolved is not None:
         answers = resolved.groupBy(F.lower("host").alias("__host")).agg(
             F.max(IP.is_restricted(F.col("ip"))).alias("__bad")
         )
-        judged = salted_lookup(judged, answers, "__host", url)
-        by_name = F.col("unsafe_reason").isNull() & n.isNull() & ~local & ~h.contains(":")
+        named = judged.withColumn("__host", IP.bare_host(U.host(strip_ws(F.col(url)))))
+        joined = salted_lookup(named, answers, "__host", url)
+        h = F.col("__host")
+        is_name = ~h.contains(":") & ~h.rlike(r"^(?:0x)?[0-9a-f.x]*[0-9]$|^localhost$|\.localhost$")
         bad = F.lit(False) if allow_local else F.col("__bad")
-        judged = judged.withColumn(
+        judged = joined.withColumn(
             "unsafe_reason",
-            F.when(by_name & F.col("__bad").isNull(), "unresolved")
-            .when(by_name & bad, "resolves_to_restricted_ip")
-            .otherwise(F.col("unsafe_reason")),
-        ).drop("__bad")
-    return judged.withColumn("safe", F.col("unsafe_reason").isNull()).drop("__scheme", "__auth", "__host", "__ip")
+            F.when(F.col("unsafe_reason").isNotNull() | ~is_name, F.col("unsafe_reason"))
+            .when(F.col("__bad").isNull(), "unresolved")
+            .when(bad, "resolves_to_restricted_ip"),
+        ).drop("__bad", "__host")
+    return judged.withColumn("safe", F.col("unsafe_reason").isNull())
+
+
+def _unsafe_reason(url: Column, allow_local: bool, compat: bool) -> Column:
+    """Why a URL must not be fetched, from its text alone; null when nothing speaks against it."""
+
+    def by_number(h: Column, n: Column) -> Column:
+        local = (h == "localhost") | h.endswith(".localhost") | (h == "::1")
+        loopback = n.between(0x7F000000, 0x7FFFFFFF)
+        metadata = n.between(0xA9FE0000, 0xA9FEFFFF) | (n == 0x646464C8)
+        here = F.lit(None).cast("string") if allow_local else None
+        return (
+            F.when(loopback, here if allow_local else F.lit("loopback"))
+            .when(metadata, "metadata_ip")
+            .when(n.isNotNull(), F.when(IP.in_ranges(n), "restricted_ip"))
+            .when(IP.looks_numeric(h), "malformed_ip")
+            .when(local, here if allow_local else F.lit("localhost"))
+            .when(IP.restricted_ipv6(h, compat), "restricted_ip")
+        )
+
+    def by_host(h: Column) -> Column:
+        return (
+            F.when((F.length(h) == 0) | h.rlike(r"[\s<>^|%]"), "invalid_url")
+            .when(h.isin(*K.METADATA_HOSTS), "metadata_host")
+            .otherwise(let(IP.ipv4_number(h), lambda n: by_number(h, n)))
+        )
+
+    def by_text(u: Column) -> Column:
+        sch = U.scheme(u)
+        return (
+            F.when(F.length(sch) == 0, "invalid_url")
+            .when(~sch.isin("http", "https"), "invalid_protocol")
+            .otherwise(
+                let(
+                    U.authority(u),
+                    lambda auth: F.when(auth.contains("@"), "url_credentials").otherwise(
+                        let(IP.bare_host(U.host_in(auth)), by_host)
+                    ),
+                )
+            )
+        )
+
+    return (
+        F.when(F.coalesce(F.length(url), F.lit(0)) == 0, "missing_url")
+        .when(url.rlike(r"[\x00\r\n\t]|%00"), "control_characters")
+        .otherwise(let(strip_ws(url), by_text))
+    )
 
 
 def safe_filenames(df: DataFrame, col: str = "filename", out: str | None = None, fallback: str = "export.csv") -> DataFrame:

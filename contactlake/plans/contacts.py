@@ -16,6 +16,7 @@ from contactlake.operators.joins import salted_lookup
 from contactlake.operators.policy import url_safety
 from contactlake.operators.privacy import redact_snippets
 from contactlake.operators.suppression import check_suppression
+from contactlake.session import ensure_checkpoint_dir
 
 
 def validate_contacts(
@@ -71,6 +72,9 @@ def scrape_batch(pages: DataFrame, urls: DataFrame, discovered_at: Column | None
         .when(~F.col("url").rlike("^https?://"), "Invalid protocol. Only http: and https: are allowed.")
         .when(~F.col("safe"), F.concat(F.lit("URL rejected: "), F.col("unsafe_reason"))),
     )
+    # Used four times below: kept in the shared checkpoint folder instead of judged again.
+    ensure_checkpoint_dir(urls.sparkSession)
+    judged = judged.select("ord", "url", "error").checkpoint()
     wanted = judged.where(F.col("error").isNull()).select("url").distinct()
     hit_pages = pages.join(wanted, "url", "left_semi")
     records = extract_contact_records(hit_pages, discovered_at=discovered_at)
