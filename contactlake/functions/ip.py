@@ -107,7 +107,7 @@ def is_restricted(ip: Column, compat: bool = False) -> Column:
     def judge(h: Column) -> Column:
         return F.coalesce(
             F.when(F.length(h) == 0, F.lit(True)),
-            let(ipv4_number(h), in_ranges),
+            let(ipv4_number(h), lambda n: in_ranges(n)),
             F.when(looks_numeric(h), F.lit(True)),
             restricted_ipv6(h, compat),
         )

@@ -2,64 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlake import constants as K
 from contactlake.functions import urls as U
-from contactlake.functions.text import blank_to_null, strip_ws
+from contactlake.functions.text import blank_to_null, let, strip_ws
 
 
-def normalise_urls(df: DataFrame, url: str = "href", base: str = "url", out: str = "dst") -> DataFrame:
-    """Absolute, crawlable form of each link; null for other schemes and static assets.
+def resolve(url: Column, base: Column) -> Column:
+    """Absolute, crawlable form of a link; null for other schemes and static assets.
 
-    Resolves relative links, drops fragments and tracking parameters, and
-    lower-cases scheme and host.
+    One expression whose steps are bound once each, so a filter on the result
+    stays as small as the result itself when it is pushed down.
     """
-    u, b = strip_ws(F.col(url)), F.col(base)
-    split = df.select(
-        "*",
-        *[U.piece(u, i).alias(f"__u{i}") for i in (1, 2, 3, 4)],
-        F.contains(u, F.lit("?")).alias("__has_q"),
-        *[U.piece(b, i).alias(f"__b{i}") for i in (1, 2, 3, 4)],
-    )
-    c = F.col
-    has_scheme, has_auth = F.length("__u1") > 0, F.length("__u2") > 0
-    absolute = has_scheme | has_auth
-    base_dir = F.regexp_replace(F.when(F.length("__b3") == 0, "/").otherwise(c("__b3")), "[^/]*$", "")
-    path = (
-        F.when(absolute | c("__u3").startswith("/"), c("__u3"))
-        .when(F.length("__u3") == 0, c("__b3"))
-        .otherwise(F.concat(base_dir, c("__u3")))
-    )
-    keeps_base_query = ~absolute & (F.length("__u3") == 0) & ~c("__has_q")
-    joined = split.select(
-        "*",
-        F.lower(F.when(has_scheme, c("__u1")).otherwise(c("__b1"))).alias("__scheme"),
-        F.lower(F.when(absolute, c("__u2")).otherwise(c("__b2"))).alias("__auth"),
-        F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)).alias("__path"),
-        F.when(keeps_base_query, c("__b4")).otherwise(c("__u4")).alias("__query"),
-    )
-    port = F.when(c("__scheme") == "http", F.regexp_replace("__auth", ":80$", "")).otherwise(
-        F.regexp_replace("__auth", ":443$", "")
-    )
-    cleaned = joined.select(
-        "*",
-        port.alias("__host"),
-        U.encode_path(U.remove_dot_segments(c("__path"))).alias("__clean"),
-        F.when(F.length("__query") > 0, U.clean_query(c("__query"))).otherwise("").alias("__q"),
-    )
-    ok = (
-        c("__scheme").isin("http", "https")
-        & (F.length("__host") > 0)
-        & ~F.lower("__clean").rlike(K.STATIC_ASSET_PATH)
-    )
-    whole = F.concat(
-        c("__scheme"), F.lit("://"), c("__host"), c("__clean"),
-        F.when(F.length("__q") > 0, F.concat(F.lit("?"), c("__q"))).otherwise(""),
+    pieces = lambda u, side: [U.piece(u, i).alias(f"{side}{i}") for i in (1, 2, 3, 4)]
+    blank = lambda c: F.length(c) == 0
+
+    def join(p: Column) -> Column:
+        has_scheme, has_auth = ~blank(p["u1"]), ~blank(p["u2"])
+        absolute = has_scheme | has_auth
+        base_dir = F.regexp_replace(F.when(blank(p["b3"]), "/").otherwise(p["b3"]), "[^/]*$", "")
+        path = (
+            F.when(absolute | p["u3"].startswith("/"), p["u3"])
+            .when(blank(p["u3"]), p["b3"])
+            .otherwise(F.concat(base_dir, p["u3"]))
+        )
+        keeps_query = ~absolute & blank(p["u3"]) & ~p["q"]
+        return let(
+            F.struct(
+                F.lower(F.when(has_scheme, p["u1"]).otherwise(p["b1"])).alias("scheme"),
+                F.lower(F.when(absolute, p["u2"]).otherwise(p["b2"])).alias("auth"),
+                F.regexp_replace(path, "^(?!/)", "/").alias("path"),
+                F.when(keeps_query, p["b4"]).otherwise(p["u4"]).alias("query"),
+            ),
+            clean,
+        )
+
+    def clean(j: Column) -> Column:
+        port = F.when(j["scheme"] == "http", F.regexp_replace(j["auth"], ":80$", "")).otherwise(
+            F.regexp_replace(j["auth"], ":443$", "")
+        )
+        return let(
+            F.struct(
+                j["scheme"].alias("scheme"),
+                port.alias("host"),
+                let(let(j["path"], U.remove_dot_segments), U.encode_path).alias("path"),
+                F.when(F.length(j["query"]) > 0, U.clean_query(j["query"])).otherwise("").alias("query"),
+            ),
+            compose,
+        )
+
+    def compose(c: Column) -> Column:
+        ok = c["scheme"].isin("http", "https") & ~blank(c["host"]) & ~F.lower(c["path"]).rlike(K.STATIC_ASSET_PATH)
+        query = F.when(F.length(c["query"]) > 0, F.concat(F.lit("?"), c["query"])).otherwise("")
+        return F.when(ok, F.concat(c["scheme"], F.lit("://"), c["host"], c["path"], query))
+
+    return let(
+        strip_ws(url),
+        lambda u: let(F.struct(*pieces(u, "u"), *pieces(base, "b"), F.contains(u, F.lit("?")).alias("q")), join),
     )
-    final = cleaned.withColumn(out, F.when(ok, whole))
-    return final.drop(*[x for x in final.columns if x.startswith("__")])
+
+
+def normalise_urls(df: DataFrame, url: str = "href", base: str = "url", out: str = "dst") -> DataFrame:
+    """Resolve links against their page, drop fragments and tracking parameters."""
+    return df.withColumn(out, resolve(F.col(url), F.col(base)))
 
 
 def raw_hrefs(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

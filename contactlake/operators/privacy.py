@@ -99,11 +99,14 @@ def purge_owner(jobs: DataFrame, folders: DataFrame, records: DataFrame, owner:
     mine = (F.col("owner_id") == owner) & (F.col("folder_id") != "default")
     gone = folders.where(mine).select("folder_id")
     lost = records.join(gone, "folder_id", "left_semi")
-    counts = (
-        jobs.agg(F.count_if(F.col("owner") == owner).alias("deleted_jobs"))
-        .join(lost.agg(F.count("*").alias("deleted_records")))
-        .join(gone.agg(F.count("*").alias("deleted_folders")))
-    )
+    kinds = {
+        "deleted_jobs": jobs.where(F.col("owner") == owner), "deleted_records": lost, "deleted_folders": gone,
+    }
+    tagged = None
+    for kind, rows in kinds.items():
+        part = rows.select(F.lit(kind).alias("kind"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    counts = tagged.agg(*[F.count_if(F.col("kind") == kind).alias(kind) for kind in kinds])
     return {
         "jobs": jobs.where(~F.coalesce(F.col("owner") == owner, F.lit(False))),
         "folders": folders.where(~F.coalesce(mine, F.lit(False))),

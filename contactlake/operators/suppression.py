@@ -128,10 +128,12 @@ def merge_suppression(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def merge_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """One row: entries added, and incoming entries that were already known."""
-    added = merge_suppression(existing, incoming).agg(F.count_if("is_new").alias("added"))
-    total = incoming.agg(F.count("*").alias("__total"))
-    # Two one-row aggregates side by side.
-    return added.join(total).select("added", (F.col("__total") - F.col("added")).alias("existing"))
+    added = merge_suppression(existing, incoming).where("is_new").select(F.lit(1).alias("__new"))
+    offered = incoming.select(F.lit(0).alias("__new"))
+    return added.unionByName(offered).agg(
+        F.count_if(F.col("__new") == 1).alias("added"),
+        (F.count_if(F.col("__new") == 0) - F.count_if(F.col("__new") == 1)).alias("existing"),
+    )
 
 
 def suppression_view(suppression: DataFrame, user: str | None = None, is_admin: bool = False) -> DataFrame:
