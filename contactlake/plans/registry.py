@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from contactlake.plans import (  # noqa: F401
-        q_deliver, q_extract, q_policy, q_privacy, q_validate,
+        q_datasets, q_deliver, q_extract, q_policy, q_privacy, q_sources, q_streams, q_validate,
     )

@@ -28,23 +28,27 @@ def _snake(name: str) -> str:
     return "".join("_" + ch.lower() if ch.isupper() else ch for ch in name)
 
 
-def _read(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """JSON arrays or one object per file; unreadable files are skipped."""
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+def _read(spark: SparkSession, path: str, schema: str, key: str, multi_line: bool) -> DataFrame:
+    """JSON arrays or objects; unreadable documents are skipped.
+
+    ``multi_line`` reads one document per file (the stored form); large stores
+    come as JSON lines, which split.
+    """
+    raw = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
     return raw.where(F.col(key).isNotNull())
 
 
-def read_suppression(spark: SparkSession, path: str) -> DataFrame:
-    rows = _read(spark, path, SUPPRESSION, "id")
+def read_suppression(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    rows = _read(spark, path, SUPPRESSION, "id", multi_line)
     return rows.select(
         "id", "type", "value", "reason", F.col("addedByUserId").alias("added_by"),
         F.try_to_timestamp("createdAt").alias("created_at"), "note",
     )
 
 
-def read_folders(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_folders(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(folders, records): the record lists become rows with their position."""
-    rows = _read(spark, path, FOLDERS, "id")
+    rows = _read(spark, path, FOLDERS, "id", multi_line)
     folders = rows.select(
         F.col("id").alias("folder_id"), "name",
         F.try_to_timestamp("createdAt").alias("created_at"), F.try_to_timestamp("updatedAt").alias("updated_at"),
@@ -56,9 +60,9 @@ def read_folders(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return folders, records
 
 
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+def read_jobs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One file per job, or an array of jobs; epoch milliseconds become timestamps."""
-    rows = _read(spark, path, JOBS, "id")
+    rows = _read(spark, path, JOBS, "id", multi_line)
     times = {"startedAt", "endedAt", "expiresAt", "updatedAt"}
     names = {"id": "job_id", "ownerId": "owner"}
     return rows.select(
@@ -69,8 +73,8 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    rows = _read(spark, path, AUDIT, "id")
+def read_audit(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    rows = _read(spark, path, AUDIT, "id", multi_line)
     return rows.select(
         *[
             (F.try_to_timestamp(F.col(c)) if c == "timestamp" else F.col(c)).alias(_snake(c))

@@ -153,5 +153,5 @@ def daily_quota(usage: DataFrame, limit: int = 10_000, window_ms: int = DAY_MS)
                 remaining.append(max(0, limit - count))
             yield pdf[["user", "t", "id", "n"]].assign(allowed=allowed, remaining=remaining)
 
-    schema = keyed.select("user", "t", "id", "n").schema.add("allowed", "boolean").add("remaining", "bigint")
+    schema = keyed.select("user", "t", "id", "n").schema.add("allowed", "boolean").add("remaining", "long")
     return sorted_rows.mapInPandas(admit, schema).unionByName(admins)
