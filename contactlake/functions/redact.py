@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactlake import constants as K
-from contactlake.functions.text import WORD_END, WORD_START, WS, WS_INNER, blank_to_null, collapse_ws, strip_ws
+from contactlake.functions.text import WORD_END, WORD_START, WS, WS_INNER, blank_to_null, collapse_ws, let, strip_ws
 
 CARD, SSN = "[REDACTED_CARD]", "[REDACTED_SSN]"
 SECRET, TOKEN = "[REDACTED_SECRET]", "[REDACTED_TOKEN]"
@@ -29,8 +29,8 @@ def clean_snippet(c: Column, max_chars: int = 150, redact: bool = True) -> Colum
     out = collapse_ws(F.regexp_replace(strip_ws(c), "<[^>]+>", " "))
     if redact:
         out = redact_pii(out)
-    cut = F.concat(strip_ws(F.substring(out, 1, max_chars)), F.lit("..."))
-    return blank_to_null(F.when(F.length(out) > max_chars, cut).otherwise(out))
+    cut = lambda t: F.concat(strip_ws(F.substring(t, 1, max_chars)), F.lit("..."))
+    return blank_to_null(let(out, lambda t: F.when(F.length(t) > max_chars, cut(t)).otherwise(t)))
 
 
 def mask_email(c: Column) -> Column:
@@ -73,12 +73,18 @@ def safe_filename(c: Column, fallback: str = "export.csv") -> Column:
     out = F.regexp_replace(out, r"\.{2,}", ".")
     out = strip_ws(F.regexp_replace(out, r"""[<>:"/\\|?*]""", "_"))
     out = F.regexp_replace(out, r"^[./\\]+", "")
-    ext = F.regexp_extract(out, r"(?s)^.+?(\.[^.]*)$", 1)
-    keep_ext = (F.length(ext) > 0) & (F.length(ext) < 10)
-    short = F.when(
-        keep_ext, F.concat(F.substr(out, F.lit(1), F.lit(128) - F.length(ext)), ext)
-    ).otherwise(F.substring(out, 1, 128))
-    return F.when(F.coalesce(F.length(out), F.lit(0)) == 0, fallback).when(F.length(out) > 128, short).otherwise(out)
+
+    def shorten(name: Column) -> Column:
+        ext = F.regexp_extract(name, r"(?s)^.+?(\.[^.]*)$", 1)
+        keep = (F.length(ext) > 0) & (F.length(ext) < 10)
+        return F.when(
+            keep, F.concat(F.substr(name, F.lit(1), F.lit(128) - F.length(ext)), ext)
+        ).otherwise(F.substring(name, 1, 128))
+
+    return let(
+        out,
+        lambda n: F.when(F.coalesce(F.length(n), F.lit(0)) == 0, fallback).when(F.length(n) > 128, shorten(n)).otherwise(n),
+    )
 
 
 def csv_guard(c: Column) -> Column:

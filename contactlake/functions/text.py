@@ -34,7 +34,11 @@ def strip_ws(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return let(c, lambda t: F.when(F.length(t) > 0, t))
+
+
+# Cheap necessary condition for "user at host dot tld"; starts with a letter, so scans fast.
+_SPELLED = rf"at{WS}+[a-z0-9-]+{WS}+dot{WS}"
 
 
 def may_contain_address(c: Column) -> Column:
@@ -44,8 +48,7 @@ def may_contain_address(c: Column) -> Column:
     literal @, percent or entity encoding, a bracketed "at", or "x at y dot z".
     """
     return c.contains("@") | c.rlike(
-        r"(?i)%[0-9a-f]{2}|&(?:#|commat;|amp;|lt;)|[\(\[{<]" + WS + r"*at" + WS + r"*[\)\]}>]|"
-        + WS + "at" + WS + r"+[a-z0-9-]+" + WS + "+dot" + WS
+        rf"(?i)%[0-9a-f]{{2}}|&(?:#|commat;|amp;|lt;)|[\(\[{{<]{WS}*at{WS}*[\)\]}}>]|" + _SPELLED
     )
 
 
@@ -92,14 +95,21 @@ def deobfuscate(c: Column) -> Column:
     )
     for entity, char in (("commat", "@"), ("period", "."), ("amp", "&"), ("lt", "<"), ("gt", ">")):
         out = F.regexp_replace(out, f"(?i)&{entity};", char)
-    for word, char in ((r"(?:at|@)", "@"), (r"(?:dot|\.)", ".")):
-        out = F.regexp_replace(
-            out, rf"(?i){WS}*[\(\[{{<]{WS}*{word}{WS}*[\)\]}}>]{WS}*", char
-        )
-    return F.regexp_replace(
+    # Both rewrites start at blanks or words; a cheap test spares most texts the slow scan.
+    bracketed = rf"(?i)[\(\[\{{<]{WS}*(?:at|@|dot|\.){WS}*[\)\]\}}>]"
+
+    def unbracket(t: Column) -> Column:
+        for word, char in ((r"(?:at|@)", "@"), (r"(?:dot|\.)", ".")):
+            t = F.regexp_replace(t, rf"(?i){WS}*[\(\[\{{<]{WS}*{word}{WS}*[\)\]\}}>]{WS}*", char)
+        return t
+
+    spelled = (
+        rf"(?i){BOUNDARY}([a-zA-Z0-9._%+-]+){WS}+at{WS}+([a-zA-Z0-9-]+){WS}+dot{WS}+([a-zA-Z]{{2,}}){BOUNDARY}"
+    )
+    out = let(out, lambda t: F.when(t.rlike(bracketed), unbracket(t)).otherwise(t))
+    return let(
         out,
-        rf"(?i){BOUNDARY}([a-zA-Z0-9._%+-]+){WS}+at{WS}+([a-zA-Z0-9-]+){WS}+dot{WS}+([a-zA-Z]{{2,}}){BOUNDARY}",
-        "$1@$2.$3",
+        lambda t: F.when(t.rlike("(?i)" + _SPELLED), F.regexp_replace(t, spelled, "$1@$2.$3")).otherwise(t),
     )
 
 

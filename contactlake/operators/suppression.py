@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contactlake.functions import addresses as A
 from contactlake.functions.text import strip_ws
 from contactlake.operators.firsts import first_per_key, last_per_key
-from contactlake.operators.joins import salted_lookup
+from contactlake.operators.joins import SALTS, salted_lookup
 
 # fixed values: request reason -> stored reason
 REASONS = {
@@ -45,28 +45,31 @@ def match_emails(emails: DataFrame, suppression: DataFrame) -> DataFrame:
     Works on the narrow set of distinct addresses, so neither repeated contacts
     nor wide records are shuffled.  Precedence: email, domain, sha256, md5.
     """
-    index = _index(suppression)
+    # A mail provider's domain may cover a large share of the addresses: domain
+    # entries are repeated per salt and the addresses spread over the salts.
+    salts = F.when(F.col("space") == "domain", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    index = _index(suppression).withColumn("salt", F.explode(salts))
     e = F.col("email")
-    keys = emails.select(
-        "email",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("rank"), F.lit("email").alias("space"), e.alias("key"), F.lit("email").alias("kind")),
-                F.struct(F.lit(2).alias("rank"), F.lit("hash").alias("space"), F.sha2(e, 256).alias("key"), F.lit("sha256").alias("kind")),
-                F.struct(F.lit(3).alias("rank"), F.lit("hash").alias("space"), F.md5(e).alias("key"), F.lit("md5").alias("kind")),
-            )
-        ).alias("k"),
-    ).select("email", "k.rank", "k.space", "k.key", "k.kind")
-    exact = keys.join(index.where(F.col("space") != "domain"), ["space", "key"]).select(
+    spread = F.pmod(F.xxhash64(e), F.lit(SALTS)).cast("int")
+
+    def key(rank: int, kind: str, space: str, value: Column, salt: Column | None = None) -> Column:
+        salt = F.lit(0) if salt is None else salt
+        return F.struct(
+            F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(space).alias("space"), value.alias("key"), salt.alias("salt")
+        )
+
+    forms = F.array(
+        key(0, "email", "email", e),
+        key(1, "domain", "domain", A.part(e, 1), spread),
+        key(2, "sha256", "hash", F.sha2(e, 256)),
+        key(3, "md5", "hash", F.md5(e)),
+    )
+    keys = emails.select("email", F.explode(forms).alias("k")).select("email", "k.*").where(F.col("key") != "")
+    hits = keys.join(index, ["space", "key", "salt"]).select(
         "email", "rank", F.col("kind").alias("matched_type"), "reason",
         F.when(F.col("space") == "hash", F.col("key")).otherwise(F.col("value")).alias("matched_value"),
     )
-    domains = index.where(F.col("space") == "domain").select(F.col("key").alias("domain"), "reason", "value")
-    by_domain = salted_lookup(
-        emails.select("email", A.part(e, 1).alias("domain")).where(F.col("domain") != ""),
-        domains, "domain", "email", how="inner",
-    ).select("email", F.lit(1).alias("rank"), F.lit("domain").alias("matched_type"), "reason", F.col("value").alias("matched_value"))
-    return first_per_key(exact.unionByName(by_domain), ["email"], ["rank"]).drop("rank")
+    return first_per_key(hits, ["email"], ["rank"]).drop("rank")
 
 
 def _matches_for(contacts: DataFrame, suppression: DataFrame, email: str) -> DataFrame:

@@ -7,6 +7,7 @@ from contactlake.operators import suppression as C
 from contactlake.plans import ducksql as D
 from contactlake.plans import seeds as S
 from contactlake.plans.registry import query
+from contactlake.sources.corpus import spread_small
 
 _BASE = f"{S.contacts_cte('orders', S.MIXED_EMAIL)}, {S.suppression_cte()}"
 _MATCH = f"""{_BASE},
@@ -108,7 +109,7 @@ _PII = D.sub(_PII, _bounded(D.K.JWT_PATTERN), "[REDACTED_TOKEN]")
     contains(c, '[REDACTED_')::int as redacted from r""",
 )
 def c5(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = spread_small(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     whole = P.redact_snippets(docs, "text", max_chars=5000, out="r")
     full = P.redact_snippets(whole, "text", max_chars=10_000_000, out="f")
     return full.select("doc_id", F.md5("r").alias("redacted_md5"), F.contains("f", F.lit("[REDACTED_")).cast("int").alias("redacted"))
@@ -130,7 +131,7 @@ _LOG = D.sub(_LOG, r"[\r\n]+", " ")
 def c6(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("concat('d', doc_id) as id", "text")
     talk = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr("concat('t', conv_id, '-', turn) as id", "text")
-    out = P.redact_logs(docs.unionByName(talk), "text", "log")
+    out = P.redact_logs(spread_small(docs.unionByName(talk)), "text", "log")
     return out.select("id", F.md5("log").alias("log_md5"), (F.contains("log", F.lit("***")) | F.contains("log", F.lit("[REDACTED_"))).cast("int").alias("changed"))
 
 

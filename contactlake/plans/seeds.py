@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactlake.sources.corpus import spread_small
+
 
 def spark_sql(t: str) -> str:
     return t.replace("ARR(", "array(").replace("AT(", "element_at(").replace("STR", "string")
@@ -57,7 +59,7 @@ RICH = """contact_id, email, contact_id as ord, lower(split_part(email,'@',2)) a
 
 def _keys(spark: SparkSession, sf: str, source: str) -> DataFrame:
     table, key = KEYS[source]
-    return spark.read.parquet(f"{sf}/{table}.parquet").selectExpr(f"{key} as k")
+    return spread_small(spark.read.parquet(f"{sf}/{table}.parquet").selectExpr(f"{key} as k"))
 
 
 def contacts(spark: SparkSession, sf: str, source: str = "customer", email: str = EMAIL) -> DataFrame:
