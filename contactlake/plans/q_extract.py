@@ -240,9 +240,13 @@ def x13(spark, sf):
     )
 
 
-@query("x6_phones_strict")
+@query(
+    "x6_phones_strict",
+    f"""with {_CORPUS} select distinct id, unnest(list_filter({D.phones('text')}, lambda p: list_contains(list_transform(
+      regexp_extract_all(text, '[+(]?\\d[\\d\\-. ()]*'), lambda w: {D.strip('w')}), p))) as phone from corpus""",
+)
 def x6_strict(spark, sf):
-    return X.extract_phones(corpus(spark, sf), "id", "text", strict=True)
+    return X.extract_phones(corpus(spark, sf), "id", "text", strict=True).select("id", "phone")
 
 
 def decoded_probe(spark, sf):

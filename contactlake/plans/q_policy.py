@@ -9,6 +9,7 @@ from contactlake.operators import policy as P
 from contactlake.operators.extraction import extract_contact_records
 from contactlake.plans import ducksql as D
 from contactlake.plans import seeds as S
+from contactlake.plans.q_extract import _RECORDS
 from contactlake.plans.registry import query
 from contactlake.sources.corpus import spread_small
 
@@ -250,7 +251,13 @@ def g5_policy(spark, sf):
     return G.crawl_frontier(seeds, links, max_depth=3, max_pages=None, allowed=named, canonical=canon).select("url", "depth")
 
 
-@query("g6_site_contacts")
+@query(
+    "g6_site_contacts",
+    f"""with recursive e as ({_EDGES}), r(n, depth) as (select min(page_id), 0 from pages union select e.dst, r.depth + 1 from r join e on r.n = e.src where r.depth < 20),
+    d as (select n, min(depth) as depth from r group by n), k as (select *, row_number() over (order by (depth = 0) desc, depth, 'https://s.com/p' || n) as vr from d),
+    {_RECORDS}, j as (select records.*, k.depth, k.vr from records join k on records.page_id = k.n)
+    select 's.com' as site, email, arg_min(page_id, vr) as page_id, arg_min(depth, vr)::int as depth from j group by email""",
+)
 def g6(spark, sf):
     """Contacts of the pages that a crawl over the page ids reaches."""
     pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("url", F.concat(F.lit("https://s.com/p"), "page_id"))

@@ -92,6 +92,7 @@ def r6_stream(spark, sf):
     return _state_columns(run_update(J.job_state(events), ["job_id"]))
 
 
+_DAY = 86_400_000
 _LIMIT = 24 * 3600 * 1000
 
 
@@ -104,7 +105,12 @@ def r7(spark, sf):
     return J.job_timeouts(S.events(spark, sf), limit_ms=_LIMIT).select("job_id", "started_ms", "ran_ms", "message")
 
 
-@query("r7_stream_timeouts")
+@query(
+    "r7_stream_timeouts",
+    f"""with {S.EVENTS_CTE}, live as (select * from ev where event <> 'done' or job_id % 2 = 0),
+    sp as (select job_id, epoch_us(min(ts) filter (where event = 'started')) // 1000 as s, bool_or(event = 'done') as ended from live group by 1)
+    select job_id, s::bigint as started_ms from sp where not ended and s + 600000 <= (select epoch_us(max(ts)) // 1000 from live) - 60000""",
+)
 def r7_stream(spark, sf):
     """Stateful watchdog with event-time timers over the jobs that never finish."""
     _stateful(spark)
@@ -112,9 +118,6 @@ def r7_stream(spark, sf):
     return run_append(J.stream_job_timeouts(events))
 
 
-_DAY = 86_400_000
-
-
 @query(
     "r8_request_quota",
     f"""with recursive q as (select user_id as key, (epoch_us(ts) // 1000) as t, event_id as id from events),
@@ -147,13 +150,26 @@ def r8_tumbling(spark, sf):
     return Q.tumbling_quota(rows, limit=3, window_ms=_DAY)
 
 
-@query("r9_daily_quota")
+@query(
+    "r9_daily_quota",
+    f"""with recursive u as (select user_id as user, epoch_us(ts) // 1000 as t, event_id as id, round(value)::bigint as n, user_id % 50 = 0 as adm,
+      row_number() over (partition by user_id order by ts, event_id) as rn from events),
+    w(user, rn, t, id, n, allowed, used, expires) as (
+      select user, rn, t, id, n, n <= 60, case when n <= 60 then n else 0 end, case when n <= 60 and n > 0 then t + {_DAY} else -1 end from u where rn = 1 and not adm
+      union all select u.user, u.rn, u.t, u.id, u.n, b.base + u.n <= 60, case when b.base + u.n <= 60 then b.base + u.n else b.base end,
+        case when b.base + u.n <= 60 and u.n > 0 and b.base = 0 then u.t + {_DAY} else b.expires end
+      from (select w.*, nx.t as nt, case when nx.t > w.expires then 0 else w.used end as base from w join u nx on nx.user = w.user and nx.rn = w.rn + 1) b
+      join u on u.user = b.user and u.rn = b.rn + 1)
+    select user, t::bigint as t, id, n::bigint as n, allowed::int as allowed, greatest(0, 60 - used)::bigint as remaining from w
+    union all select user, t::bigint, id, n::bigint, 1, {Q.UNLIMITED}::bigint from u where adm""",
+)
 def r9(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr(
-        "user_id as user", "unix_millis(cast(ts as timestamp)) as t", "event_id as id", "cast(value as bigint) as n",
+        "user_id as user", "unix_millis(cast(ts as timestamp)) as t", "event_id as id", "cast(round(value) as bigint) as n",
         "case when user_id % 50 = 0 then 'admin' else 'user' end as role",
     )
-    return Q.daily_quota(rows, limit=60)
+    out = Q.daily_quota(rows, limit=60)
+    return out.withColumn("allowed", F.col("allowed").cast("int"))
 
 
 @query(
