@@ -1,10 +1,8 @@
-"""Table schemas of the data model."""
-
-from pyspark.sql.types import StructType
+"""Table schemas of the data model, as DDL."""
 
 SOCIALS = "struct<linkedin:string,twitter:string,github:string>"
 
-CONTACTS = StructType.fromDDL(
+CONTACTS = (
     "email string, domain string, type string, source_url string, page_title string, context_snippet string, "
     "depth int, discovered_at timestamp, name string, job_title string, phone string, "
     f"socials {SOCIALS}, mx_status string, mx_records array<string>, "
@@ -16,20 +14,20 @@ CONTACTS = StructType.fromDDL(
     "checks_passed int, checks_total int, failed_checks array<string>, "
     "mx_enrichment struct<ip:string,hostname:string,priority:int,country:string,city:string,isp:string,asn:string>"
 )
-PAGES = StructType.fromDDL("page_id bigint, url string, html string")
-TEXTS = StructType.fromDDL("doc_id bigint, text string, source string")
-DNS_SNAPSHOT = StructType.fromDDL("domain string, rr_type int, data string")
-SUPPRESSION = StructType.fromDDL(
+PAGES = ("page_id bigint, url string, html string")
+TEXTS = ("doc_id bigint, text string, source string")
+DNS_SNAPSHOT = ("domain string, rr_type int, data string")
+SUPPRESSION = (
     "id string, type string, value string, reason string, added_by string, created_at timestamp, note string"
 )
-FOLDERS = StructType.fromDDL("folder_id string, name string, owner_id string, created_at timestamp, updated_at timestamp")
-JOBS = StructType.fromDDL(
+FOLDERS = ("folder_id string, name string, owner_id string, created_at timestamp, updated_at timestamp")
+JOBS = (
     "job_id string, owner string, url string, status string, started_at timestamp, ended_at timestamp, "
     "retry_count int, max_retries int, error_message string, is_browser boolean"
 )
-CRAWL_EVENTS = StructType.fromDDL("job_id string, seq bigint, event string, data string, ts timestamp")
-ROBOTS = StructType.fromDDL("host string, content string")
-SESSION_SUMMARY = StructType.fromDDL(
+CRAWL_EVENTS = ("job_id string, seq bigint, event string, data string, ts timestamp")
+ROBOTS = ("host string, content string")
+SESSION_SUMMARY = (
     "target_url string, pages_visited bigint, emails_found bigint, unique_domains bigint, role_count bigint, "
     "personal_count bigint, duration_ms bigint, started_at timestamp, finished_at timestamp"
 )
