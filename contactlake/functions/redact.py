@@ -67,6 +67,12 @@ def redact_log(c: Column) -> Column:
     return F.regexp_replace(out, r"[\r\n]+", " ")
 
 
+def plain_log(c: Column) -> Column:
+    """Log text without line breaks and control characters."""
+    out = F.regexp_replace(c, r"[\r\n\t]", " ")
+    return strip_ws(F.coalesce(F.regexp_replace(out, r"[\x00-\x1F\x{7F}-\x{9F}]", ""), F.lit("")))
+
+
 def safe_filename(c: Column, fallback: str = "export.csv") -> Column:
     """File name without control, traversal or reserved characters, at most 128 long."""
     out = F.regexp_replace(c, r"[\x00\r\n\t]", "")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlake import constants as K
 from contactlake.functions.text import strip_ws
 from contactlake.operators.firsts import first_per_key
-from contactlake.operators.ordering import running
+from contactlake.operators.ordering import ranked, running
 
 FOLDER_CAP = 10_000
 DEEP_PAGE = 100_000
@@ -26,15 +26,9 @@ def upsert_folder(existing: DataFrame, incoming: DataFrame, cap: int | None = FO
     merged = both.groupBy("folder_id", F.lower("email").alias("__key")).agg(
         F.max_by(row, at).alias("__row"), F.min(at).alias("__at")
     )
-    out = merged.select("__row.*", "__at")
-    if cap is None:
-        return running(
-            out.select("*", F.col("__at.__src").alias("src_"), F.col("__at.pos").alias("pos_")).drop("__at"),
-            ["folder_id"], [F.col("src_"), F.col("pos_"), F.col("email")], row_number="pos",
-        ).drop("src_", "pos_")
-    # The cap is the feature; Spark keeps at most ``cap`` rows per folder and task before the shuffle.
-    w = Window.partitionBy("folder_id").orderBy("__at", "email")
-    return out.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap).drop("__at")
+    placed = merged.select("__row.*", F.col("__at.__src").alias("src_"), F.col("__at.pos").alias("pos_"))
+    order = [F.col("src_"), F.col("pos_"), F.col("email")]
+    return ranked(placed, ["folder_id"], order, "pos", cap).drop("src_", "pos_")
 
 
 def merge_session(existing: DataFrame, incoming: DataFrame) -> DataFrame:

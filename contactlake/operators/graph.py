@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactlake.functions import urls as U
 from contactlake.operators.firsts import first_per_key
 from contactlake.operators.joins import salted_lookup
-from contactlake.operators.ordering import running
+from contactlake.operators.ordering import ranked
 from contactlake.session import ensure_checkpoint_dir
 
 
@@ -64,14 +64,15 @@ def crawl_frontier(
             break
         level = settle(admit(_step(level, links, visited, same_domain)), depth + 1)
         visited = visited.unionByName(level)
-    ranked = visited.withColumn(
-        "priority", U.is_priority(F.col("url")) | (F.col("depth") == 0)
-    )
-    order = Window.partitionBy("site").orderBy(F.col("priority").desc(), "depth", "url")
-    if max_pages is None:
-        return running(ranked, ["site"], [F.col("priority").desc(), F.col("depth"), F.col("url")], row_number="visit_rank")
-    # The page cap is the feature; Spark cuts each task to the cap before the shuffle.
-    return ranked.withColumn("visit_rank", F.row_number().over(order)).where(F.col("visit_rank") <= max_pages)
+    found = visited.withColumn("priority", U.is_priority(F.col("url")) | (F.col("depth") == 0))
+    # The page cap is the feature: it bounds what one crawl visits.
+    order = [F.col("priority").desc(), F.col("depth"), F.col("url")]
+    return ranked(found, ["site"], order, "visit_rank", max_pages)
+
+
+def clamp_limits(max_depth: int | None = None, max_pages: int | None = None) -> tuple[int, int]:
+    """Depth in 1..10 (default 2) and pages in 1..200 (default 30)."""
+    return min(10, max(1, max_depth or 2)), min(200, max(1, max_pages or 30))
 
 
 def site_contacts(frontier: DataFrame, records: DataFrame) -> DataFrame:

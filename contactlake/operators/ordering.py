@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from contactlake.session import ensure_checkpoint_dir
 
 _RANGE = "__range"
+# Spark prunes "row_number <= n" per task before the shuffle only up to this n
+# (default of spark.sql.optimizer.windowGroupLimitThreshold).
+PRUNED_RANKS = 1000
 
 
 def _ranges(df: DataFrame, keys: list[str], order: list[Column], ranges: int | None) -> DataFrame:
@@ -82,3 +85,19 @@ def _attach(rows: DataFrame, summary: DataFrame, part: list[str]) -> DataFrame:
         test = rows[c].eqNullSafe(summary[c])
         cond = test if cond is None else cond & test
     return rows.join(summary, cond).drop(*[summary[c] for c in part])
+
+
+def ranked(
+    df: DataFrame, keys: list[str], order: list[Column], name: str, limit: int | None, ranges: int | None = None
+) -> DataFrame:
+    """Rank rows per key and keep the first ``limit`` (all when None).
+
+    Small limits are cut per task before the shuffle; beyond that, and without
+    a limit, a key's rows are ranked across ranges so that none fills a task.
+    """
+    if limit is not None and limit <= PRUNED_RANKS:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= limit)
+    out = running(df, keys, order, row_number=name, ranges=ranges)
+    out = out.withColumn(name, F.col(name).cast("int"))
+    return out if limit is None else out.where(F.col(name) <= limit)

@@ -91,6 +91,14 @@ def robots_policy(rules: DataFrame, agent: str = DEFAULT_AGENT) -> DataFrame:
     return first_per_key(usable, ["host"], ["__rank", "group_no", "ua_no"]).drop("__rank", "group_no", "ua_no")
 
 
+def closed_hosts(rules: DataFrame) -> DataFrame:
+    """Hosts whose rules keep every crawler out, with the reason for a crawl report."""
+    shut = rules.where((F.col("ua") == "*") & F.array_contains("disallow", "/")).select("host").distinct()
+    return shut.withColumn(
+        "reason", F.concat(F.lit("Robots.txt on "), "host", F.lit(" disallows automated crawling for all agents."))
+    )
+
+
 def pattern_regex(p: Column) -> Column:
     """Robots pattern as an anchored regular expression: * any run, final $ the end."""
     quoted = F.regexp_replace(p, r"[.+?^${}()|\[\]\\]", r"\\$0")

@@ -26,17 +26,20 @@ def validate_contacts(
     disposable: DataFrame | None = None,
     compat: bool = False,
 ) -> DataFrame:
-    """Static checks, then DNS facts for the domains that passed them."""
+    """Static checks, then DNS facts for the rows that passed them."""
     checked = V.validate_static(contacts, tlds=tlds, disposable=disposable, compat=compat).withColumn(
         "domain", A.domain_of(F.col("email"))
     )
-    # Only domains that survive the static checks need DNS; each is resolved once.
-    wanted = checked.where(F.col("passed") & ~F.col("is_disposable")).select("domain")
+    # Each distinct domain is resolved once.  Domains of rejected rows come along:
+    # leaving them out would run all static checks a second time just to know them.
+    wanted = contacts.select(A.domain_of(F.col("email")).alias("domain"))
     facts = M.domain_facts(wanted, dns, compat)
     joined = M.mailbox_status(salted_lookup(checked, facts, "domain", "email"))
     resolved = F.col("mailbox_status").isin("deliverable", "risky")
+    asked = F.col("passed") & ~F.col("is_disposable")
     return (
-        joined.withColumn("valid", F.col("passed") & (F.col("mailbox_status") != "undeliverable"))
+        joined.withColumn("is_null_mx", asked & F.coalesce("is_null_mx", F.lit(False)))
+        .withColumn("valid", F.col("passed") & (F.col("mailbox_status") != "undeliverable"))
         .withColumn("mx_status", F.col("mailbox_status"))
         .withColumn(
             "mx_records",

@@ -6,7 +6,7 @@ from contactlake import constants as K
 from contactlake.operators import deliverability as M
 from contactlake.plans import ducksql as D
 from contactlake.plans import seeds as S
-from contactlake.plans.q_validate import MX_CTE, _V20_SQL, _provider, facts_cte, validated
+from contactlake.plans.q_validate import _V20_SQL, _provider, facts_cte, validated
 from contactlake.plans.registry import query
 
 _BASE = f"{S.contacts_cte('orders', S.MIXED_EMAIL)}, {S.dns_cte('orders')}, doms as (select distinct lower(split_part(email, '@', 2)) as domain from contacts)"

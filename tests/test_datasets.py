@@ -37,6 +37,8 @@ def test_upsert_and_session(spark):
     assert got == [(1, "a@X.com", "new"), (2, "b@x.com", "keep"), (3, "c@x.com", "c")]
     assert datasets.upsert_folder(old, new, cap=2).count() == 2
     assert datasets.upsert_folder(old, new, cap=None).count() == 3
+    deep = datasets.upsert_folder(old, new, cap=5000)
+    assert sorted((r.pos, r.v) for r in deep.collect()) == [(1, "new"), (2, "keep"), (3, "c")]
     first = {r.email: r.v for r in datasets.merge_session(old, new.where("email <> ''")).collect()}
     assert first == {"A@x.com": "old", "b@x.com": "keep", "c@x.com": "c"}
 
@@ -220,3 +222,5 @@ def test_site_crawl(spark):
     assert got == {"a@s.com": "https://s.com/about", "b@s.com": "https://s.com/team", "c@s.com": "https://s.com/careers"}
     assert {r.depth for r in graph.crawl_frontier(seeds, edges, max_depth=1).collect()} == {0, 1}
     assert graph.crawl_frontier(seeds, edges, max_pages=2).count() == 2
+    assert graph.crawl_frontier(seeds, edges, max_pages=None).count() == 4
+    assert graph.clamp_limits() == (2, 30) and graph.clamp_limits(99, 999) == (10, 200)

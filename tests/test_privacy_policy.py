@@ -28,6 +28,16 @@ def test_log_redaction(spark):
     )
 
 
+def test_plain_log(spark):
+    assert one(spark, "failed\r\nADMIN: ok\x1b[31m", R.plain_log) == "failed  ADMIN: ok[31m"
+
+
+def test_closed_hosts(spark):
+    texts = [("a.com", "User-agent: *\nDisallow: /"), ("b.com", "User-agent: *\nDisallow: /x")]
+    rules = P.robots_rules(spark.createDataFrame(texts, "host string, content string"))
+    assert [r.host for r in P.closed_hosts(rules).collect()] == ["a.com"]
+
+
 def test_snippet_redaction(spark):
     assert "[REDACTED_CARD]" in one(spark, "charge card 4532-1234-5678-9010 for", R.clean_snippet)
     assert one(spark, "Tax record ID: 123-45-6789 verified.", R.clean_snippet) == "Tax record ID: [REDACTED_SSN] verified."
