@@ -208,6 +208,10 @@ IMPORT_SYNTAX = (
     r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
     r"(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+$"
 )
+# The same two rules in parts, for per-part tests.
+IMPORT_ADDRESS_CHARS = r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9.-]+$"
+IMPORT_LABEL = r"^[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?$"
+DOT_ATOM_CHARS = r"^[a-zA-Z0-9!#$%&'*+\-/=?^_`{|}~.]+$"
 DOT_ATOM = r"^[a-zA-Z0-9!#$%&'*+\-/=?^_`{|}~]+(\.[a-zA-Z0-9!#$%&'*+\-/=?^_`{|}~]+)*$"
 DNS_LABEL = r"^[a-z0-9]([a-z0-9\-]*[a-z0-9])?$"
 

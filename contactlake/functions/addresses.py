@@ -133,6 +133,21 @@ def entropy(s: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(round2(F.least(F.lit(1.0), bits / 4.5)))
 
 
+def is_dot_atom(local: Column) -> Column:
+    """Dot-separated runs of allowed characters, without a repeated group (any length is safe)."""
+    return local.rlike(K.DOT_ATOM_CHARS) & ~local.startswith(".") & ~local.endswith(".") & ~local.contains("..")
+
+
+def has_import_syntax(email: Column) -> Column:
+    """Allowed local characters, one @, and two or more well-formed labels."""
+    labels = F.split(part(email, 1), r"\.")
+    return (
+        email.rlike(K.IMPORT_ADDRESS_CHARS)
+        & (F.size(labels) >= 2)
+        & F.forall(labels, lambda x: x.rlike(K.IMPORT_LABEL))
+    )
+
+
 def is_gibberish(local: Column, entropy_score: Column) -> Column:
     n = F.length(local)
     digits = F.length(F.regexp_replace(local, "[^0-9]", ""))

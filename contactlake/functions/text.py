@@ -29,8 +29,12 @@ def collapse_ws(c: Column) -> Column:
     return F.regexp_replace(c, WS + "+", " ")
 
 
+# A trailing run is tried once, at its start: long blank runs inside a text stay linear.
+_EDGES = f"^{WS}++|(?<!{WS}){WS}++$"
+
+
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(c, _EDGES, "")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -97,19 +101,25 @@ def deobfuscate(c: Column) -> Column:
         out = F.regexp_replace(out, f"(?i)&{entity};", char)
     # Both rewrites start at blanks or words; a cheap test spares most texts the slow scan.
     bracketed = rf"(?i)[\(\[\{{<]{WS}*(?:at|@|dot|\.){WS}*[\)\]\}}>]"
+    # Blank runs and words are tried once, at their start or after the previous match.
+    run_start = rf"(?:\G|(?<!{WS}))"
+    word_start = r"(?:\G|(?<![a-zA-Z0-9._%+-]))"
 
     def unbracket(t: Column) -> Column:
         for word, char in ((r"(?:at|@)", "@"), (r"(?:dot|\.)", ".")):
-            t = F.regexp_replace(t, rf"(?i){WS}*[\(\[\{{<]{WS}*{word}{WS}*[\)\]\}}>]{WS}*", char)
+            t = F.regexp_replace(
+                t, rf"(?i){run_start}{WS}*+[\(\[\{{<]{WS}*{word}{WS}*[\)\]\}}>]{WS}*", char
+            )
         return t
 
     spelled = (
-        rf"(?i){BOUNDARY}([a-zA-Z0-9._%+-]+){WS}+at{WS}+([a-zA-Z0-9-]+){WS}+dot{WS}+([a-zA-Z]{{2,}}){BOUNDARY}"
+        rf"(?i){word_start}([.%+-]*+)([a-zA-Z0-9_][a-zA-Z0-9._%+-]*+){WS}++at{WS}++([a-zA-Z0-9-]++){WS}++dot{WS}++"
+        rf"([a-zA-Z]{{2,}}){BOUNDARY}"
     )
     out = let(out, lambda t: F.when(t.rlike(bracketed), unbracket(t)).otherwise(t))
     return let(
         out,
-        lambda t: F.when(t.rlike("(?i)" + _SPELLED), F.regexp_replace(t, spelled, "$1@$2.$3")).otherwise(t),
+        lambda t: F.when(t.rlike("(?i)" + _SPELLED), F.regexp_replace(t, spelled, "$1$2@$3.$4")).otherwise(t),
     )
 
 

@@ -80,7 +80,7 @@ def validate_static(
         "gibberish": ~F.col("is_gibberish"),
         "typo": F.col("__typo").isNull(),
         "local_format": F.length(local).between(1, 64) & ~local.startswith(".") & ~local.endswith("."),
-        "local_charset": local.rlike(K.DOT_ATOM),
+        "local_charset": A.is_dot_atom(local),
         "spam_trap": ~F.col("is_spam_trap"),
         "fqdn": ~domain.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"),
         "subdomain_depth": F.size(labels) <= 5,

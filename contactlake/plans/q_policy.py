@@ -69,13 +69,13 @@ def c14(spark, sf):
 
 @query(
     "c15_robots_allowed",
-    f"""with {S.contacts_cte('orders')}, p as (select *, contact_id % 31 as h from (select {S.duck_sql(_PATHS)} from contacts) q where contact_id % 17 <> 0),
+    f"""with {S.contacts_cte('orders')}, p as (select *, case when contact_id % 17 = 0 then 1 else contact_id % 31 end as h from (select {S.duck_sql(_PATHS)} from contacts) q),
     v as (select contact_id, p, h, case when h % 3 = 0 then case when starts_with(p, '/wp-admin/settings') then '' when starts_with(p, '/wp-admin') then '/wp-admin' when regexp_matches(p, '^/.*cart') then '/*cart' else '' end
       when h % 2 = 0 then case when p = '/login' then '/login$' when starts_with(p, '/.git') then '/.git' else '' end else '' end as blocked_by from p)
     select contact_id, (blocked_by = '')::int as allowed, blocked_by, (case when h % 3 = 0 then 2500 when h % 2 = 0 then h * 1000 else 0 end)::bigint as crawl_delay_ms from v""",
 )
 def c15(spark, sf):
-    out = P.robots_allowed(_urls(spark, sf).where("contact_id % 17 <> 0"), P.robots_rules(_robots(spark, sf)))
+    out = P.robots_allowed(_urls(spark, sf), P.robots_rules(_robots(spark, sf)))
     return out.select(
         "contact_id", F.col("allowed").cast("int").alias("allowed"), F.coalesce("blocked_by", F.lit("")).alias("blocked_by"),
         F.coalesce("crawl_delay_ms", F.lit(0)).cast("bigint").alias("crawl_delay_ms"),
@@ -84,11 +84,11 @@ def c15(spark, sf):
 
 @query(
     "c15_robots_prefix",
-    f"""with {S.contacts_cte('orders')}, p as (select *, contact_id % 31 as h from (select {S.duck_sql(_PATHS)} from contacts) q where contact_id % 17 <> 0)
+    f"""with {S.contacts_cte('orders')}, p as (select *, case when contact_id % 17 = 0 then 1 else contact_id % 31 end as h from (select {S.duck_sql(_PATHS)} from contacts) q)
     select contact_id, (h % 2 = 0 and (starts_with(p, '/login$') or starts_with(p, '/.git')))::int as blocked from p""",
 )
 def c15_prefix(spark, sf):
-    out = P.robots_prefix_blocked(_urls(spark, sf).where("contact_id % 17 <> 0"), P.robots_rules(_robots(spark, sf)))
+    out = P.robots_prefix_blocked(_urls(spark, sf), P.robots_rules(_robots(spark, sf)))
     return out.select("contact_id", F.col("blocked").cast("int").alias("blocked"))
 
 

@@ -105,14 +105,15 @@ _PII = D.sub(_PII, _bounded(D.K.JWT_PATTERN), "[REDACTED_TOKEN]")
 @query(
     "c5_redact_snippets",
     f"""with r as (select doc_id, {_PII} as c from documents) select doc_id,
-    md5(case when length(c) > 5000 then {D.strip('substring(c, 1, 5000)')} || '...' else c end) as redacted_md5,
+    md5(c) as redacted_md5, case when length(c) > 150 then {D.strip('substring(c, 1, 150)')} || '...' else c end as snippet,
     contains(c, '[REDACTED_')::int as redacted from r""",
 )
 def c5(spark, sf):
     docs = spread_small(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
-    whole = P.redact_snippets(docs, "text", max_chars=5000, out="r")
-    full = P.redact_snippets(whole, "text", max_chars=10_000_000, out="f")
-    return full.select("doc_id", F.md5("r").alias("redacted_md5"), F.contains("f", F.lit("[REDACTED_")).cast("int").alias("redacted"))
+    both = P.redact_snippets(P.redact_snippets(docs, "text", out="snippet"), "text", max_chars=10_000_000, out="whole")
+    return both.select(
+        "doc_id", F.md5("whole").alias("redacted_md5"), "snippet", F.contains("whole", F.lit("[REDACTED_")).cast("int").alias("redacted")
+    )
 
 
 _LOG = D.sub("text", rf"bearer{D.WS}+[a-zA-Z0-9\-._~+/]+=*", "Bearer [REDACTED_TOKEN]", "gi")

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contactlake import constants as K
 from contactlake.functions import addresses as A
 from contactlake.functions.text import blank_to_null, strip_ws
 from contactlake.operators.firsts import first_per_key
@@ -77,13 +76,14 @@ def delimiter_of(line: Column) -> Column:
 
 def _cells_by(line: Column, d: str) -> Column:
     # A cell is plain text and quoted sections in any mix; "" inside a section is one quote.
-    quoted = r'"[^"]*(?:""[^"]*)*(?:"|$)'
-    cell = rf'{d}([^"{d}]*(?:{quoted}[^"{d}]*)*)'
+    # Possessive groups loop instead of recursing, so lines of any length are safe.
+    quoted = r'"[^"]*+(?:""[^"]*+)*+(?:"|$)'
+    cell = rf'{d}([^"{d}]*+(?:{quoted}[^"{d}]*+)*+)'
     raw = F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(cell), F.lit(1))
     return F.transform(
         raw,
         lambda c: F.trim(
-            F.replace(F.regexp_replace(c, r'"([^"]*(?:""[^"]*)*)(?:"|$)', "$1"), F.lit('""'), F.lit('"'))
+            F.replace(F.regexp_replace(c, r'"([^"]*+(?:""[^"]*+)*+)(?:"|$)', "$1"), F.lit('""'), F.lit('"'))
         ),
     )
 
@@ -211,7 +211,7 @@ def normalise_import(
     base = rows.withColumn("email", A.normalise(stripped))
     e = F.col("email")
     domain = A.domain_of(e)
-    syntax, tld = e.rlike(K.IMPORT_SYNTAX), A.has_valid_tld(e, tlds)
+    syntax, tld = A.has_import_syntax(e), A.has_valid_tld(e, tlds)
     empty_reason = F.when(F.col("format") == "json", "No email field found").otherwise(
         "Empty line or email column not found"
     )

@@ -136,3 +136,28 @@ def test_extraction_stays_in_the_jvm_without_shuffle(spark):
     assert "Python" not in plan and "Exchange" not in plan
     assert plan.count("try_url_decode") <= 6
     assert "ReadSchema: struct<page_id:bigint,url:string,html:string>" in plan
+
+
+def test_long_runs_stay_linear(spark):
+    """Blank runs, dotted runs and many quotes of a megabyte neither hang nor overflow."""
+    import time
+
+    from contactlake.functions import addresses as A
+    from contactlake.sources import imports
+
+    n = 300_000
+    start = time.time()
+    blanks = "x" + " " * n + "(at) (at)" + " " * n + "y a at b dot com-x at y dot org"
+    assert one(spark, blanks, T.deobfuscate) == "x@@y a@b.com-x@y.org"
+    assert one(spark, "x" + " " * n + "y", T.strip_ws) == "x" + " " * n + "y"
+    assert one(spark, "a." * n + "b at c dot com", lambda c: F.length(T.deobfuscate(c))) == 2 * n + len("b@c.com")
+    assert one(spark, "a." * n + "b", A.is_dot_atom)
+    assert one(spark, "a@" + "b." * n + "com", A.has_import_syntax)
+    assert one(spark, '"",' * n, lambda c: F.size(imports.cells(c, F.lit(",")))) == n + 1
+    assert time.time() - start < 60
+
+
+def test_boundaries_of_spelled_addresses(spark):
+    cases = {".joe at foo dot com": ".joe@foo.com", "é joe at foo dot comé": "é joe@foo.comé", "joe at foo dot com1": "joe at foo dot com1"}
+    for raw, want in cases.items():
+        assert one(spark, raw, T.deobfuscate) == want, raw
