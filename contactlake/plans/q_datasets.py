@@ -298,10 +298,29 @@ def h6(spark, sf):
     )
 
 
-@query("h6_payload_json")
+_STATUS = "case mx_status when 'deliverable' then 'VALIDATED' when 'undeliverable' then 'UNVERIFIED' when 'disposable' then 'UNVERIFIED' else 'FOUND' end"
+
+
+@query(
+    "h6_payload_json",
+    f"""with {_RICH}, b as ({_BATCHES}), f as (select *, row_number() over (partition by batch, lower(email) order by ord) as rn from b)
+    select batch, lower(email) as email, {_STATUS} as email_status, {_SCORE} as confidence, coalesce(phone, '') as phone, coalesce(linkedin, '') as linkedin,
+    case when {_INFERRED} then string_split(name, ' ')[1] else '' end as first_name, '1.0' as version from f where rn = 1""",
+)
 def h6_json(spark, sf):
-    """The payload documents themselves."""
-    return payloads(spark, sf).select("batch", "part", "request_id", "payload")
+    """Contacts as a receiver reads them from the payload documents."""
+    contact = (
+        "struct<email:string,emailStatus:string,confidence:double,phone:string,socials:struct<linkedin:string>,"
+        "identityInference:struct<firstName:string>>"
+    )
+    docs = payloads(spark, sf).select(
+        "batch", F.from_json("payload", f"version string, contacts array<{contact}>").alias("p")
+    ).select("batch", "p.version", F.explode("p.contacts").alias("c"))
+    e = F.lit("")
+    return docs.select(
+        "batch", "c.email", F.col("c.emailStatus").alias("email_status"), "c.confidence", F.coalesce("c.phone", e).alias("phone"),
+        F.coalesce("c.socials.linkedin", e).alias("linkedin"), F.coalesce("c.identityInference.firstName", e).alias("first_name"), "version",
+    )
 
 
 @query(

@@ -110,7 +110,8 @@ _PII = D.sub(_PII, _bounded(D.K.JWT_PATTERN), "[REDACTED_TOKEN]")
 )
 def c5(spark, sf):
     docs = spread_small(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
-    both = P.redact_snippets(P.redact_snippets(docs, "text", out="snippet"), "text", max_chars=10_000_000, out="whole")
+    whole = P.redact_snippets(docs, "text", max_chars=10_000_000, out="whole")
+    both = P.redact_snippets(whole, "whole", redact=False, out="snippet")
     return both.select(
         "doc_id", F.md5("whole").alias("redacted_md5"), "snippet", F.contains("whole", F.lit("[REDACTED_")).cast("int").alias("redacted")
     )

@@ -119,14 +119,16 @@ def r7_stream(spark, sf):
     return run_append(J.stream_job_timeouts(events))
 
 
-@query(
-    "r8_request_quota",
-    f"""with recursive q as (select user_id as key, (epoch_us(ts) // 1000) as t, event_id as id from events),
+_WINDOWS = f"""with recursive q as (select user_id as key, (epoch_us(ts) // 1000) as t, event_id as id from events),
     a(key, anchor) as (select key, min(t) from q group by 1 union all
       select q.key, min(q.t) from a join q on a.key = q.key and q.t > a.anchor + {_DAY} group by q.key, a.anchor),
     w as (select q.*, (select max(anchor) from a where a.key = q.key and a.anchor <= q.t) as ws from q),
-    n as (select *, row_number() over (partition by key, ws order by t, id) as used from w)
-    select key, id, used::bigint as used, (used <= 3)::int as allowed, greatest(0, 3 - used)::bigint as remaining, (ws + {_DAY} - t)::bigint as reset_ms from n""",
+    n as (select *, row_number() over (partition by key, ws order by t, id) as used from w)"""
+
+
+@query(
+    "r8_request_quota",
+    f"""{_WINDOWS} select key, id, used::bigint as used, (used <= 3)::int as allowed, greatest(0, 3 - used)::bigint as remaining, (ws + {_DAY} - t)::bigint as reset_ms from n""",
 )
 def r8(spark, sf):
     rows = S.events(spark, sf).select(F.col("job_id").alias("key"), F.unix_millis("ts").alias("t"), F.col("event_id").alias("id"))
@@ -134,12 +136,13 @@ def r8(spark, sf):
     return out.select("key", "id", "used", F.col("allowed").cast("int").alias("allowed"), "remaining", "reset_ms")
 
 
-@query("r8_stream_quota")
+@query("r8_stream_quota", f"{_WINDOWS} select key, id, used::bigint as used, (used <= 3)::int as allowed from n")
 def r8_stream(spark, sf):
     """The stateful form in arrival order."""
     _stateful(spark)
     rows = _event_stream(spark, sf).select(F.col("job_id").alias("key"), F.unix_millis("ts").alias("t"), F.col("event_id").alias("id"))
-    return run_append(Q.stream_request_quota(rows, limit=3, window_ms=_DAY))
+    out = run_append(Q.stream_request_quota(rows, limit=3, window_ms=_DAY))
+    return out.withColumn("allowed", F.col("allowed").cast("int"))
 
 
 @query(
