@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactlake import constants as K
-from contactlake.functions.text import strip_ws
+from contactlake.functions.text import let, strip_ws
 
 
 def normalise(email: Column) -> Column:
@@ -103,17 +103,18 @@ def display_name(email: Column) -> Column:
 
 def canonical(email: Column) -> Column:
     """Lower case, no +tag, Gmail dots removed, googlemail.com unified."""
-    low = normalise(email)
-    local = F.regexp_replace(part(low, 0), r"^([^+]+)\+.*$", "$1")
-    domain = part(low, 1)
-    gmail = domain.isin("gmail.com", "googlemail.com")
-    return F.when(F.size(F.split(low, "@")) != 2, low).otherwise(
-        F.concat(
-            F.when(gmail, F.replace(local, F.lit("."), F.lit(""))).otherwise(local),
-            F.lit("@"),
-            F.when(gmail, F.lit("gmail.com")).otherwise(domain),
+
+    def rebuild(parts: Column) -> Column:
+        domain = F.get(parts, F.lit(1))
+        local = F.regexp_replace(F.get(parts, F.lit(0)), r"^([^+]+)\+.*$", "$1")
+        gmail = domain.isin("gmail.com", "googlemail.com")
+        return (
+            F.when(F.size(parts) != 2, F.array_join(parts, "@"))
+            .when(gmail, F.concat(F.replace(local, F.lit("."), F.lit("")), F.lit("@gmail.com")))
+            .otherwise(F.concat(local, F.lit("@"), domain))
         )
-    )
+
+    return let(F.split(normalise(email), "@"), rebuild)
 
 
 def round2(x: Column) -> Column:
@@ -126,10 +127,8 @@ def entropy(s: Column) -> Column:
     n = F.length(s)
     chars = F.array_distinct(F.filter(F.split(s, ""), lambda ch: F.length(ch) > 0))
 
-    def share(ch: Column) -> Column:
-        return (n - F.length(F.replace(s, ch, F.lit("")))) / n
-
-    bits = F.aggregate(chars, F.lit(0.0), lambda acc, ch: acc - share(ch) * F.log2(share(ch)))
+    shares = F.transform(chars, lambda ch: (n - F.length(F.replace(s, ch, F.lit("")))) / n)
+    bits = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.when(n == 0, F.lit(0.0)).otherwise(round2(F.least(F.lit(1.0), bits / 4.5)))
 
 
@@ -173,9 +172,8 @@ def typo_target(domain: Column, compat: bool = False, popular=K.POPULAR_DOMAINS)
     d = strip_ws(F.lower(domain))
     near = [
         F.when(
-            (F.abs(F.length(d) - F.lit(len(target))) <= 1)
-            & (d != target)
-            & F.levenshtein(d, F.lit(target), 2).between(1, 2),
+            # Beyond two edits the distance is -1, and zero means the same name.
+            F.length(d).between(len(target) - 1, len(target) + 1) & (F.levenshtein(d, F.lit(target), 2) > 0),
             F.lit(target),
         )
         for target in popular

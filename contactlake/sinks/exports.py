@@ -11,7 +11,7 @@ from contactlake.functions import addresses as A
 from contactlake.functions.redact import csv_guard
 from contactlake.operators import datasets, privacy, suppression
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def _chosen(fields) -> list[str]:
