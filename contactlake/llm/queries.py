@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from contactlake.llm import q_chat, q_lines, q_mix, q_secrets, q_simhash  # noqa: F401
+from contactlake.llm import q_chat, q_lines, q_mix, q_rules, q_secrets, q_simhash  # noqa: F401
 from contactlake.llm.registry import ORACLE, QUERIES  # noqa: F401
