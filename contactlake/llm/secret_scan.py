@@ -27,6 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contactlake.llm.common import Guarded, whole_text
 
@@ -134,8 +135,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     held = Guarded(docs)
     narrow = held.rows.select(*[held.col(c) for c in keep], whole_text(held.col(text_col)).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name != "__text")
-    schema = f"{fields}{', ' if fields else ''}`__spans` array<struct<kind:string,start:bigint,stop:bigint>>"
+    span = T.StructType().add("kind", "string").add("start", "long").add("stop", "long")
+    schema = T.StructType([f for f in narrow.schema.fields if f.name != "__text"]).add("__spans", T.ArrayType(span))
     scanned = narrow.mapInArrow(_scan, schema)
     return scanned.select(*[held.col(c).alias(c) for c in keep if c != "spans"], F.col("__spans").alias("spans"))
 
