@@ -63,6 +63,9 @@ class Guarded:
     def col(self, name: str) -> Column:
         return F.col(f"__in{self.names.index(name)}")
 
+    def name(self, name: str) -> str:
+        return f"__in{self.names.index(name)}"
+
     def restore(self, df: DataFrame, added: dict[str, Column] | None = None, replaced: dict[str, Column] | None = None) -> DataFrame:
         added, replaced = added or {}, replaced or {}
         kept = [

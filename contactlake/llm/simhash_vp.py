@@ -34,7 +34,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlake.llm.common import Guarded, materialise, whole_text
@@ -67,16 +67,18 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
 def _fingerprint(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([simhash(t, shingle) for t in batch.column("__text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(prints)], ["__id", "__fp"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("__id"), batch.column("__th"), pa.array(prints)], ["__id", "__th", "__fp"]
+        )
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__id, __fp): the id and the fingerprint (64 bits in a long) of every row."""
+    """(__id, __th, __fp): the id, a hash of the text and the fingerprint (64 bits in a long) of every row."""
     held = Guarded(docs)
-    rows = held.rows.select(held.col(id_col).alias("__id"), whole_text(held.col(text_col)).alias("__text"))
-    return rows.mapInArrow(
-        partial(_fingerprint, shingle=shingle), f"__id {rows.schema['__id'].dataType.simpleString()}, __fp bigint"
-    )
+    text = whole_text(held.col(text_col))
+    rows = held.rows.select(held.col(id_col).alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"))
+    kind = rows.schema["__id"].dataType.simpleString()
+    return rows.mapInArrow(partial(_fingerprint, shingle=shingle), f"__id {kind}, __th bigint, __fp bigint")
 
 
 @dataclass
@@ -242,7 +244,7 @@ def near_classes(
     docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, sample: int = SAMPLE, leaf: int = LEAF,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(__id, __fp, __root, __class) per row: class id is the smallest id of the class, root its smallest linked print."""
+    """(__id, __th, __fp, __root, __class) per row: class id is the smallest id of the class, root its smallest linked print."""
     prints = materialise(fingerprints(docs, shingle, id_col, text_col), "simhash")
     firsts = materialise(prints.groupBy("__fp").agg(F.min("__id").alias("__first")), "simhash-distinct")
     linked = components(link_edges(firsts, bits, sample, leaf))
@@ -254,4 +256,24 @@ def near_classes(
     per_print = materialise(
         rooted.join(classes, "__root").select(F.col("__fp").alias("__print"), "__root", "__class"), "simhash-classes"
     )
-    return prints.join(per_print, prints["__fp"] == per_print["__print"]).select("__id", "__fp", "__root", "__class")
+    return prints.join(per_print, prints["__fp"] == per_print["__print"]).select("__id", "__th", "__fp", "__root", "__class")
+
+
+def one_per_class(
+    docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The row with the smallest id of every class, with all its columns; of repeated rows one."""
+    held = Guarded(docs)
+    rows = held.rows
+    found = near_classes(rows, bits, shingle, id_col=held.name(id_col), text_col=held.name(text_col))
+    best = found.groupBy("__root").agg(
+        F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__th").alias("th"))).alias("__b")
+    )
+    best = best.select(F.coalesce(F.col("__b.id").cast("string"), F.lit("")).alias("__key"), F.col("__b.th").alias("__th"))
+    keyed = rows.select(
+        "*", F.coalesce(held.col(id_col).cast("string"), F.lit("")).alias("__key"),
+        F.xxhash64(whole_text(held.col(text_col))).alias("__th"), F.xxhash64(*rows.columns).alias("__row"),
+    )
+    copy = Window.partitionBy("__key", "__th").orderBy("__row")
+    kept = keyed.join(best, ["__key", "__th"], "left_semi").withColumn("__copy", F.row_number().over(copy))
+    return held.restore(kept.where(F.col("__copy") == 1))
