@@ -1,8 +1,9 @@
 """Chat formatting by event-sourced reconstruction.
 
-A log row is one event of one message: ``start`` opens it with a role, ``delta``
-appends text, ``edit`` replaces the text, ``regenerate`` discards it, ``delete``
-removes the message.  Folding a message needs its own events only, so logs are
+A log row (conv_id, turn, copy, seq, kind, role, text) is one event of the message
+(turn, copy), in the order of seq: ``start`` opens it with a
+role, ``delta`` appends text, ``edit`` replaces the text, ``regenerate`` discards
+it, ``delete`` removes the message.  Folding a message needs its own events only, so logs are
 first folded per (conversation, message): the last start, edit or regenerate
 wins and later deltas are appended to it.  Final messages, far fewer than
 events, are then partitioned by conversation, sorted, and rendered as a stream.
@@ -67,19 +68,19 @@ def turns_to_events(turns: DataFrame) -> DataFrame:
     )
     return (
         turns.select("conv_id", "turn", "role", "text")
-        .withColumn("message", F.struct(F.col("turn"), F.row_number().over(same_turn).alias("copy")))
-        .select("conv_id", "message", "role", F.posexplode(log).alias("step", "e"))
-        .select(
-            "conv_id", "message", F.struct(F.col("message"), F.col("step")).alias("seq"),
-            F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"),
-        )
+        .withColumn("copy", F.row_number().over(same_turn))
+        .select("conv_id", "turn", "copy", "role", F.posexplode(log).alias("seq", "e"))
+        .select("conv_id", "turn", "copy", "seq", F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
     )
 
 
 def fold_messages(events: DataFrame) -> DataFrame:
-    """(conv_id, message, role, text): each message as its events leave it; deleted ones are gone."""
+    """(conv_id, turn, copy, role, text): each message as its events leave it; deleted ones are gone.
+
+    A log that is already spread by (conv_id, turn) is not shuffled again.
+    """
     folded = (
-        events.groupBy("conv_id", "message")
+        events.groupBy("conv_id", "turn", "copy")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("__log"))
         .withColumn(
             "__from",
@@ -94,7 +95,7 @@ def fold_messages(events: DataFrame) -> DataFrame:
         .withColumn("__left", F.slice("__log", F.col("__from"), F.size("__log") - F.col("__from") + 1))
     )
     return folded.where(F.get("__left", F.lit(0))["kind"] != "delete").select(
-        "conv_id", "message",
+        "conv_id", "turn", "copy",
         F.coalesce(
             F.get(F.filter(F.reverse("__log"), lambda e: e["role"].isNotNull()), F.lit(0))["role"], F.lit("")
         ).alias("role"),
@@ -155,7 +156,7 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_chats(events: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss (spans in code points), turns."""
     kind = events.schema["conv_id"].dataType.simpleString()
-    messages = fold_messages(events).repartition("conv_id").sortWithinPartitions("conv_id", "message")
+    messages = fold_messages(events).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "copy")
     return messages.select("conv_id", "role", "text").mapInArrow(
         _render, f"conv_id {kind}, formatted string, loss array<struct<start:bigint,stop:bigint>>, turns bigint"
     )
