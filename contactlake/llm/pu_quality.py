@@ -45,10 +45,10 @@ FOLDS = 5
 class Params:
     max_positives: int = 5_000
     max_unlabelled: int = 10_000
-    hidden: int = 24
+    hidden: int = 16
     steps: int = 400
     rate: float = 0.01
-    decay: float = 1e-3
+    decay: float = 0.02
     seed: int = 5
 
 
