@@ -48,7 +48,7 @@ def test_unigram_parity(collapse):
     assert (model.kind, model.byte_fallback, model.collapse_blanks) == (P.UNIGRAM, True, collapse)
     tok, reference = model.tokenizer(), sentencepiece.SentencePieceProcessor(model_proto=data)
     for text in ["", "the abc", "  the  ab  abcabc", "thx é zz abcc the", "日 a"]:
-        ids = tok.encode(text, add_special_tokens=False).ids
+        ids = tok.encode(model.marked([text])[0], add_special_tokens=False).ids
         assert ids == reference.encode(text), text
         assert tok.decode(ids, skip_special_tokens=False) == reference.decode(ids), text
 
