@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contactlake import constants as K
 from contactlake.functions.text import let, strip_ws
+from contactlake.functions.tlds import delegated
 
 
 def normalise(email: Column) -> Column:
@@ -28,16 +29,25 @@ def last_label(domain: Column) -> Column:
     return F.element_at(F.split(domain, r"\."), -1)
 
 
+def _among(value: Column, names: Iterable[str]) -> Column:
+    """Membership in a set of plain names; one parsed expression, as a thousand literals are slow to build."""
+    quoted = ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in sorted(set(names))) or "null"
+    found = F.call_function("exists", F.array(value), F.expr(f"x -> x in ({quoted})"))
+    return F.coalesce(found, F.lit(False))
+
+
 def tld_is_known(domain: Column, tlds: Iterable[str] | None = None) -> Column:
     """Is the last label a top-level domain?
 
-    With ``tlds`` (the published root-zone list) membership is exact.  Without
-    it a rule applies: a generic name of our list, or a two-letter country code
-    outside the ranges ISO 3166-1 keeps for private use (AA, QM-QZ, XA-XZ, ZZ).
+    Membership in ``tlds``, by default the delegated names (see ``tlds``).  Only
+    where no list is found a rule applies: a generic name of our list, or a
+    two-letter country code outside the ranges that ISO 3166-1 keeps for private
+    use (AA, QM-QZ, XA-XZ, ZZ).
     """
     label = last_label(domain)
-    if tlds is not None:
-        return label.isin(sorted(set(tlds)))
+    names = delegated() if tlds is None else tlds
+    if names or tlds is not None:
+        return _among(label, names)
     country = label.rlike("^[a-z]{2}$") & ~label.rlike("^(?:aa|q[m-z]|x[a-z]|zz)$")
     return country | label.isin(*K.GENERIC_TLDS)
 
@@ -49,7 +59,7 @@ def has_valid_tld(email: Column, tlds: Iterable[str] | None = None) -> Column:
     known = tld_is_known(domain, tlds)
     if tlds is not None:
         pair = F.concat_ws(".", F.slice(labels, -2, 2))
-        known = known | ((F.size(labels) >= 3) & pair.isin(sorted(t for t in set(tlds) if "." in t) or [""]))
+        known = known | ((F.size(labels) >= 3) & _among(pair, [t for t in tlds if "." in t]))
     return (
         (F.size(F.split(email, "@")) == 2)
         & (F.size(labels) >= 2)

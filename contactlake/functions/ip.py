@@ -44,7 +44,7 @@ def mapped_ipv4(host: Column) -> Column:
             .when(rest.rlike("^[0-9a-f]{1,8}$"), _radix(rest, 16).cast("string"))
         )
 
-    return F.when(host.startswith("::ffff:"), let(F.substring(host, 8, 1000), read))
+    return F.when(host.startswith("::ffff:"), let(F.substring(host, F.lit(8), F.length(host)), read))
 
 
 def ipv4_number(host: Column) -> Column:

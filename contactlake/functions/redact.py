@@ -25,10 +25,12 @@ def redact_pii(c: Column) -> Column:
     return F.regexp_replace(out, f"{WORD_START}{K.JWT_PATTERN}{WORD_END}", TOKEN)
 
 
-def clean_snippet(c: Column, max_chars: int = 150, redact: bool = True) -> Column:
+def clean_snippet(c: Column, max_chars: int | None = 150, redact: bool = True) -> Column:
     out = collapse_ws(F.regexp_replace(strip_ws(c), "<[^>]+>", " "))
     if redact:
         out = redact_pii(out)
+    if max_chars is None:
+        return blank_to_null(out)
     cut = lambda t: F.concat(strip_ws(F.substring(t, 1, max_chars)), F.lit("..."))
     return blank_to_null(let(out, lambda t: F.when(F.length(t) > max_chars, cut(t)).otherwise(t)))
 

@@ -147,21 +147,26 @@ def strip_markup(html: Column) -> Column:
     return F.trim(collapse_ws(out))
 
 
-def snippet(text: Column, needle: Column, radius: int = 50) -> Column:
-    """Text around the first case-insensitive occurrence; '' when absent."""
+def snippet(text: Column, needle: Column, radius: int = 50, lowered: Column | None = None, size: Column | None = None) -> Column:
+    """Text around the first case-insensitive occurrence; '' when absent.
+
+    ``lowered`` and ``size`` spare many needles of one text its lower case and length.
+    """
+    size = F.length(text) if size is None else size
+    lowered = F.lower(text) if lowered is None else lowered
 
     def cut(at: Column) -> Column:
         start = F.greatest(F.lit(1), at - F.lit(radius))
-        stop = F.least(F.length(text), at + F.length(needle) - F.lit(1) + F.lit(radius))
+        stop = F.least(size, at + F.length(needle) - F.lit(1) + F.lit(radius))
         return F.when(at == 0, F.lit("")).otherwise(
             F.concat(
                 F.when(start > 1, F.lit("...")).otherwise(F.lit("")),
                 strip_ws(collapse_ws(F.substring(text, start, stop - start + 1))),
-                F.when(stop < F.length(text), F.lit("...")).otherwise(F.lit("")),
+                F.when(stop < size, F.lit("...")).otherwise(F.lit("")),
             )
         )
 
-    return let(F.position(F.lower(needle), F.lower(text)), cut)
+    return let(F.position(F.lower(needle), lowered), cut)
 
 
 def phones(html: Column) -> Column:

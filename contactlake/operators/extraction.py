@@ -129,30 +129,42 @@ def extract_contact_records(
         _valid_distinct(T.find_addresses(T.deobfuscate(F.col("__text"))), tlds).alias("__visible"),
         _valid_distinct(T.find_addresses(T.deobfuscate(F.col("__doc"))), tlds).alias("__all"),
     )
-    everything = F.array_distinct(F.concat("__mailto", "__visible", "__all"))
+    # What holds for the page is found once, before its addresses become rows; the HTML goes no further.
+    page = F.col("__html")
+    tiers = tiers.withColumn("__every", F.array_distinct(F.concat("__mailto", "__visible", "__all")))
+    tiers = tiers.select(
+        "page_id", "source_url", "depth", "__title", "__mailto", "__visible", "__every", "__text", "__doc",
+        F.lower("__text").alias("__text_low"), F.length("__text").alias("__text_len"),
+        F.lower("__doc").alias("__doc_low"), F.length("__doc").alias("__doc_len"),
+        T.job_title(page).alias("__page_job"), T.phones(page).alias("__phones"), T.socials(page).alias("socials"),
+        T.blank_to_null(T.page_title(page)).alias("__page_title"),
+    )
 
-    def hit(e: Column) -> Column:
-        visible = F.array_contains("__visible", e)
-        direct = F.array_contains("__mailto", e)
-        seen = F.when(visible, T.snippet(F.col("__text"), e)).otherwise(F.lit(""))
-        raw = F.regexp_replace(T.snippet(F.col("__doc"), e, 40), "<[^>]+>", " ")
-        raw = T.strip_ws(T.collapse_ws(F.regexp_replace(raw, "(?i)&quot;", '"')))
+    def context(seen: Column, e: Column, visible: Column, direct: Column) -> Column:
+        around = T.snippet(F.col("__doc"), e, 40, F.col("__doc_low"), F.col("__doc_len"))
+        raw = T.let(
+            T.strip_ws(T.collapse_ws(F.regexp_replace(F.regexp_replace(around, "<[^>]+>", " "), "(?i)&quot;", '"'))),
+            lambda r: F.when(F.length(r) > 0, r).otherwise(METADATA_CONTEXT),
+        )
         as_text = visible & (~direct | (F.length(seen) > 0))
         return F.struct(
             e.alias("email"),
             F.when(as_text, "text").when(direct, "mailto").otherwise("metadata").alias("context_type"),
-            F.when(as_text, seen)
-            .when(direct, F.lit(MAILTO_CONTEXT))
-            .otherwise(F.when(F.length(raw) > 0, raw).otherwise(METADATA_CONTEXT))
-            .alias("context"),
+            F.when(as_text, seen).when(direct, F.lit(MAILTO_CONTEXT)).otherwise(raw).alias("context"),
         )
 
+    def hit(e: Column) -> Column:
+        visible, direct = F.array_contains("__visible", e), F.array_contains("__mailto", e)
+        seen = F.when(visible, T.snippet(F.col("__text"), e, 50, F.col("__text_low"), F.col("__text_len"))).otherwise(F.lit(""))
+        return T.let(seen, lambda s: context(s, e, visible, direct))
+
     hits = tiers.select(
-        "page_id", "source_url", "depth", "__html", "__title",
-        F.posexplode_outer(F.transform(everything, hit)).alias("ord", "hit"),
+        "page_id", "source_url", "depth", "__title", "__page_job", "__phones", "socials", "__page_title",
+        # Outer, as Spark would else decode every page twice to filter on the size of what it explodes.
+        F.posexplode_outer(F.transform("__every", hit)).alias("ord", "hit"),
     ).where(F.col("hit").isNotNull())
     hits = hits.withColumn("__role", A.is_role_address(F.col("hit.email")))
-    e, ctx, page, role = F.col("hit.email"), F.col("hit.context"), F.col("__html"), F.col("__role")
+    e, ctx, role = F.col("hit.email"), F.col("hit.context"), F.col("__role")
     return hits.select(
         "page_id",
         "ord",
@@ -160,12 +172,12 @@ def extract_contact_records(
         A.part(e, 1).alias("domain"),
         F.when(role, "role").otherwise("personal").alias("type"),
         F.when(~role, A.infer_name(e)).alias("name"),
-        F.coalesce(T.job_title(ctx), T.job_title(page)).alias("job_title"),
-        contact_phone(T.phones(page), ctx).alias("phone"),
-        T.socials(page).alias("socials"),
+        F.coalesce(T.job_title(ctx), F.col("__page_job")).alias("job_title"),
+        contact_phone(F.col("__phones"), ctx).alias("phone"),
+        "socials",
         F.lit("unverified").alias("mx_status"),
         "source_url",
-        F.coalesce(T.blank_to_null(F.col("__title")), T.blank_to_null(T.page_title(page))).alias("page_title"),
+        F.coalesce(T.blank_to_null(F.col("__title")), F.col("__page_title")).alias("page_title"),
         T.blank_to_null(ctx).alias("context_snippet"),
         F.col("hit.context_type").alias("context_type"),
         F.lit(method).alias("extraction_method"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from contactlake import constants as K
+from contactlake.functions.tlds import delegated
 
 WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -45,6 +46,8 @@ def deobfuscate(c: str) -> str:
 
 
 def tld_known(label: str) -> str:
+    if delegated():
+        return f"{label} in {in_list(delegated())}"
     return (
         f"((regexp_matches({label}, '^[a-z]{{2}}$') and not regexp_matches({label}, '^(?:aa|q[m-z]|x[a-z]|zz)$')) "
         f"or {label} in {in_list(K.GENERIC_TLDS)})"

@@ -9,22 +9,21 @@ from contactlake.plans import contacts as P
 from contactlake.plans import ducksql as D
 from contactlake.plans import seeds as S
 from contactlake.plans.registry import query
-from contactlake.sources.corpus import spread_small
 
 
 def _docs(spark, sf):
-    return spread_small(spark.read.parquet(f"{sf}/documents.parquet"))
+    return spark.read.parquet(f"{sf}/documents.parquet")
 
 
 def _pages(spark, sf):
-    return spread_small(spark.read.parquet(f"{sf}/pages.parquet"))
+    return spark.read.parquet(f"{sf}/pages.parquet")
 
 
 def corpus(spark, sf):
     """Documents and pages as one text corpus: source, id, text."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("concat('d', doc_id) as id", "text")
     pages = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("concat('p', page_id) as id", "html as text")
-    return spread_small(docs.unionByName(pages))
+    return docs.unionByName(pages)
 
 
 _CORPUS = "corpus as (select 'd' || doc_id as id, text from documents union all select 'p' || page_id, html from pages)"
@@ -47,6 +46,20 @@ def x2(spark, sf):
     return X.extract_emails(corpus(spark, sf), "id", "text")
 
 
+_OWN_TLDS = ("com", "io", "software", "co.uk")
+_OWN_RULE = "regexp_matches(lower(split_part(email, '@', 2)), '[^.]\\.(com|io|software)$') or regexp_matches(lower(split_part(email, '@', 2)), '[^.]\\.co\\.uk$')"
+
+
+@query(
+    "x2_explicit_tlds",
+    f"with {_CORPUS}, {_FOUND}, mixed as (select id, replace(email, '.org', '.software') as email from found) select id, email from mixed where {_OWN_RULE}",
+)
+def x2_explicit(spark, sf):
+    """Addresses under a caller's own list of domains; one of its names is put in for another first."""
+    found = X.extract_emails(corpus(spark, sf), "id", "text").withColumn("email", F.replace("email", F.lit(".org"), F.lit(".software")))
+    return X.extract_emails(found, "id", "email", tlds=_OWN_TLDS).where("email is not null")
+
+
 @query(
     "flagship_domains",
     f"""with {_CORPUS}, {_FOUND}, c as (select id, {D.canonical('email')} as canonical from found)
