@@ -7,7 +7,7 @@ from contactlake.plans.q_extract import _RECORDS
 from contactlake.plans.registry import query
 from contactlake.streaming import jobs as J
 from contactlake.streaming import quotas as Q
-from contactlake.streaming.runner import ROCKSDB, run_append, run_update, stream_table
+from contactlake.streaming.runner import ROCKSDB, STATE_STORE, run_append, run_update, stream_table
 
 
 def _event_stream(spark, sf):
@@ -15,7 +15,9 @@ def _event_stream(spark, sf):
 
 
 def _stateful(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Sessions built elsewhere may lack the state store that these processors need (see ``session``)."""
+    if spark.conf.get(STATE_STORE, None) != ROCKSDB:
+        spark.conf.set(STATE_STORE, ROCKSDB)
 
 
 @query("r1_stream_contacts", f"with {_RECORDS} select page_id, email, context_type from records")
@@ -154,28 +156,6 @@ def r8_tumbling(spark, sf):
     return Q.tumbling_quota(rows, limit=3, window_ms=_DAY)
 
 
-@query(
-    "r9_daily_quota",
-    f"""with recursive u as (select user_id as user, epoch_us(ts) // 1000 as t, event_id as id, round(value)::bigint as n, user_id % 50 = 0 as adm,
-      row_number() over (partition by user_id order by ts, event_id) as rn from events),
-    w(user, rn, t, id, n, allowed, used, expires) as (
-      select user, rn, t, id, n, n <= 60, case when n <= 60 then n else 0 end, case when n <= 60 and n > 0 then t + {_DAY} else -1 end from u where rn = 1 and not adm
-      union all select u.user, u.rn, u.t, u.id, u.n, b.base + u.n <= 60, case when b.base + u.n <= 60 then b.base + u.n else b.base end,
-        case when b.base + u.n <= 60 and u.n > 0 and b.base = 0 then u.t + {_DAY} else b.expires end
-      from (select w.*, nx.t as nt, case when nx.t > w.expires then 0 else w.used end as base from w join u nx on nx.user = w.user and nx.rn = w.rn + 1) b
-      join u on u.user = b.user and u.rn = b.rn + 1)
-    select user, t::bigint as t, id, n::bigint as n, allowed::int as allowed, greatest(0, 60 - used)::bigint as remaining from w
-    union all select user, t::bigint, id, n::bigint, 1, {Q.UNLIMITED}::bigint from u where adm""",
-)
-def r9(spark, sf):
-    rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr(
-        "user_id as user", "unix_millis(cast(ts as timestamp)) as t", "event_id as id", "cast(round(value) as bigint) as n",
-        "case when user_id % 50 = 0 then 'admin' else 'user' end as role",
-    )
-    out = Q.daily_quota(rows, limit=60)
-    return out.withColumn("allowed", F.col("allowed").cast("int"))
-
-
 @query(
     "r10_session_activity",
     f"""with {S.EVENTS_CTE} select (epoch_us(time_bucket(interval 6 hours, ts)) // 1000)::bigint as start_ms, event, count(*)::bigint as n from ev

@@ -11,12 +11,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from contactlake.functions import addresses as A
 from contactlake.operators.extraction import extract_contact_records
-from contactlake.operators.joins import salted_lookup
+from contactlake.operators.joins import lookup
 from contactlake.operators.ordering import running
 from contactlake.operators.suppression import _index
 
-REPLAY_BUFFER = 150
 JOB_TIMEOUT_MS = 600_000
+# State of a job or key that has been silent this long is dropped.
+KEEP_STATE_MS = 7 * 86_400_000
 
 # fixed values: event name -> job status it leads to
 EVENT_STATUS = {
@@ -31,8 +32,15 @@ def stream_contacts(pages: DataFrame, **options) -> DataFrame:
     return extract_contact_records(pages, **options)
 
 
-def stream_first_seen(contacts: DataFrame, ts: str = "discovered_at", delay: str = "1 hour", keys=("job_id", "email")) -> DataFrame:
-    """Each address once per job; state is dropped behind the watermark."""
+def stream_first_seen(contacts: DataFrame, ts: str = "discovered_at", delay: str | None = None, keys=("job_id", "email")) -> DataFrame:
+    """Each address once per job.
+
+    State is one key per job and address, on disk under RocksDB.  With ``delay``
+    keys are forgotten behind the watermark: bounded state, but an address that
+    comes back later than that is announced again.
+    """
+    if delay is None:
+        return contacts.dropDuplicates(list(keys))
     return contacts.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -60,43 +68,57 @@ def sequence_events(events: DataFrame, job: str = "job_id", ts: str = "ts", tie:
 
 
 class _Sequencer(StatefulProcessor):
-    """Numbers the events of a job across micro-batches."""
+    """Numbers the events of a job across micro-batches.
+
+    Within a micro-batch a key's rows are ordered as a whole, whatever chunks they
+    come in; they are three narrow columns of one job's share of one batch.
+    """
+
+    def __init__(self, last_events: tuple[str, ...]) -> None:
+        self.last_events = last_events
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "seq bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seq = self.last.get()[0] if self.last.exists() else 0
-        for chunk in rows:
-            ordered = chunk.sort_values(["ts", "event_id"])
-            numbers = range(seq + 1, seq + 1 + len(ordered))
-            seq += len(ordered)
-            yield pd.DataFrame({"job_id": key[0], "event_id": ordered["event_id"], "event": ordered["event"], "seq": numbers})
-        self.last.update((seq,))
+        ordered = pd.concat(rows).sort_values(["ts", "event_id"])
+        yield pd.DataFrame({
+            "job_id": key[0], "event_id": ordered["event_id"], "event": ordered["event"],
+            "seq": range(seq + 1, seq + 1 + len(ordered)),
+        })
+        if ordered["event"].iloc[-1] in self.last_events:
+            self.last.clear()
+        else:
+            self.last.update((seq + len(ordered),))
 
     def close(self) -> None:
         pass
 
 
-def stream_sequence(events: DataFrame) -> DataFrame:
-    """Stream: events(job_id, event_id, event, ts) with a per-job arrival number."""
+def stream_sequence(events: DataFrame, last_events: tuple[str, ...] = ()) -> DataFrame:
+    """Stream: events(job_id, event_id, event, ts) with a per-job arrival number.
+
+    Arrival is by micro-batch, and by time within one.  State is one number per
+    job; where jobs end for good, ``last_events`` (such as ``TERMINAL_EVENTS``)
+    name the events after which it is dropped.
+    """
     return events.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=_Sequencer(),
+        statefulProcessor=_Sequencer(last_events),
         outputStructType="job_id bigint, event_id bigint, event string, seq bigint",
         outputMode="Append",
         timeMode="None",
     )
 
 
-def replay(sequenced: DataFrame, since_seq: int = 0, job=None, keep: int = REPLAY_BUFFER) -> DataFrame:
-    """Events after ``since_seq`` among the last ``keep`` of each job."""
+def replay(sequenced: DataFrame, since_seq: int = 0, job=None, keep: int | None = None) -> DataFrame:
+    """Events after ``since_seq``, of each job the last ``keep`` if given."""
     scoped = sequenced if job is None else sequenced.where(F.col("job_id") == job)
+    after = F.col("seq") > max(since_seq, 0)
+    if keep is None:
+        return scoped.where(after)
     latest = scoped.groupBy("job_id").agg(F.max("seq").alias("__top"))
-    return (
-        salted_lookup(scoped, latest, "job_id", "seq")
-        .where((F.col("seq") > F.col("__top") - keep) & (F.col("seq") > max(since_seq, 0)))
-        .drop("__top")
-    )
+    return lookup(scoped, latest, "job_id").where((F.col("seq") > F.col("__top") - keep) & after).drop("__top")
 
 
 def job_state(events: DataFrame) -> DataFrame:
@@ -145,16 +167,17 @@ class _Watchdog(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         started, ended = self.job.get() if self.job.exists() else (None, False)
-        before = started
+        last = 0
         for chunk in rows:
             starts = chunk.loc[chunk["event"] == "started", "ts_ms"]
             if len(starts):
                 first = int(starts.min())
                 started = first if started is None else min(started, first)
             ended = ended or bool(chunk["event"].isin(TERMINAL_EVENTS).any())
+            last = max(last, int(chunk["ts_ms"].max()))
         self.job.update((started, ended))
-        if started is not None and started != before:
-            self.handle.registerTimer(started + self.limit_ms)
+        # The timer ends every state: of a job without a start once it has been silent long enough.
+        self.handle.registerTimer(started + self.limit_ms if started is not None else last + KEEP_STATE_MS)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -189,9 +212,9 @@ def session_activity(events: DataFrame, ts: str = "ts", delay: str = "10 minutes
 def user_sessions(events: DataFrame, ts: str = "ts", gap: str = "30 minutes", delay: str = "10 minutes", key: str = "job_id") -> DataFrame:
     """Sessions per key: bursts of events closer than the gap.
 
-    Sessions of one task merge before the shuffle, so a busy key stays small.
+    Sessions of one task merge before the shuffle (a setting in ``session``), so a
+    busy key stays small.
     """
-    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     grouped = events.withWatermark(ts, delay).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"))
     return grouped.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
@@ -208,7 +231,7 @@ def stream_suppression(contacts: DataFrame, suppression: DataFrame) -> DataFrame
         side = index.where(F.col("space") == space).select(
             F.col("key").alias(f"__k_{kind}"), F.col("reason").alias(f"__r_{kind}")
         )
-        out = salted_lookup(out, side, f"__k_{kind}", "__k_sha256" if kind != "sha256" else "email")
+        out = lookup(out, side, f"__k_{kind}")
     reason = F.coalesce(*[F.col(f"__r_{k}") for k, _ in kinds])
     kind = F.coalesce(*[F.when(F.col(f"__r_{k}").isNotNull(), k) for k, _ in kinds])
     flagged = out.withColumn("is_suppressed", kind.isNotNull()).withColumn("suppression_reason", reason).withColumn("matched_type", kind)

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from contactlake.operators.ordering import running
 from contactlake.session import ensure_checkpoint_dir
 
-UNLIMITED = 999_999
-DAY_MS = 86_400_000
-
 
 def _window_starts(ticks: DataFrame, window_ms: int, ranges: int | None) -> DataFrame:
     """(key, anchor): ticks at which a window opens.
@@ -77,81 +75,54 @@ def tumbling_quota(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
 class _Counter(StatefulProcessor):
     """Fixed-window counter; the window opens with the first request after expiry."""
 
-    def __init__(self, limit: int, window_ms: int) -> None:
-        self.limit, self.window_ms = limit, window_ms
+    def __init__(self, limit: int, window_ms: int, timed: bool) -> None:
+        self.limit, self.window_ms, self.timed = limit, window_ms, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("window", "count bigint, expires bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         count, expires = self.state.get() if self.state.exists() else (0, -1)
-        for chunk in rows:
-            chunk = chunk.sort_values(["t", "id"])
-            used = []
-            for t in chunk["t"]:
-                if count == 0 or t > expires:
-                    count, expires = 0, int(t) + self.window_ms
-                count += 1
-                used.append(count)
-            yield pd.DataFrame({"key": key[0], "id": chunk["id"], "used": used, "allowed": [u <= self.limit for u in used]})
+        # A key's rows of a micro-batch are ordered as a whole: two narrow columns.
+        batch = pd.concat(rows).sort_values(["t", "id"])
+        times, used = batch["t"].to_numpy(), np.empty(len(batch), np.int64)
+        at = 0
+        while at < len(times):
+            if count == 0 or times[at] > expires:
+                count, expires = 0, int(times[at]) + self.window_ms
+            stop = int(np.searchsorted(times, expires, side="right"))
+            stop = max(stop, at + 1)
+            used[at:stop] = np.arange(count + 1, count + 1 + stop - at)
+            count, at = count + stop - at, stop
+        yield pd.DataFrame({"key": key[0], "id": batch["id"], "used": used, "allowed": used <= self.limit})
         self.state.update((count, expires))
+        if self.timed:
+            self.handle.registerTimer(expires + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # An earlier window's timer leaves a later window alone.
+        if self.state.exists() and self.state.get()[1] < expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def stream_request_quota(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """Stream: the same arithmetic in arrival order, state per key."""
+def stream_request_quota(events: DataFrame, limit: int, window_ms: int, delay: str | None = None) -> DataFrame:
+    """Stream: the same arithmetic in arrival order, state per key.
+
+    Arrival is by micro-batch, and by time within one: a request that comes in a
+    later batch than a newer one is counted after it.  State is two numbers per
+    key; with ``delay`` it is dropped once the watermark has passed its window, and
+    requests that come later than that are not answered.
+    """
+    if delay:
+        events = events.withColumn("ts", F.timestamp_millis("t")).withWatermark("ts", delay)
     return events.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Counter(limit, window_ms),
+        statefulProcessor=_Counter(limit, window_ms, bool(delay)),
         outputStructType="key bigint, id bigint, used bigint, allowed boolean",
         outputMode="Append",
-        timeMode="None",
-    )
-
-
-def _busy_spells(usage: DataFrame) -> DataFrame:
-    """(user, day, spell): spells of a user are more than a day apart, hence independent."""
-    days = usage.select("user", "day").distinct()
-    by_day = Window.partitionBy("user").orderBy("day")
-    breaks = F.when(F.col("day") - F.lag("day").over(by_day) >= 2, 1).otherwise(0)
-    # One row per user and calendar day: a short window for any user.
-    return days.withColumn("__b", breaks).select("user", "day", F.sum("__b").over(by_day).alias("spell"))
-
-
-def daily_quota(usage: DataFrame, limit: int = 10_000, window_ms: int = DAY_MS) -> DataFrame:
-    """Admit each request only if it fits whole into the user's open window.
-
-    ``usage(user, t, id, n, role)``.  Every verdict depends on the earlier
-    verdicts of its spell, so a spell is read in time order by one task, as a
-    sorted stream of Arrow batches that carries three numbers; it is never held
-    in memory.  Users, and spells more than a day apart, run in parallel.
-    """
-    dated = usage.withColumn("day", F.floor(F.col("t") / DAY_MS))
-    admins = dated.where(F.col("role") == "admin").select(
-        "user", "t", "id", "n", F.lit(True).alias("allowed"), F.lit(UNLIMITED).cast("bigint").alias("remaining")
+        timeMode="EventTime" if delay else "None",
     )
-    users = dated.where(~F.coalesce(F.col("role") == "admin", F.lit(False)))
-    keyed = users.join(_busy_spells(users), ["user", "day"]).select("user", "spell", "t", "id", "n")
-    sorted_rows = keyed.repartition("user", "spell").sortWithinPartitions("user", "spell", "t", "id")
-
-    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_key, count, expires = None, 0, -1
-        for pdf in batches:
-            allowed, remaining = [], []
-            for user, spell, t, n in zip(pdf["user"], pdf["spell"], pdf["t"], pdf["n"]):
-                if (user, spell) != open_key:
-                    open_key, count, expires = (user, spell), 0, -1
-                if t > expires:
-                    count = 0
-                fits = count + n <= limit
-                if fits and n > 0:
-                    if count == 0:
-                        expires = t + window_ms
-                    count += n
-                allowed.append(fits)
-                remaining.append(max(0, limit - count))
-            yield pdf[["user", "t", "id", "n"]].assign(allowed=allowed, remaining=remaining)
-
-    schema = keyed.select("user", "t", "id", "n").schema.add("allowed", "boolean").add("remaining", "long")
-    return sorted_rows.mapInPandas(admit, schema).unionByName(admins)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from contactlake.operators.firsts import last_per_key
 from contactlake.session import shared_dir
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

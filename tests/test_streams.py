@@ -55,29 +55,41 @@ def test_stream_quota_matches_the_counter(spark, tmp_path):
     assert {r.id: (r.used, r.allowed) for r in out.collect()} == {i: w[:2] for i, w in want.items()}
 
 
-def test_daily_quota_matches_greedy_admission(spark):
-    day = Q.DAY_MS
-    rng = random.Random(5)
-    rows, t = [], 0
-    for i in range(500):
-        t += rng.choice([0, day // 9, day // 3, 3 * day]) if rng.random() < 0.5 else 1
-        rows.append((rng.choice([1, 1, 1, 2, 3]), t, i, rng.randrange(0, 40), "admin" if i % 97 == 0 else "user"))
-    state, want = {}, {}
-    for user, t, i, n, role in sorted(rows, key=lambda r: (r[1], r[2])):
-        if role == "admin":
-            want[i] = (True, Q.UNLIMITED)
-            continue
-        count, expires = state.get(user, (0, -1))
-        if t > expires:
-            count = 0
-        ok = count + n <= 60
-        if ok and n:
-            expires = t + day if count == 0 else expires
-            count += n
-        state[user] = (count, expires)
-        want[i] = (ok, max(0, 60 - count))
-    df = spark.createDataFrame(rows, "user long, t long, id long, n long, role string")
-    assert {r.id: (r.allowed, r.remaining) for r in Q.daily_quota(df, 60).collect()} == want
+def test_stream_quota_orders_a_large_key_over_batches(spark, tmp_path):
+    """12,000 requests of one key, stored newest first, in three files of rising time."""
+    rows = [(1, 10_000_000 + i * 3, i, 0) for i in range(12_000)]
+    schema = "key long, t long, id long, n long"
+    for part in range(3):
+        mine = [r for r in rows if r[2] // 4000 == part][::-1]
+        spark.createDataFrame(mine, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = run_append(Q.stream_request_quota(stream, 50, 1000, delay="1 hour"), str(tmp_path / "out"))
+    want = fixed_windows(rows, 50, 1000)
+    assert {r.id: (r.used, r.allowed) for r in out.collect()} == {i: w[:2] for i, w in want.items()}
+
+
+def test_first_seen_once_per_job_whatever_the_gap(spark, tmp_path):
+    for hour in range(0, 21, 3):
+        rows = [(1, "a@b.com", f"2024-01-01 {hour:02d}:00:00"), (hour, "a@b.com", f"2024-01-01 {hour:02d}:00:00")]
+        df = spark.createDataFrame(rows, "job_id long, email string, ts string").selectExpr("job_id", "email", "timestamp(ts) as discovered_at")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("job_id long, email string, discovered_at timestamp").option("maxFilesPerTrigger", 1)
+    out = run_append(J.stream_first_seen(stream.parquet(str(tmp_path / "in"))), str(tmp_path / "out"))
+    assert sorted(r.job_id for r in out.collect()) == [0, 1, 3, 6, 9, 12, 15, 18]
+
+
+def test_stream_sequence_over_batches(spark, tmp_path):
+    schema = "job_id long, event_id long, event string, ts timestamp"
+    for part in range(2):
+        rows = [(1, part * 6000 + i, "progress") for i in range(6000)][::-1] + [(2, 90_000 + part, "done")]
+        df = spark.createDataFrame(rows, "job_id long, event_id long, event string").selectExpr("*", "timestamp_seconds(event_id) as ts")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = run_append(J.stream_sequence(read()), str(tmp_path / "out"))
+    assert {r.event_id: r.seq for r in out.where("job_id = 1").collect()} == {i: i + 1 for i in range(12_000)}
+    assert sorted(r.seq for r in out.where("job_id = 2").collect()) == [1, 2]
+    ended = run_append(J.stream_sequence(read(), J.TERMINAL_EVENTS), str(tmp_path / "ended"))
+    assert [r.seq for r in ended.where("job_id = 2").collect()] == [1, 1]
 
 
 def test_stream_extraction_equals_batch(spark):
