@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contactlake.functions import addresses as A
 from contactlake.functions.text import WS, strip_ws
 from contactlake.operators.firsts import first_per_key
-from contactlake.operators.joins import salted_lookup
+from contactlake.operators.joins import lookup
 
 VERSION = "1.0"
 PART_SIZE = 1000
@@ -81,7 +81,7 @@ def split_identity(df: DataFrame) -> DataFrame:
                 inferred,
                 F.struct(
                     F.get(words, F.lit(0)).alias("first_name"),
-                    F.when(F.size(words) > 1, F.array_join(F.slice(words, 2, 10_000), " ")).alias("last_name"),
+                    F.when(F.size(words) > 1, F.array_join(F.slice(words, 2, F.size(words)), " ")).alias("last_name"),
                     F.lit(0.45).alias("confidence"),
                     F.lit("email_local_part").alias("source"),
                 ),
@@ -156,7 +156,7 @@ def crm_payloads(
         (F.lit(domain) if domain else F.when((F.col("__lo") == F.col("__hi")) & (F.col("__missing") == 0), F.col("__lo")))
         .cast("string").alias("company_domain"),
     )
-    spread = salted_lookup(crm_contacts(unique), batch, by, "__email").withColumn(
+    spread = lookup(crm_contacts(unique), batch, by).withColumn(
         "part", F.pmod(F.xxhash64("__email"), F.col("parts")).cast("int")
     )
     # Each list holds about part_size contacts.

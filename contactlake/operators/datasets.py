@@ -10,12 +10,9 @@ from contactlake.functions.text import strip_ws
 from contactlake.operators.firsts import first_per_key
 from contactlake.operators.ordering import ranked, running
 
-FOLDER_CAP = 10_000
-DEEP_PAGE = 100_000
 
-
-def upsert_folder(existing: DataFrame, incoming: DataFrame, cap: int | None = FOLDER_CAP) -> DataFrame:
-    """Last write wins per lower(email); first position kept; at most ``cap`` per folder.
+def upsert_folder(existing: DataFrame, incoming: DataFrame, cap: int | None = None) -> DataFrame:
+    """Last write wins per lower(email); first position kept; at most ``cap`` per folder if given.
 
     Both need folder_id, email, pos (order within their side).
     """
@@ -174,21 +171,22 @@ def search_contacts(
     return out
 
 
-def page_of(df: DataFrame, order: list[str], page: int = 1, size: int = 25) -> DataFrame:
+def page_of(df: DataFrame, order: list[str], page: int = 1, size: int = 25, deep: bool = False) -> DataFrame:
     """One page of a stable order, with page and total_pages; out-of-range pages clamp.
 
-    ``order`` must be unique.  Shallow pages are a top-k; deep ones are cut out
-    by running row numbers, so no task sorts everything before them.
+    ``order`` must be unique.  A page is a top-k over everything before it; with
+    ``deep`` it is cut out by running row numbers over ranges instead, so no task
+    sorts the rows before it.
     """
     total = df.count()
     pages = max(1, -(-total // size))
     page = min(max(page, 1), pages)
     skip = (page - 1) * size
-    if skip + size <= DEEP_PAGE:
-        rows = df.orderBy(*order).offset(skip).limit(size)
-    else:
+    if deep:
         numbered = running(df, [], [F.col(c) for c in order], row_number="row_")
         rows = numbered.where((F.col("row_") > skip) & (F.col("row_") <= skip + size)).drop("row_")
+    else:
+        rows = df.orderBy(*order).offset(skip).limit(size)
     return rows.withColumn("page", F.lit(page)).withColumn("total_pages", F.lit(pages))
 
 
@@ -211,10 +209,11 @@ def project_fields(contacts: DataFrame, fields: list[str] | None = None, labels:
     return contacts.select(*[c.alias(label if labels else key) for key, c, label in picked])
 
 
-def list_jobs(jobs: DataFrame, owner: str | None = None, limit: int = 50) -> DataFrame:
-    """Newest jobs first, at most 100."""
+def list_jobs(jobs: DataFrame, owner: str | None = None, limit: int | None = None) -> DataFrame:
+    """Newest jobs first, the first ``limit`` if given."""
     mine = jobs if owner in (None, "all") else jobs.where(F.col("owner") == owner)
-    return mine.orderBy(F.col("started_at").desc(), F.col("job_id").desc()).limit(min(100, limit))
+    mine = mine.orderBy(F.col("started_at").desc(), F.col("job_id").desc())
+    return mine if limit is None else mine.limit(limit)
 
 
 def job_metrics(jobs: DataFrame) -> DataFrame:

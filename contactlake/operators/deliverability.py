@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactlake import constants as K
 from contactlake.functions import addresses as A
-from contactlake.operators.joins import salted_lookup
+from contactlake.operators.joins import lookup
 
 MX, A_RECORD = 15, 1
 
@@ -72,9 +72,8 @@ def resolve_mx(domains: DataFrame, dns: DataFrame, compat: bool = False) -> Data
         F.when(F.col("has_mx"), first["priority"]).when(F.col("has_a"), F.lit(0)).alias("priority"),
         F.when(F.col("has_a"), F.col("__domain_ip")).alias("__fallback_ip"),
     )
-    # Many domains share one mail host: spread them over salts.
     host_ip = a.select(F.col("domain").alias("hostname"), F.col("ip").alias("__host_ip"))
-    return salted_lookup(hosted, host_ip, "hostname", "domain").select(
+    return lookup(hosted, host_ip, "hostname").select(
         "domain", "has_mx", "has_a", "is_null_mx", "mx_hosts", "hostname", "priority",
         F.coalesce("__fallback_ip", "__host_ip").alias("ip"),
     )
@@ -164,7 +163,7 @@ def verify_domains(contacts: DataFrame, dns: DataFrame, compat: bool = False) ->
         wanted.join(answers, "__d").withColumn("__joined", F.array_join("__records", " ")),
         "__joined", K.PROVIDERS_ANY_HOST, K.PROVIDER_ANY_HOST_DEFAULT,
     ).select("__d", "__records", F.col("provider").alias("__provider"), F.col("is_catch_all").alias("__risk"))
-    out = salted_lookup(c, named, "__d", "email")
+    out = lookup(c, named, "__d")
     disposable, found = A.is_disposable(F.col("__d")), F.col("__records").isNotNull()
     risk = F.coalesce("__risk", F.lit(False))
     status = (

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactlake.functions import urls as U
 from contactlake.operators.firsts import first_per_key
-from contactlake.operators.joins import salted_lookup
 from contactlake.operators.ordering import ranked
 from contactlake.session import ensure_checkpoint_dir
 
 
 def _step(frontier: DataFrame, edges: DataFrame, visited: DataFrame, same_domain: bool) -> DataFrame:
     """Unvisited targets of the frontier, one row per (site, url)."""
-    # A hub page may own a large share of the edges: spread its edges by target.
-    reached = salted_lookup(
-        edges, frontier.select("site", F.col("url").alias("src")), "src", "dst", how="inner"
-    ).select("site", F.col("dst").alias("url"))
+    # Edges keep their partitioning by source (a page has as many links as fit on it); the frontier moves.
+    reached = edges.join(frontier.select("site", F.col("url").alias("src")), "src").select("site", F.col("dst").alias("url"))
     if same_domain:
         reached = reached.where(U.host(F.col("url")) == F.col("site"))
     return reached.distinct().join(visited.select("site", "url"), ["site", "url"], "left_anti")
@@ -26,8 +25,8 @@ def _step(frontier: DataFrame, edges: DataFrame, visited: DataFrame, same_domain
 def crawl_frontier(
     seeds: DataFrame,
     links: DataFrame,
-    max_depth: int = 3,
-    max_pages: int | None = 50,
+    max_depth: int | None = None,
+    max_pages: int | None = None,
     same_domain: bool = True,
     allowed: DataFrame | None = None,
     canonical: DataFrame | None = None,
@@ -36,10 +35,19 @@ def crawl_frontier(
 
     ``seeds(url)``, ``links(src, dst)``; ``allowed(url, allowed)`` holds robots
     verdicts; ``canonical(src, dst)`` edges do not add depth.  Depth is the
-    shortest link distance; visits go by priority, depth, url, up to
-    ``max_pages`` per site.  One join per level; each level is checkpointed.
+    shortest link distance, up to ``max_depth`` (None: to the end of the graph);
+    visits go by priority, depth, url, up to ``max_pages`` per site.  Priority is
+    known only at the end, so the page cap bounds the result, not the walk.
+
+    Edges are shuffled by source once and kept so; each level is one join that
+    moves the frontier alone, and is checkpointed.
     """
-    ensure_checkpoint_dir(seeds.sparkSession)
+    spark = seeds.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = links.select("src", "dst").repartition(parts, "src").checkpoint(eager=True)
+    if canonical is not None:
+        canonical = canonical.select("src", "dst").repartition(parts, "src").checkpoint(eager=True)
     site = U.host(F.col("url")) if same_domain else F.lit("*")
     frontier = seeds.select(site.alias("site"), "url").distinct()
     blocked = None
@@ -54,7 +62,7 @@ def crawl_frontier(
 
     level = settle(admit(frontier), 0)
     visited = level
-    for depth in range(max_depth + 1):
+    for depth in itertools.count():
         if canonical is not None:
             fringe = level
             while not fringe.isEmpty():
@@ -70,9 +78,12 @@ def crawl_frontier(
     return ranked(found, ["site"], order, "visit_rank", max_pages)
 
 
-def clamp_limits(max_depth: int | None = None, max_pages: int | None = None) -> tuple[int, int]:
-    """Depth in 1..10 (default 2) and pages in 1..200 (default 30)."""
-    return min(10, max(1, max_depth or 2)), min(200, max(1, max_pages or 30))
+def checked_limits(max_depth: int | None = None, max_pages: int | None = None) -> tuple[int, int]:
+    """Depth in 1..10 (default 2) and pages in 1..200 (default 30), as a crawl request may ask for."""
+    depth, pages = 2 if max_depth is None else max_depth, 30 if max_pages is None else max_pages
+    if not 1 <= depth <= 10 or not 1 <= pages <= 200:
+        raise ValueError(f"depth {depth} is not in 1..10 or pages {pages} not in 1..200")
+    return depth, pages
 
 
 def site_contacts(frontier: DataFrame, records: DataFrame) -> DataFrame:

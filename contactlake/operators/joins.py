@@ -1,23 +1,17 @@
-"""Lookup joins against a dimension keyed by a skewed column (mail domains)."""
+"""Lookup joins against a dimension that has one row per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SALTS = 16
 
+def lookup(facts: DataFrame, dim: DataFrame, key: str | list[str], how: str = "left") -> DataFrame:
+    """Join facts to a dimension whose keys may be very unevenly used (mail domains, hosts, files).
 
-def salted_lookup(
-    facts: DataFrame, dim: DataFrame, key: str, spread_by: str, how: str = "left", salts: int = SALTS
-) -> DataFrame:
-    """Join facts to a dimension that has one row per ``key``.
-
-    A few mail providers own a large share of any contact list.  The narrow
-    dimension is repeated once per salt and the facts of one key spread over
-    the salts, so no task gets more than 1/salts of a hot key.  A dimension
-    small enough for Spark's size-checked automatic broadcast needs no shuffle.
+    A dimension within Spark's size-checked broadcast limit is broadcast.  Beyond
+    it the join shuffles, and adaptive skew handling splits a hot key's facts over
+    several tasks by ranges of map output, so identical rows are split as well and
+    only the hot partition of the dimension is read more than once.  The session
+    settings let it do so also where a later step could have used the partitioning.
     """
-    salted_dim = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(F.col(spread_by)), F.lit(salts)).cast("int"))
-    return salted.join(salted_dim, [key, "__salt"], how).drop("__salt")
+    return facts.join(dim, key, how)

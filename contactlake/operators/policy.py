@@ -11,7 +11,7 @@ from contactlake.functions import urls as U
 from contactlake.functions.redact import safe_filename
 from contactlake.functions.text import let, strip_ws
 from contactlake.operators.firsts import first_per_key
-from contactlake.operators.joins import salted_lookup
+from contactlake.operators.joins import lookup
 from contactlake.operators.ordering import running
 
 DEFAULT_AGENT = "contactlake/1.0"
@@ -105,18 +105,27 @@ def pattern_regex(p: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(F.replace(quoted, F.lit("*"), F.lit(".*")), r"\\\$$", r"\$"))
 
 
+def _prepared(patterns: str) -> Column:
+    """Patterns with a regular expression only where a plain prefix test does not do."""
+    wild = lambda p: p.contains("*") | p.endswith("$")
+    return F.transform(patterns, lambda p: F.struct(p.alias("p"), F.when(wild(p), pattern_regex(p)).alias("rx")))
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = DEFAULT_AGENT, url: str = "url") -> DataFrame:
     """Add allowed, crawl_delay_ms and blocked_by.  Any allow match wins over disallow."""
+    # Patterns are translated once per host, before they meet the URLs.
     policy = robots_policy(rules, agent).withColumnRenamed("host", "__host").withColumnRenamed("ua", "robots_agent")
-    joined = salted_lookup(
-        urls.withColumn("__host", U.host(F.col(url))).withColumn("__pq", U.path_and_query(F.col(url))),
-        policy, "__host", url,
+    policy = policy.withColumn("allow", _prepared("allow")).withColumn("disallow", _prepared("disallow"))
+    joined = lookup(
+        urls.withColumn("__host", U.host(F.col(url))).withColumn("__pq", U.path_and_query(F.col(url))), policy, "__host"
     )
 
-    def matching(column: str) -> Column:
-        return F.filter(column, lambda p: (p == "/") | F.regexp_like(F.col("__pq"), pattern_regex(p)))
+    def hit(x: Column) -> Column:
+        pq = F.col("__pq")
+        return (x["p"] == "/") | F.when(x["rx"].isNull(), F.startswith(pq, x["p"])).otherwise(F.regexp_like(pq, x["rx"]))
 
-    blocked = F.when(F.size(F.coalesce(matching("allow"), F.array())) == 0, F.get(matching("disallow"), F.lit(0)))
+    allowed = F.coalesce(F.exists("allow", hit), F.lit(False))
+    blocked = F.when(~allowed, F.get(F.filter("disallow", hit), F.lit(0))["p"])
     broken = F.length("__host") == 0
     return (
         joined.withColumn("blocked_by", F.when(~broken, blocked))
@@ -130,7 +139,7 @@ def robots_prefix_blocked(urls: DataFrame, rules: DataFrame, agent: str = "*", u
     # The agent's groups are merged per host; a file's patterns stay a short list.
     mine = rules.where((F.col("ua") == "*") | F.contains(F.col("ua"), F.lit(agent.lower())))
     merged = mine.groupBy("host").agg(F.flatten(F.collect_list("disallow")).alias("__no")).withColumnRenamed("host", "__host")
-    joined = salted_lookup(urls.withColumn("__host", U.host(F.col(url))), merged, "__host", url)
+    joined = lookup(urls.withColumn("__host", U.host(F.col(url))), merged, "__host")
     hit = F.exists("__no", lambda p: (p == "/") | F.startswith(U.path(F.col(url)), p))
     return joined.withColumn("blocked", F.coalesce(hit, F.lit(False))).drop("__host", "__no")
 
@@ -145,7 +154,7 @@ def url_safety(
             F.max(IP.is_restricted(F.col("ip"))).alias("__bad")
         )
         named = judged.withColumn("__host", IP.bare_host(U.host(strip_ws(F.col(url)))))
-        joined = salted_lookup(named, answers, "__host", url)
+        joined = lookup(named, answers, "__host")
         h = F.col("__host")
         is_name = ~h.contains(":") & ~h.rlike(r"^(?:0x)?[0-9a-f.x]*[0-9]$|^localhost$|\.localhost$")
         bad = F.lit(False) if allow_local else F.col("__bad")

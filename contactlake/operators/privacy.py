@@ -12,7 +12,7 @@ TERMINAL = ("completed", "cancelled", "failed")
 
 
 def redact_snippets(
-    df: DataFrame, col: str = "context_snippet", max_chars: int = 150, strip: bool = False,
+    df: DataFrame, col: str = "context_snippet", max_chars: int | None = 150, strip: bool = False,
     redact: bool = True, out: str | None = None,
 ) -> DataFrame:
     value = F.lit(None).cast("string") if strip else R.clean_snippet(F.col(col), max_chars, redact)
@@ -140,10 +140,8 @@ def export_audit_append(audit_rows: DataFrame, path: str) -> None:
     rows.select(*[f.name for f in AUDIT_SCHEMA.fields]).write.mode("append").parquet(path)
 
 
-def audit_report(audit: DataFrame, user: str | None = None, is_admin: bool = False, limit: int = 100, keep: int = 5000) -> DataFrame:
-    """Newest export events, scoped to the user; the trail shows the last ``keep``."""
-    newest = [F.col("timestamp").desc(), F.col("id").desc()]
-    trail = audit.orderBy(*newest).limit(keep)
-    if not is_admin and user:
-        trail = trail.where(F.col("user_id") == user)
-    return trail.orderBy(*newest).limit(limit)
+def audit_report(audit: DataFrame, user: str | None = None, is_admin: bool = False, limit: int | None = None) -> DataFrame:
+    """Export events of the user (all for admins), newest first; the first ``limit`` if given."""
+    trail = audit if is_admin or not user else audit.where(F.col("user_id") == user)
+    trail = trail.orderBy(F.col("timestamp").desc(), F.col("id").desc())
+    return trail if limit is None else trail.limit(limit)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contactlake.functions import addresses as A
 from contactlake.functions.text import strip_ws
 from contactlake.operators.firsts import first_per_key, last_per_key
-from contactlake.operators.joins import SALTS, salted_lookup
+from contactlake.operators.joins import lookup
 
 # fixed values: request reason -> stored reason
 REASONS = {
@@ -45,30 +45,29 @@ def match_emails(emails: DataFrame, suppression: DataFrame) -> DataFrame:
     Works on the narrow set of distinct addresses, so neither repeated contacts
     nor wide records are shuffled.  Precedence: email, domain, sha256, md5.
     """
-    # A mail provider's domain may cover a large share of the addresses: domain
-    # entries are repeated per salt and the addresses spread over the salts.
-    salts = F.when(F.col("space") == "domain", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    index = _index(suppression).withColumn("salt", F.explode(salts))
+    index = _index(suppression)
+    # A list holds at most three spaces; those that it lacks cost nothing.
+    spaces = {r.space for r in index.select("space").distinct().collect()}
     e = F.col("email")
-    spread = F.pmod(F.xxhash64(e), F.lit(SALTS)).cast("int")
-
-    def key(rank: int, kind: str, space: str, value: Column, salt: Column | None = None) -> Column:
-        salt = F.lit(0) if salt is None else salt
-        return F.struct(
-            F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(space).alias("space"), value.alias("key"), salt.alias("salt")
+    forms = [
+        (0, "email", "email", e), (1, "domain", "domain", A.part(e, 1)),
+        (2, "sha256", "hash", F.sha2(e, 256)), (3, "md5", "hash", F.md5(e)),
+    ]
+    hits = None
+    for rank, kind, space, value in forms:
+        if space not in spaces:
+            continue
+        side = index.where(F.col("space") == space)
+        found = emails.select("email", value.alias("key")).where(F.col("key") != "")
+        found = lookup(found, side, "key", "inner").select(
+            "email", F.lit(rank).alias("rank"), F.lit(kind).alias("matched_type"), "reason",
+            (F.col("key") if space == "hash" else F.col("value")).alias("matched_value"),
+        )
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = emails.limit(0).select(
+            "email", F.lit(0).alias("rank"), *[F.lit(None).cast("string").alias(c) for c in ("matched_type", "reason", "matched_value")]
         )
-
-    forms = F.array(
-        key(0, "email", "email", e),
-        key(1, "domain", "domain", A.part(e, 1), spread),
-        key(2, "sha256", "hash", F.sha2(e, 256)),
-        key(3, "md5", "hash", F.md5(e)),
-    )
-    keys = emails.select("email", F.explode(forms).alias("k")).select("email", "k.*").where(F.col("key") != "")
-    hits = keys.join(index, ["space", "key", "salt"]).select(
-        "email", "rank", F.col("kind").alias("matched_type"), "reason",
-        F.when(F.col("space") == "hash", F.col("key")).otherwise(F.col("value")).alias("matched_value"),
-    )
     return first_per_key(hits, ["email"], ["rank"]).drop("rank")
 
 
@@ -83,27 +82,14 @@ def check_suppression(contacts: DataFrame, suppression: DataFrame, email: str =
         "__email", F.col("reason").alias("suppression_reason"), "matched_type", "matched_value"
     )
     base = contacts.drop("is_suppressed", "suppression_reason").withColumn("__email", A.normalise(F.col(email)))
-    # One address may fill a third of the list: spread its rows by a whole-row hash.
-    spread = base.withColumn("__row", F.xxhash64(*_hashable(base)))
-    return (
-        salted_lookup(spread, hits, "__email", "__row")
-        .withColumn("is_suppressed", F.col("matched_type").isNotNull())
-        .drop("__email", "__row")
-    )
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    """Columns fit for hashing (maps and variants are not)."""
-    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    return plain
+    return lookup(base, hits, "__email").withColumn("is_suppressed", F.col("matched_type").isNotNull()).drop("__email")
 
 
 def filter_suppressed(contacts: DataFrame, suppression: DataFrame, email: str = "email") -> DataFrame:
     """Contacts that no entry matches."""
     hits = _matches_for(contacts, suppression, email).select("__email")
     base = contacts.withColumn("__email", A.normalise(F.col(email)))
-    spread = base.withColumn("__row", F.xxhash64(*_hashable(base)))
-    return salted_lookup(spread, hits, "__email", "__row", how="left_anti").drop("__email", "__row")
+    return lookup(base, hits, "__email", "left_anti").drop("__email")
 
 
 def normalise_reason(c: Column) -> Column:
@@ -161,20 +147,18 @@ def _erase_keys(erase: DataFrame) -> DataFrame:
 
 
 def _keyed(records: DataFrame) -> DataFrame:
-    return records.withColumn("__email", strip_ws(F.lower("email"))).withColumn(
-        "__row", F.xxhash64(*_hashable(records))
-    )
+    return records.withColumn("__email", strip_ws(F.lower("email")))
 
 
 def forget_email(folder_records: DataFrame, erase: DataFrame) -> DataFrame:
     """Folder records without the addresses to be erased."""
-    return salted_lookup(_keyed(folder_records), _erase_keys(erase), "__email", "__row", "left_anti").drop("__email", "__row")
+    return lookup(_keyed(folder_records), _erase_keys(erase), "__email", "left_anti").drop("__email")
 
 
 def forget_report(folder_records: DataFrame, erase: DataFrame) -> DataFrame:
     """Deleted rows per affected folder."""
     return (
-        salted_lookup(_keyed(folder_records), _erase_keys(erase), "__email", "__row", "left_semi")
+        lookup(_keyed(folder_records), _erase_keys(erase), "__email", "left_semi")
         .groupBy("folder_id")
         .agg(F.count("*").alias("deleted_records"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contactlake import constants as K
 from contactlake.functions import addresses as A
 from contactlake.functions.text import strip_ws
-from contactlake.operators.joins import salted_lookup
+from contactlake.operators.joins import lookup
 
 _CHECKS = [check for check, _, _ in K.STATIC_CHECKS]
 _ALWAYS_PASS = {"role_account", "freemail", "canonical_form"}
@@ -47,7 +47,7 @@ def validate_static(
     else:
         listed = disposable.select(A.normalise(F.col("domain")).alias("__domain")).distinct()
         listed = listed.withColumn("__listed", F.lit(True))
-        parts = salted_lookup(parts, listed, "__domain", "__raw").withColumn(
+        parts = lookup(parts, listed, "__domain").withColumn(
             "is_disposable", F.coalesce(F.col("__listed"), F.lit(False))
         ).drop("__listed")
 

@@ -12,7 +12,7 @@ from contactlake.functions.text import strip_ws
 from contactlake.operators import deliverability as M
 from contactlake.operators import validation as V
 from contactlake.operators.extraction import extract_contact_records, unique_contacts
-from contactlake.operators.joins import salted_lookup
+from contactlake.operators.joins import lookup
 from contactlake.operators.policy import url_safety
 from contactlake.operators.privacy import redact_snippets
 from contactlake.operators.suppression import check_suppression
@@ -34,7 +34,7 @@ def validate_contacts(
     # leaving them out would run all static checks a second time just to know them.
     wanted = contacts.select(A.domain_of(F.col("email")).alias("domain"))
     facts = M.domain_facts(wanted, dns, compat)
-    joined = M.mailbox_status(salted_lookup(checked, facts, "domain", "email"))
+    joined = M.mailbox_status(lookup(checked, facts, "domain"))
     resolved = F.col("mailbox_status").isin("deliverable", "risky")
     asked = F.col("passed") & ~F.col("is_disposable")
     return (
@@ -84,8 +84,7 @@ def scrape_batch(pages: DataFrame, urls: DataFrame, discovered_at: Column | None
     counts = hit_pages.select("url").distinct().join(
         records.groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n")), "url", "left"
     ).select("url", F.coalesce("n", F.lit(0)).alias("n"))
-    # A URL may be requested many times: its rows are spread over salts.
-    outcome = salted_lookup(judged, counts, "url", "ord").select(
+    outcome = lookup(judged, counts, "url").select(
         "ord", "url",
         (F.col("error").isNull() & F.col("n").isNotNull()).alias("success"),
         F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).alias("email_count"),

@@ -31,11 +31,11 @@ _BOTH = """rows_ as (select (contact_id % 7)::varchar as folder_id, contact_id,
 @query(
     "a1_upsert_folder",
     f"""with {_RICH}, {_BOTH}, m as (select folder_id, lower(email) as e, arg_max(contact_id, (src, pos)) as contact_id, min((src, pos)) as tm from both_ group by 1, 2),
-    k as (select *, row_number() over (partition by folder_id order by tm, e) as pos from m) select folder_id, e as email, contact_id, pos::int as pos from k where pos <= 500""",
+    k as (select *, row_number() over (partition by folder_id order by tm, e) as pos from m) select folder_id, e as email, contact_id, pos::int as pos from k """,
 )
 def a1(spark, sf):
     old, new = _sides(spark, sf)
-    return A.upsert_folder(old, new, cap=500).select("folder_id", F.lower("email").alias("email"), "contact_id", "pos")
+    return A.upsert_folder(old, new).select("folder_id", F.lower("email").alias("email"), "contact_id", "pos")
 
 
 @query(
@@ -175,7 +175,7 @@ def a13(spark, sf):
     return out.withColumn("LinkedIn Profile", F.coalesce("LinkedIn Profile", F.lit("")))
 
 
-@query("a14_list_jobs", f"with {S.JOBS_CTE} select job_id, status from jobs where owner = '7' order by started_at desc, job_id desc limit 100")
+@query("a14_list_jobs", f"with {S.JOBS_CTE} select job_id, status from jobs where owner = '7' order by started_at desc, job_id desc limit 500")
 def a14(spark, sf):
     return A.list_jobs(S.jobs(spark, sf), owner="7", limit=500).select("job_id", "status")
 

@@ -11,7 +11,6 @@ from contactlake.plans import ducksql as D
 from contactlake.plans import seeds as S
 from contactlake.plans.q_extract import _RECORDS
 from contactlake.plans.registry import query
-from contactlake.sources.corpus import spread_small
 
 _PATHS = """contact_id, AT(ARR('/wp-admin/settings.php','/login','/.git/config','/about-us','/Admin','/checkout/step','/user/password/x','/adminx',
  '/internal','/shop/cart','/payment?x=/a','/.well-known/security.txt'), cast(contact_id % 12 as int) + 1) as p"""
@@ -152,7 +151,7 @@ def c17(spark, sf):
 
 
 def _pages(spark, sf):
-    return spread_small(spark.read.parquet(f"{sf}/pages.parquet"))
+    return spark.read.parquet(f"{sf}/pages.parquet")
 
 
 _ENC = "url_encode(href)"
@@ -253,7 +252,7 @@ def g5_policy(spark, sf):
 
 @query(
     "g6_site_contacts",
-    f"""with recursive e as ({_EDGES}), r(n, depth) as (select min(page_id), 0 from pages union select e.dst, r.depth + 1 from r join e on r.n = e.src where r.depth < 20),
+    f"""with recursive e as ({_EDGES}), r(n, depth) as (select min(page_id), 0 from pages union select e.dst, r.depth + 1 from r join e on r.n = e.src where r.depth < (select ceil(log2(count(*) + 2)) from pages)),
     d as (select n, min(depth) as depth from r group by n), k as (select *, row_number() over (order by (depth = 0) desc, depth, 'https://s.com/p' || n) as vr from d),
     {_RECORDS}, j as (select records.*, k.depth, k.vr from records join k on records.page_id = k.n)
     select 's.com' as site, email, arg_min(page_id, vr) as page_id, arg_min(depth, vr)::int as depth from j group by email""",
@@ -262,8 +261,8 @@ def g6(spark, sf):
     """Contacts of the pages that a crawl over the page ids reaches."""
     pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("url", F.concat(F.lit("https://s.com/p"), "page_id"))
     seeds, links = _graph(spark, sf)
-    front = G.crawl_frontier(seeds, links, max_depth=20, max_pages=None)
-    records = extract_contact_records(spread_small(pages), discovered_at=F.lit("x"))
+    front = G.crawl_frontier(seeds, links, max_depth=None)
+    records = extract_contact_records(pages, discovered_at=F.lit("x"))
     return G.site_contacts(front, records).select("site", "email", "page_id", "depth")
 
 

@@ -7,7 +7,6 @@ from contactlake.operators import suppression as C
 from contactlake.plans import ducksql as D
 from contactlake.plans import seeds as S
 from contactlake.plans.registry import query
-from contactlake.sources.corpus import spread_small
 
 _BASE = f"{S.contacts_cte('orders', S.MIXED_EMAIL)}, {S.suppression_cte()}"
 _MATCH = f"""{_BASE},
@@ -109,8 +108,8 @@ _PII = D.sub(_PII, _bounded(D.K.JWT_PATTERN), "[REDACTED_TOKEN]")
     contains(c, '[REDACTED_')::int as redacted from r""",
 )
 def c5(spark, sf):
-    docs = spread_small(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
-    whole = P.redact_snippets(docs, "text", max_chars=10_000_000, out="whole")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    whole = P.redact_snippets(docs, "text", max_chars=None, out="whole")
     both = P.redact_snippets(whole, "whole", redact=False, out="snippet")
     return both.select(
         "doc_id", F.md5("whole").alias("redacted_md5"), "snippet", F.contains("whole", F.lit("[REDACTED_")).cast("int").alias("redacted")
@@ -133,7 +132,7 @@ _LOG = D.sub(_LOG, r"[\r\n]+", " ")
 def c6(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("concat('d', doc_id) as id", "text")
     talk = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr("concat('t', conv_id, '-', turn) as id", "text")
-    out = P.redact_logs(spread_small(docs.unionByName(talk)), "text", "log")
+    out = P.redact_logs(docs.unionByName(talk), "text", "log")
     return out.select("id", F.md5("log").alias("log_md5"), (F.contains("log", F.lit("***")) | F.contains("log", F.lit("[REDACTED_"))).cast("int").alias("changed"))
 
 
@@ -217,7 +216,7 @@ def c11(spark, sf):
 @query(
     "c12_audit_report",
     """with a as (select 'exp_' || o_orderkey as id, 'u' || (o_custkey % 5) as user_id, o_orderdate as ts, o_orderkey as record_count from orders),
-    trail as (select * from a order by ts desc, id desc limit 5000) select id, user_id, record_count from trail where user_id = 'u3' order by ts desc, id desc limit 100""",
+    mine as (select * from a where user_id = 'u3') select id, user_id, record_count from mine""",
 )
 def c12(spark, sf):
     audit = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(

@@ -12,6 +12,13 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A hot key is split even if that costs a shuffle later on.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Unions of bucketed tables claim a partitioning that they do not keep (Spark 4.1).
+    "spark.sql.unionOutputPartitioning": "false",
+    # Stateful streams keep their state off the heap; sessions merge before the shuffle.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Call-site capture on every Column call doubles the time to build long expressions.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -28,13 +35,20 @@ def build_session(app: str = "contactlake", master: str | None = None, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Without it a temporary folder serves, but only where driver and executors are
+    one process; on a cluster its absence is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 

@@ -10,6 +10,7 @@ from contactlake import constants as K
 from contactlake.functions import addresses as A
 from contactlake.functions.redact import csv_guard
 from contactlake.operators import datasets, privacy, suppression
+from contactlake.session import ensure_checkpoint_dir
 
 BOM = "\ufeff"
 
@@ -50,17 +51,13 @@ def csv_lines(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, mode: str = "errorifexists") -> None:
-    """Spreadsheet-ready CSV: BOM and header open every part file, CRLF between lines.
+    """Spreadsheet-ready CSV: BOM and one header per export, CRLF between lines.
 
-    The header goes out with the first row of each partition, so parts stay
-    independent of each other and no task sees more than its own rows.
+    The header is the first part file, also of an empty export; the parts joined
+    in order of their names are the whole file.
     """
-    head = F.lit(BOM + csv_header(fields) + "\r\n")
-    lines = csv_lines(df, fields)
-    first = F.monotonically_increasing_id() % F.lit(2**33) == 0
-    lines.select(F.when(first, F.concat(head, F.col("value"))).otherwise(F.col("value")).alias("value")).write.mode(
-        mode
-    ).option("lineSep", "\r\n").text(path)
+    head = df.sparkSession.range(1).coalesce(1).select(F.lit(BOM + csv_header(fields)).alias("value"))
+    head.unionByName(csv_lines(df, fields)).write.mode(mode).option("lineSep", "\r\n").text(path)
 
 
 def json_rows(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
@@ -92,9 +89,20 @@ def json_lines(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return rows.select(value.alias("value"))
 
 
-def write_json(df: DataFrame, path: str, fields: list[str] | None = None, mode: str = "errorifexists") -> None:
-    """JSON lines."""
-    json_lines(df, fields).write.mode(mode).text(path)
+def write_json(
+    df: DataFrame, path: str, fields: list[str] | None = None, mode: str = "errorifexists", array: bool = False
+) -> None:
+    """JSON lines; with ``array`` the parts joined in order of their names are one JSON array."""
+    lines = json_lines(df, fields)
+    if array:
+        # Rows keep their places once written down; all but the first begin with a comma.
+        ensure_checkpoint_dir(df.sparkSession)
+        placed = lines.withColumn("id", F.monotonically_increasing_id()).checkpoint()
+        first = placed.agg(F.min("id")).first()[0]
+        comma = F.when(F.col("id") == F.lit(first), "").otherwise(",")
+        edge = lambda text: df.sparkSession.range(1).coalesce(1).select(F.lit(text).alias("value"))
+        lines = edge("[").unionByName(placed.select(F.concat(comma, "value").alias("value"))).unionByName(edge("]"))
+    lines.write.mode(mode).text(path)
 
 
 def txt_lines(df: DataFrame) -> DataFrame:

@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 DIRECT_TITLE = "Direct Text Extraction"
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use every core when a small scan would leave most of them idle.
-
-    A scan with splits for half of the cores or more stays as it is, so large
-    inputs are never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def keep_html(pages: DataFrame) -> DataFrame:
     """Only HTML rows where a content type is known."""
     if "content_type" not in pages.columns:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from contactlake.functions import addresses as A
 from contactlake.functions.text import blank_to_null, strip_ws
 from contactlake.operators.firsts import first_per_key
-from contactlake.operators.joins import salted_lookup
+from contactlake.operators.joins import lookup
 
 # fixed values: header names per field (compared without punctuation)
 HEADERS = {
@@ -37,6 +37,7 @@ JSON_KEYS = {
 }
 NAMED_ADDRESS = r"""^([^<"]+?)\s*<([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})>"""
 MAX_ERRORS = 10
+SHOWN_CHARS = 60
 
 
 @dataclass
@@ -134,7 +135,7 @@ def list_layout(lines: DataFrame, tlds: Iterable[str] | None = None) -> DataFram
 def parse_lines(lines: DataFrame, tlds: Iterable[str] | None = None, default_company: str | None = None) -> DataFrame:
     """(file, line, raw, raw_email, name, job_title, company, phone, linkedin) per data line."""
     layout = list_layout(lines, tlds)
-    rows = salted_lookup(lines, layout, "file", "line", how="inner").where(
+    rows = lookup(lines, layout, "file", "inner").where(
         ~(F.col("has_header") & (F.col("line") == 1))
     )
     rows = rows.withColumn("cells", cells(F.col("value"), F.col("delimiter")))
@@ -176,7 +177,17 @@ def parse_json_documents(docs: DataFrame, default_company: str | None = None) ->
 
     items = F.coalesce(*[array_at(p) for p in ("$", "$.emails", "$.records", "$.contacts")])
     rows = parsed.select("file", F.posexplode_outer(items).alias("pos", "item")).where(F.col("pos").isNotNull())
+    rows = rows.select("file", (F.col("pos") + 1).cast("bigint").alias("line"), "item", F.to_json("item").alias("raw"))
+    return _json_items(rows, default_company)
 
+
+def parse_json_lines(lines: DataFrame, default_company: str | None = None) -> DataFrame:
+    """One item per line of lines(file, line, value); what does not parse keeps its text and has no address."""
+    rows = lines.select("file", "line", F.try_parse_json("value").alias("item"), F.col("value").alias("raw"))
+    return _json_items(rows, default_company)
+
+
+def _json_items(rows: DataFrame, default_company: str | None) -> DataFrame:
     def text(*keys: str) -> Column:
         return F.coalesce(*[blank_to_null(F.try_variant_get("item", f"$.{k}", "string")) for k in keys])
 
@@ -184,8 +195,7 @@ def parse_json_documents(docs: DataFrame, default_company: str | None = None) ->
     first, last = text("firstName"), text("lastName")
     whole = F.when(first.isNotNull(), F.trim(F.concat_ws(" ", first, last)))
     return rows.select(
-        "file", (F.col("pos") + 1).cast("bigint").alias("line"),
-        F.to_json("item").alias("raw"),
+        "file", "line", "raw",
         F.coalesce(F.when(is_text, F.try_variant_get("item", "$", "string")).otherwise(text(*JSON_KEYS["email"])), F.lit("")).alias("raw_email"),
         F.coalesce(text(*JSON_KEYS["name"]), whole).alias("name"),
         text(*JSON_KEYS["title"]).alias("job_title"),
@@ -251,8 +261,11 @@ def normalise_import(
     )
 
 
-def import_summary(normalised: DataFrame) -> DataFrame:
-    """One row per file: total, valid (unique), invalid, duplicates, first errors."""
+def import_summary(normalised: DataFrame, max_errors: int = MAX_ERRORS, shown_chars: int = SHOWN_CHARS) -> DataFrame:
+    """One row per file: total, valid (unique), invalid, duplicates, first errors.
+
+    The report shows ``max_errors`` lines, each up to ``shown_chars``; rejected rows are kept whole.
+    """
     ok = F.col("reject_reason").isNull()
     # Addresses collapse before the distinct count; errors keep the ten smallest lines per task.
     per_email = normalised.groupBy("file", F.when(ok, F.col("email")).alias("__e")).agg(F.count("*").alias("__n"))
@@ -265,9 +278,9 @@ def import_summary(normalised: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("line")
     errors = (
         normalised.where(~ok)
-        .select("file", "line", F.substring("raw", 1, 60).alias("raw"), F.col("reject_reason").alias("reason"))
+        .select("file", "line", F.substring("raw", 1, shown_chars).alias("raw"), F.col("reject_reason").alias("reason"))
         .withColumn("__i", F.row_number().over(w))
-        .where(F.col("__i") <= MAX_ERRORS)
+        .where(F.col("__i") <= max_errors)
         .groupBy("file")
         .agg(F.sort_array(F.collect_list(F.struct("line", "raw", "reason"))).alias("errors"))
     )
@@ -281,7 +294,7 @@ def finish_import(rows: DataFrame, **options) -> ImportResult:
         normalised.where(F.col("reject_reason").isNull()), ["file", "email"], ["line"]
     ).drop("raw", "raw_email", "reject_reason", "format")
     rejected = normalised.where(F.col("reject_reason").isNotNull()).select(
-        "file", "line", F.when(F.length("raw_email") > 0, F.col("raw_email")).otherwise(F.substring("raw", 1, 60)).alias("raw"),
+        "file", "line", F.when(F.length("raw_email") > 0, F.col("raw_email")).otherwise(F.col("raw")).alias("raw"),
         F.col("reject_reason").alias("reason"),
     )
     return ImportResult(accepted, rejected, import_summary(normalised))
@@ -300,13 +313,23 @@ import_contacts_text = import_contacts_csv
 def import_contacts_json(spark: SparkSession, path: str, tlds: Iterable[str] | None = None, **options) -> ImportResult:
     """JSON lists; files that do not parse as such are read as delimited text.
 
-    A JSON document has no line structure to split on, so one file is one
-    value; large exports should come as many files or as JSON lines.
+    A JSON document has no line structure to split on, so one file is one value
+    here; large exports should come as many files or as JSON lines, which
+    ``import_contacts_jsonl`` reads in splits.  A file of several documents is
+    read line by line here too.
     """
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
-    is_json = F.col("value").rlike(r"(?s)^(?:\[.*\]|\{.*\})$") & F.try_parse_json("value").isNotNull()
-    items = parse_json_documents(docs.where(is_json), options.get("default_company"))
-    rest = docs.where(~F.coalesce(is_json, F.lit(False))).select("file").distinct()
-    lines = read_lines(spark, path).join(rest, "file", "left_semi")
-    text_rows = parse_lines(lines, tlds, options.get("default_company")).withColumn("tags", F.lit(None).cast("array<string>"))
-    return finish_import(items.unionByName(text_rows), tlds=tlds, **options)
+    many = F.col("value").rlike(r"^\{[^\r\n]*\}[ \t]*\r?\n\s*\{")
+    is_json = ~many & F.col("value").rlike(r"(?s)^(?:\[.*\]|\{.*\})$") & F.try_parse_json("value").isNotNull()
+    kinds = docs.select("file", "value", F.when(F.coalesce(is_json, F.lit(False)), "json").when(many, "jsonl").otherwise("text").alias("kind"))
+    company = options.get("default_company")
+    items = parse_json_documents(kinds.where("kind = 'json'"), company)
+    lines = read_lines(spark, path).join(kinds.where("kind <> 'json'").select("file", "kind"), "file")
+    each = parse_json_lines(lines.where("kind = 'jsonl'").drop("kind"), company)
+    text_rows = parse_lines(lines.where("kind = 'text'").drop("kind"), tlds, company).withColumn("tags", F.lit(None).cast("array<string>"))
+    return finish_import(items.unionByName(each).unionByName(text_rows), tlds=tlds, **options)
+
+
+def import_contacts_jsonl(spark: SparkSession, path: str, tlds: Iterable[str] | None = None, **options) -> ImportResult:
+    """JSON lines: one contact per line, read in splits; a line that is no contact is rejected."""
+    return finish_import(parse_json_lines(read_lines(spark, path), options.get("default_company")), tlds=tlds, **options)

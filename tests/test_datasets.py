@@ -1,9 +1,11 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from contactlake.operators import crm, datasets, graph, links
+from contactlake.operators.joins import lookup
 from contactlake.operators.ordering import running
 from contactlake.schemas import CONTACTS
 from contactlake.sinks import exports
@@ -52,11 +54,10 @@ def test_quarantine_partitions_the_input(spark, tmp_path):
     assert kept == {"deliverable@x.com", "n@x.com"} and dead == {"undeliverable@x.com", "disposable@x.com"}
 
 
-def test_deep_and_shallow_pages_agree(spark, monkeypatch):
+def test_deep_and_shallow_pages_agree(spark):
     df = spark.range(100).select(F.col("id"), (F.col("id") % 7).alias("g"))
     shallow = [r.id for r in datasets.page_of(df, ["g", "id"], 3, 10).collect()]
-    monkeypatch.setattr(datasets, "DEEP_PAGE", 0)
-    assert sorted(r.id for r in datasets.page_of(df, ["g", "id"], 3, 10).collect()) == sorted(shallow)
+    assert sorted(r.id for r in datasets.page_of(df, ["g", "id"], 3, 10, deep=True).collect()) == sorted(shallow)
     assert datasets.page_of(df, ["id"], 99, 30).first().page == 4
 
 
@@ -102,8 +103,7 @@ def test_exports(spark, tmp_path):
     df = contacts(spark, EXPORT)
     path = str(tmp_path / "csv")
     exports.write_csv(df.coalesce(1), path, ["email", "name", "company", "contextSnippet"])
-    (part,) = (tmp_path / "csv").glob("part-*")
-    assert part.read_bytes().decode("utf-8") == (
+    assert whole(tmp_path / "csv") == (
         '﻿"Email","Name","Company","Context Snippet"\r\n'
         '"\'=cmd|/c calc!A0@gmail.com","\'+John ""J"" Doe","\'@Acme","a b"\r\n'
     )
@@ -223,4 +223,58 @@ def test_site_crawl(spark):
     assert {r.depth for r in graph.crawl_frontier(seeds, edges, max_depth=1).collect()} == {0, 1}
     assert graph.crawl_frontier(seeds, edges, max_pages=2).count() == 2
     assert graph.crawl_frontier(seeds, edges, max_pages=None).count() == 4
-    assert graph.clamp_limits() == (2, 30) and graph.clamp_limits(99, 999) == (10, 200)
+    assert graph.checked_limits() == (2, 30) and graph.checked_limits(10, 200) == (10, 200)
+    for bad in ((99, 1), (1, 999), (0, 1)):
+        with pytest.raises(ValueError):
+            graph.checked_limits(*bad)
+
+
+def whole(path):
+    return b"".join(p.read_bytes() for p in sorted(path.glob("part-*"))).decode()
+
+
+def test_one_header_per_export_and_json_array(spark, tmp_path):
+    df = contacts(spark, [{"email": f"a{i}@b.com", "name": "N"} for i in range(9)]).repartition(3)
+    exports.write_csv(df, str(tmp_path / "c"), ["email"])
+    text = whole(tmp_path / "c")
+    assert text.startswith(exports.BOM) and text.count(exports.csv_header(["email"])) == 1 and text.count("\r\n") == 10
+    exports.write_csv(df.limit(0), str(tmp_path / "e"), ["email"])
+    assert whole(tmp_path / "e") == exports.BOM + exports.csv_header(["email"]) + "\r\n"
+    exports.write_json(df, str(tmp_path / "j"), ["email"], array=True)
+    assert sorted(x["email"] for x in json.loads(whole(tmp_path / "j"))) == [f"a{i}@b.com" for i in range(9)]
+    exports.write_json(df.limit(0), str(tmp_path / "z"), ["email"], array=True)
+    assert json.loads(whole(tmp_path / "z")) == []
+
+
+def test_json_lines_import(spark, tmp_path):
+    lines = ['{"email": "a@b.com", "name": "Ann"}', '{"email": "c@d.com"}', '{"x": 1}', "no json at all"]
+    (tmp_path / "list.json").write_text("\n".join(lines))
+    for read in (imports.import_contacts_json, imports.import_contacts_jsonl):
+        result = read(spark, str(tmp_path))
+        assert {r.email: r.name for r in result.accepted.collect()}.keys() == {"a@b.com", "c@d.com"}
+        assert sorted((r.line, r.reason) for r in result.rejected.collect()) == [(3, "No email field found"), (4, "No email field found")]
+        assert {r.raw for r in result.rejected.collect()} == {'{"x": 1}', "no json at all"}
+
+
+def test_a_hot_key_is_split(spark):
+    """An address with a third of the rows: adaptive execution splits its partition of the join."""
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        facts = spark.range(0, 200_000, 1, 8).selectExpr(
+            "case when id % 3 = 0 then 'hot' else concat('k', id % 5000) end as key", "id", "sha2(cast(id as string), 256) as pad"
+        )
+        dim = spark.range(5000).selectExpr("concat('k', id) as key", "id as v").union(spark.sql("select 'hot', -1L"))
+        out = lookup(facts, dim, "key").groupBy("key").agg(F.count("*").alias("n"))
+        assert {r.key: r.n for r in out.where("key = 'hot'").collect()} == {"hot": 66_667}
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -1,7 +1,9 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from contactlake import session
 from contactlake.functions import ip as IP
 from contactlake.functions import redact as R
 from contactlake.operators import policy as P
@@ -194,3 +196,30 @@ def test_fetch_log(spark):
     assert got[429] == ("RATE_LIMITED", True, 30000) and got[503] == ("RATE_LIMITED", True, 15000)
     assert got[401][0] == got[403][0] == "ACCESS_RESTRICTED" and got[404][0] == "NOT_FOUND"
     assert got[500][:2] == got[302][:2] == ("TRANSIENT_SERVER_ERROR", True) and got[418][0] == "CLIENT_ERROR"
+
+
+def test_audit_report_scopes_before_it_limits(spark):
+    rows = spark.range(6000).selectExpr(
+        "concat('e', id) as id", "case when id < 10 then 'me' else 'other' end as user_id", "timestamp_seconds(id) as timestamp"
+    )
+    assert privacy.audit_report(rows, user="me").count() == 10
+    assert [r.id for r in privacy.audit_report(rows, user="me", limit=2).collect()] == ["e9", "e8"]
+    assert privacy.audit_report(rows, user="me", is_admin=True).count() == 6000
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf(conf)
+            self.sparkContext = self
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session(**{"spark.master": "spark://host:7077"}))
+    assert session.shared_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x/"})) == "hdfs://x"
