@@ -186,7 +186,9 @@ def mcd(rows: DataFrame, key: str, features: dict[str, float], params: Params) -
         else:
             measured = _distance(tripled.select(key, "start", *x).join(estimate, [key, "start"]), x, "__d2")
         measured = measured.select(key, "start", *x, "__d2")
+        # Written down, the small side has a known size and is broadcast: the rows themselves are never shuffled.
         limit = measured.groupBy(key, "start").agg(F.percentile_approx("__d2", params.core, 10_000).alias("__h"))
+        limit = materialise(limit, "mcd-limit")
         core = measured.join(limit, [key, "start"]).where(F.col("__d2") <= F.col("__h"))
         estimate = materialise(
             _cholesky(core.groupBy(key, "start").agg(*_moments([F.col(c) for c in x])), floor), "mcd-step"
@@ -222,6 +224,7 @@ def judge(
     )
     grouped = fitted.join(keys, fitted["__fine"] == keys["__f"]).select("__group", *FEATURES)
     big = grouped.groupBy("__group").count().where(F.col("count") >= params.min_group).select("__group")
+    big = materialise(big, "rule-big")
     estimates = mcd(materialise(grouped.join(big, "__group", "left_semi"), "rule-rows"), "__group", FEATURES, params)
     per_key = materialise(keys.join(estimates, "__group", "left").drop("__group"), "rule-estimates")
     out = measured.join(per_key, measured["__fine"] == per_key["__f"], "left")
