@@ -234,8 +234,8 @@ def recover_stale(jobs: DataFrame, now: Column) -> DataFrame:
         .withColumn("retry_count", F.col("retry_count") + F.col("__again").cast("int"))
         .withColumn(
             "error_message",
-            F.when(F.col("__again"), "Recovered after server restart; scheduled for retry")
-            .when(F.col("__stale"), "Server restarted while job was in-flight; maximum retries exceeded")
+            F.when(F.col("__again"), K.RECOVERED)
+            .when(F.col("__stale"), K.NOT_RECOVERED)
             .otherwise(F.col("error_message") if "error_message" in jobs.columns else F.lit(None).cast("string")),
         )
         .withColumn(
@@ -277,10 +277,3 @@ def concurrency_profile(
         .withColumn("over_global", F.col("global_active") > overall)
         .withColumn("over_browser", F.col("user_browser_active") > browser_per_user)
     )
-
-
-def concurrency_peaks(profile: DataFrame) -> DataFrame:
-    return profile.groupBy("owner").agg(
-        F.max("user_active").alias("peak_user"), F.max("user_browser_active").alias("peak_browser"),
-        F.max("global_active").alias("peak_global"),
-    )

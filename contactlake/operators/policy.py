@@ -28,11 +28,10 @@ def restricted_paths(urls: DataFrame, url: str = "url") -> DataFrame:
         .withColumn("restricted", broken | F.col("__family").isNotNull())
         .withColumn(
             "reason",
-            F.when(broken, "Malformed URL path cannot be verified for compliance.").when(
+            F.when(broken, K.MALFORMED_PATH).when(
                 F.col("__family").isNotNull(),
                 F.concat(
-                    F.lit('Access to restricted/sensitive path "'), p,
-                    F.lit('" is prohibited under platform compliance policies.'),
+                    F.lit(K.RESTRICTED_PATH[0]), p, F.lit(K.RESTRICTED_PATH[1]),
                 ),
             ),
         )
@@ -95,7 +94,7 @@ def closed_hosts(rules: DataFrame) -> DataFrame:
     """Hosts whose rules keep every crawler out, with the reason for a crawl report."""
     shut = rules.where((F.col("ua") == "*") & F.array_contains("disallow", "/")).select("host").distinct()
     return shut.withColumn(
-        "reason", F.concat(F.lit("Robots.txt on "), "host", F.lit(" disallows automated crawling for all agents."))
+        "reason", F.concat(F.lit(K.ROBOTS_SHUT[0]), "host", F.lit(K.ROBOTS_SHUT[1]))
     )
 
 
@@ -232,17 +231,16 @@ def classify_fetch_log(
         .when(s.between(400, 499), "CLIENT_ERROR")
         .otherwise("TRANSIENT_SERVER_ERROR")
     )
+    def around(words: tuple[str, str]) -> Column:
+        return F.concat(F.lit(words[0]), text, F.lit(words[1]))
+
+    reason = F.when(s.between(200, 299), K.FETCH_SUCCESS)
+    for code, words in K.FETCH_REASONS.items():
+        reason = reason.when(s == code, words)
     reason = (
-        F.when(s.between(200, 299), "Request succeeded")
-        .when(s == 401, "Target website requires authentication credentials")
-        .when(s == 403, "Target website explicitly denied access (HTTP 403 Forbidden)")
-        .when(s == 404, "Page not found (HTTP 404)")
-        .when(s == 410, "Resource permanently removed (HTTP 410)")
-        .when(s == 429, "Target site rate-limit encountered (HTTP 429 Too Many Requests)")
-        .when(s == 503, "Target server is temporarily unavailable or overloaded (HTTP 503)")
-        .when(s.isin(500, 502, 504, 408), F.concat(F.lit("Transient server error encountered (HTTP "), text, F.lit(")")))
-        .when(s.between(400, 499), F.concat(F.lit("Client request rejected (HTTP "), text, F.lit(")")))
-        .otherwise(F.concat(F.lit("Server returned unexpected HTTP "), text))
+        reason.when(s.isin(500, 502, 504, 408), around(K.FETCH_TRANSIENT))
+        .when(s.between(400, 499), around(K.FETCH_REJECTED))
+        .otherwise(F.concat(F.lit(K.FETCH_UNEXPECTED), text))
     )
     out = log.withColumn("category", category).withColumn("reason", reason)
     retryable = F.col("category").isin("RATE_LIMITED", "TRANSIENT_SERVER_ERROR")

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactlake import constants as K
 from contactlake.functions import addresses as A
 from contactlake.functions.text import strip_ws
 from contactlake.operators import deliverability as M
@@ -71,9 +72,9 @@ def scrape_batch(pages: DataFrame, urls: DataFrame, discovered_at: Column | None
     asked = urls.select("ord", strip_ws(F.coalesce("url", F.lit(""))).alias("url"))
     judged = url_safety(asked).withColumn(
         "error",
-        F.when(F.length("url") == 0, "Empty or invalid URL string")
-        .when(~F.col("url").rlike("^https?://"), "Invalid protocol. Only http: and https: are allowed.")
-        .when(~F.col("safe"), F.concat(F.lit("URL rejected: "), F.col("unsafe_reason"))),
+        F.when(F.length("url") == 0, K.BATCH_EMPTY_URL)
+        .when(~F.col("url").rlike("^https?://"), K.BATCH_PROTOCOL)
+        .when(~F.col("safe"), F.concat(F.lit(K.BATCH_REJECTED), F.col("unsafe_reason"))),
     )
     # Used four times below: kept in the shared checkpoint folder instead of judged again.
     ensure_checkpoint_dir(urls.sparkSession)
@@ -88,7 +89,7 @@ def scrape_batch(pages: DataFrame, urls: DataFrame, discovered_at: Column | None
         "ord", "url",
         (F.col("error").isNull() & F.col("n").isNotNull()).alias("success"),
         F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).alias("email_count"),
-        F.coalesce("error", F.when(F.col("n").isNull(), "Page not in snapshot")).alias("error"),
+        F.coalesce("error", F.when(F.col("n").isNull(), K.BATCH_ABSENT)).alias("error"),
     )
     first_ask = judged.where(F.col("error").isNull()).groupBy("url").agg(F.min("ord").alias("visit"))
     visited = records.join(first_ask.withColumnRenamed("url", "source_url"), "source_url")

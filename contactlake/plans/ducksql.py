@@ -7,6 +7,14 @@ from contactlake.functions.tlds import delegated
 
 WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
+# fixed values: whole address patterns; the engine tests their linear-time parts (see constants)
+EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+IMPORT_SYNTAX = (
+    r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
+    r"(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+$"
+)
+DOT_ATOM = r"^[a-zA-Z0-9!#$%&'*+\-/=?^_`{|}~]+(\.[a-zA-Z0-9!#$%&'*+\-/=?^_`{|}~]+)*$"
+
 
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -64,7 +72,7 @@ def valid_tld(email: str) -> str:
 
 
 def found(c: str) -> str:
-    return f"regexp_extract_all({c}, {lit(K.EMAIL_PATTERN)})"
+    return f"regexp_extract_all({c}, {lit(EMAIL_PATTERN)})"
 
 
 def valid_emails(c: str) -> str:

@@ -260,8 +260,3 @@ def x13(spark, sf):
 )
 def x6_strict(spark, sf):
     return X.extract_phones(corpus(spark, sf), "id", "text", strict=True).select("id", "phone")
-
-
-def decoded_probe(spark, sf):
-    """Rows the cheap test lets through (used by plan tests)."""
-    return corpus(spark, sf).where(T.may_contain_address(F.col("text")))

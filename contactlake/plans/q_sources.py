@@ -65,7 +65,7 @@ def s3(spark, sf):
     return out.select("file", "line", "raw_email", "name", F.coalesce("job_title", F.lit("")).alias("job_title"))
 
 
-_REJECT = f"""case when not contains(mail, '@') then 'Missing "@" symbol or empty email' when not regexp_matches(mail, {D.lit(K.IMPORT_SYNTAX)}) then 'Invalid email syntax format'
+_REJECT = f"""case when not contains(mail, '@') then 'Missing "@" symbol or empty email' when not regexp_matches(mail, {D.lit(D.IMPORT_SYNTAX)}) then 'Invalid email syntax format'
  when not {D.valid_tld('mail')} then 'Invalid or unrecognized Top-Level Domain (TLD)' else '' end"""
 _BROKEN = "case when bracketed and name <> 'Kim Lee' then 'kim lee <' || mail else mail end"
 _NORM = f"norm as (select file, line, name, title, {_BROKEN} as mail from rows_), chk as (select *, {_REJECT} as reason from norm)"
@@ -129,7 +129,7 @@ _PLAIN = f"""{S.contacts_cte('orders', S.MIXED_EMAIL)}, p as (select 't' || (con
 
 @query(
     "s5_import_text",
-    f"""with {_PLAIN}, a as (select *, case when regexp_matches(email, {D.lit(K.IMPORT_SYNTAX)}) and {D.valid_tld('email')} then 1 else 0 end as ok from p),
+    f"""with {_PLAIN}, a as (select *, case when regexp_matches(email, {D.lit(D.IMPORT_SYNTAX)}) and {D.valid_tld('email')} then 1 else 0 end as ok from p),
     u as (select file, email, min(line) as line from a where ok = 1 group by 1, 2) select file, line, email from u""",
 )
 def s5(spark, sf):
@@ -142,7 +142,7 @@ def s5(spark, sf):
 
 @query(
     "s5_import_files",
-    f"""with {S.contacts_cte('customer', S.MIXED_EMAIL)}, a as (select lower(email) as email from contacts where regexp_matches(lower(email), {D.lit(K.IMPORT_SYNTAX)}) and {D.valid_tld('lower(email)')})
+    f"""with {S.contacts_cte('customer', S.MIXED_EMAIL)}, a as (select lower(email) as email from contacts where regexp_matches(lower(email), {D.lit(D.IMPORT_SYNTAX)}) and {D.valid_tld('lower(email)')})
     select email, count(*)::bigint as n from a group by 1""",
 )
 def s5_files(spark, sf):

@@ -25,7 +25,7 @@ _TESTS = {
     "gibberish": f"not {D.gibberish(_L, 'ent')}",
     "typo": "typo is null",
     "local_format": f"length({_L}) between 1 and 64 and not starts_with({_L}, '.') and not ends_with({_L}, '.')",
-    "local_charset": f"regexp_matches({_L}, {D.lit(K.DOT_ATOM)})",
+    "local_charset": f"regexp_matches({_L}, {D.lit(D.DOT_ATOM)})",
     "spam_trap": f"{_L} not in {D.in_list(K.SPAM_TRAPS)}",
     "fqdn": f"not regexp_matches({_D}, '^\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}$')",
     "subdomain_depth": f"len({_LABELS}) <= 5",

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from contactlake import constants as K
 from contactlake.functions import addresses as A
 from contactlake.functions.text import blank_to_null, strip_ws
 from contactlake.operators.firsts import first_per_key
@@ -222,16 +223,12 @@ def normalise_import(
     e = F.col("email")
     domain = A.domain_of(e)
     syntax, tld = A.has_import_syntax(e), A.has_valid_tld(e, tlds)
-    empty_reason = F.when(F.col("format") == "json", "No email field found").otherwise(
-        "Empty line or email column not found"
-    )
+    empty_reason = F.when(F.col("format") == "json", K.IMPORT_REJECTS["no_json_email"]).otherwise(K.IMPORT_REJECTS["no_email"])
     reason = F.when(F.length("raw_email") == 0, empty_reason).when(
-        ~e.contains("@"), 'Missing "@" symbol or empty email'
+        ~e.contains("@"), K.IMPORT_REJECTS["no_at"]
     )
     if not allow_invalid_syntax:
-        reason = reason.when(~syntax, "Invalid email syntax format").when(
-            ~tld, "Invalid or unrecognized Top-Level Domain (TLD)"
-        )
+        reason = reason.when(~syntax, K.IMPORT_REJECTS["syntax"]).when(~tld, K.IMPORT_REJECTS["tld"])
     role = A.is_role_address(e)
     company = F.coalesce("company", F.lit(default_company).cast("string"))
     tags = F.col("tags") if "tags" in rows.columns else F.lit(None).cast("array<string>")
