@@ -49,13 +49,15 @@ def a2(spark, sf):
 
 @query(
     "a3_folder_counts",
-    f"""with {_RICH}, f as (select distinct (contact_id % 17)::varchar as folder_id from rich), r as (select (contact_id % 34)::varchar as folder_id from rich where contact_id % 34 % 2 = 0)
+    f"""with {_RICH}, f as (select distinct unnest([(contact_id % 17)::varchar, 'e' || (contact_id % 17)]) as folder_id from rich), r as (select (contact_id % 17)::varchar as folder_id from rich)
     select f.folder_id, count(r.folder_id)::bigint as count from f left join r on f.folder_id = r.folder_id group by 1""",
 )
 def a3(spark, sf):
     rich = _rich(spark, sf)
-    folders = rich.select((F.col("contact_id") % 17).cast("string").alias("folder_id")).distinct()
-    records = rich.where("contact_id % 34 % 2 = 0").select((F.col("contact_id") % 34).cast("string").alias("folder_id"))
+    name = (F.col("contact_id") % 17).cast("string")
+    # Every second folder is empty.
+    folders = rich.select(F.explode(F.array(name, F.concat(F.lit("e"), name))).alias("folder_id")).distinct()
+    records = rich.select(name.alias("folder_id"))
     return A.folder_counts(folders, records)
 
 

@@ -157,27 +157,27 @@ def s5_files(spark, sf):
 @query(
     "s8_read_stores",
     f"""with {S.JOBS_CTE}, {S.contacts_cte('orders')} select 'job' as store, job_id::varchar as id, status as a, epoch_ms(started_at)::varchar as b from jobs
-    union all select 'suppression', 's' || contact_id, 'email', email from contacts where contact_id % 50 = 0
-    union all select 'record', (contact_id % 40)::varchar, email, 'personal' from contacts where contact_id % 50 < 25
-    union all select 'audit', 'x' || contact_id, 'csv', contact_id::varchar from contacts where contact_id % 50 = 1""",
+    union all select 'suppression', 's' || contact_id, 'email', email from contacts
+    union all select 'record', (contact_id // 100)::varchar, email, 'personal' from contacts
+    union all select 'audit', 'x' || contact_id, 'csv', contact_id::varchar from contacts""",
 )
 def s8(spark, sf):
-    """Writes the stores as JSON in their stored shape and reads them back."""
+    """Writes the stores as JSON in their stored shape and reads them back; a folder holds up to a hundred records."""
     base = f"{shared_dir(spark)}/stores-{uuid.uuid4().hex}"
     contacts = S.contacts(spark, sf, "orders")
     S.jobs(spark, sf).select(
         F.col("job_id").cast("string").alias("id"), "status", F.col("owner").alias("ownerId"), F.unix_millis("started_at").alias("startedAt")
     ).write.json(f"{base}/jobs")
-    contacts.where("contact_id % 50 = 0").selectExpr("concat('s', contact_id) as id", "'email' as type", "email as value", "'BOUNCE' as reason").write.json(f"{base}/suppression")
-    contacts.where("contact_id % 50 < 25").groupBy((F.col("contact_id") % 40).cast("string").alias("id")).agg(
+    contacts.selectExpr("concat('s', contact_id) as id", "'email' as type", "email as value", "'BOUNCE' as reason").write.json(f"{base}/suppression")
+    contacts.groupBy(F.expr("contact_id div 100").cast("string").alias("id")).agg(
         F.lit("n").alias("name"), F.collect_list(F.struct("email", F.lit("personal").alias("type"))).alias("records")
     ).write.json(f"{base}/folders")
-    contacts.where("contact_id % 50 = 1").selectExpr("concat('x', contact_id) as id", "'csv' as format", "contact_id as recordCount").write.json(f"{base}/audit")
-    _, records = stores.read_folders(spark, f"{base}/folders", multi_line=False)
+    contacts.selectExpr("concat('x', contact_id) as id", "'csv' as format", "contact_id as recordCount").write.json(f"{base}/audit")
+    _, records = stores.read_folders(spark, f"{base}/folders")
     text = lambda c: F.col(c).cast("string")
     return (
-        stores.read_jobs(spark, f"{base}/jobs", multi_line=False).select(F.lit("job").alias("store"), F.col("job_id").alias("id"), F.col("status").alias("a"), F.unix_millis("started_at").cast("string").alias("b"))
-        .unionByName(stores.read_suppression(spark, f"{base}/suppression", multi_line=False).select(F.lit("suppression").alias("store"), "id", F.col("type").alias("a"), F.col("value").alias("b")))
+        stores.read_jobs(spark, f"{base}/jobs").select(F.lit("job").alias("store"), F.col("job_id").alias("id"), F.col("status").alias("a"), F.unix_millis("started_at").cast("string").alias("b"))
+        .unionByName(stores.read_suppression(spark, f"{base}/suppression").select(F.lit("suppression").alias("store"), "id", F.col("type").alias("a"), F.col("value").alias("b")))
         .unionByName(records.select(F.lit("record").alias("store"), F.col("folder_id").alias("id"), F.col("email").alias("a"), F.col("type").alias("b")))
-        .unionByName(stores.read_audit(spark, f"{base}/audit", multi_line=False).select(F.lit("audit").alias("store"), "id", F.col("format").alias("a"), text("record_count").alias("b")))
+        .unionByName(stores.read_audit(spark, f"{base}/audit").select(F.lit("audit").alias("store"), "id", F.col("format").alias("a"), text("record_count").alias("b")))
     )

@@ -31,14 +31,14 @@ def _snake(name: str) -> str:
 def _read(spark: SparkSession, path: str, schema: str, key: str, multi_line: bool) -> DataFrame:
     """JSON arrays or objects; unreadable documents are skipped.
 
-    ``multi_line`` reads one document per file (the stored form); large stores
-    come as JSON lines, which split.
+    Stores come as JSON lines, which split; ``multi_line`` reads one document per
+    file, such as a small store kept as one array.
     """
     raw = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
     return raw.where(F.col(key).isNotNull())
 
 
-def read_suppression(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_suppression(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     rows = _read(spark, path, SUPPRESSION, "id", multi_line)
     return rows.select(
         "id", "type", "value", "reason", F.col("addedByUserId").alias("added_by"),
@@ -46,7 +46,7 @@ def read_suppression(spark: SparkSession, path: str, multi_line: bool = True) ->
     )
 
 
-def read_folders(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_folders(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """(folders, records): the record lists become rows with their position."""
     rows = _read(spark, path, FOLDERS, "id", multi_line)
     folders = rows.select(
@@ -60,7 +60,7 @@ def read_folders(spark: SparkSession, path: str, multi_line: bool = True) -> tup
     return folders, records
 
 
-def read_jobs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_jobs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """One file per job, or an array of jobs; epoch milliseconds become timestamps."""
     rows = _read(spark, path, JOBS, "id", multi_line)
     times = {"startedAt", "endedAt", "expiresAt", "updatedAt"}
@@ -73,7 +73,7 @@ def read_jobs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
     )
 
 
-def read_audit(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_audit(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     rows = _read(spark, path, AUDIT, "id", multi_line)
     return rows.select(
         *[
