@@ -100,12 +100,12 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED)
     update = held.where(F.col("kind") == "revisit").dropDuplicates(["record_id"]).select(
         F.col("record_id").alias("__vid"), F.col("headers").alias("__update")
     )
-    wanted = F.when(found, F.col("response_id"))
     joined = matched.join(update, matched["revisit_id"].eqNullSafe(update["__vid"]), "left")
-    joined = joined.withColumn("__want", wanted)
-    joined = joined.join(stored, joined["__want"] == stored["__rid"], "left")
+    # Unresolved revisits keep their own id as key, so that they do not meet in one task; they match nothing.
+    joined = joined.withColumn("__found", found).withColumn("__want", F.when(found, F.col("response_id")).otherwise(F.col("revisit_id")))
+    joined = joined.join(stored, (joined["__want"] == stored["__rid"]) & joined["__found"], "left")
     return joined.select(
-        "revisit_id", "outcome", F.col("__want").alias("response_id"),
+        "revisit_id", "outcome", F.when(F.col("__found"), F.col("response_id")).alias("response_id"),
         F.when(found, merged_headers(F.col("__stored"), F.coalesce("__update", none), permitted)).alias("headers"),
         "payload_sha256", "payload_chars",
     )
