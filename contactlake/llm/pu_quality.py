@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from contactlake.functions.text import let
 from contactlake.llm.common import Guarded, materialise, whole_text, words
 
 FOLDS = 5
@@ -78,10 +79,7 @@ def statistics(text: Column) -> Column:
             count("[.,;:?]++") / n, w["distinct"] / n, w["again"] / n, (x["n"] - x["distinct"]) / m,
         )
 
-    def bind(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
-    return bind(bind(words(text), by_words), lambda w: bind(bind(lines, by_lines), lambda x: all_of(w, x)))
+    return let(let(words(text), by_words), lambda w: let(let(lines, by_lines), lambda x: all_of(w, x)))
 
 
 def logistic(z: np.ndarray) -> np.ndarray:

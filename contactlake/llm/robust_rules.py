@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactlake.functions.text import let
 from contactlake.llm.common import BLANKS, Guarded, materialise, whole_text, words
 
 SYMBOLS = "#*$%&|<>"
@@ -69,21 +70,16 @@ def repeated_words(ws: Column, window: int = WINDOW) -> Column:
             steps = F.transform(p, lambda x, i: F.coalesce(F.least(F.get(p, i + 1) - x, F.lit(window)), F.lit(window)))
             return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-        return _bind(placed, lambda s: _bind(marks(s), total))
+        return let(placed, lambda s: let(marks(s), total))
 
     return F.when(F.size(ws) < window + 1, F.lit(0).cast("long")).otherwise(
-        _bind(
+        let(
             hashes,
             lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)),
         )
     )
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once for all its uses in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def text_statistics(rows: DataFrame, text: str) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long)."""
     t = F.col(text)
@@ -93,7 +89,7 @@ def text_statistics(rows: DataFrame, text: str) -> DataFrame:
         "*", F.get(counted, F.lit(0)).alias("__w"),
         F.length(F.regexp_replace(t, BLANKS, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
-        _bind(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
+        let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
     ).select("*", F.col("__w.n").alias("n_words"), F.col("__w.r").alias("n_repeat_words")).drop("__w")
 
 

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactlake.functions.text import let
 from contactlake.llm.common import Guarded, materialise, whole_text, words
 from contactlake.operators.ordering import running
 
@@ -34,11 +35,6 @@ S = 2
 SIZE = 128
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once for all its uses in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _anchors_of(ws: Column, k: int, s: int) -> Column:
     """Anchors (pos, hash) of a bound word array with k words or more."""
     inner = k - s + 1
@@ -61,7 +57,7 @@ def _anchors_of(ws: Column, k: int, s: int) -> Column:
             lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(h, i + d) for d in cover]).alias("hash")),
         )
 
-    return _bind(runs, chosen)
+    return let(runs, chosen)
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -70,7 +66,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(ws).alias("hash")))
         return F.when(F.size(ws) == 0, F.slice(whole, 1, 0)).when(F.size(ws) < k, whole).otherwise(_anchors_of(ws, k, s))
 
-    return _bind(words(text), of)
+    return let(words(text), of)
 
 
 def sketch(text: Column, k: int = K, s: int = S, size: int = SIZE) -> Column:
@@ -86,7 +82,7 @@ def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
             F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
         )
 
-    return _bind(F.slice(F.sort_array(F.array_union(a, b)), 1, size), of)
+    return let(F.slice(F.sort_array(F.array_union(a, b)), 1, size), of)
 
 
 def printed(a: Column) -> Column:
