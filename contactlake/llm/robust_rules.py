@@ -11,8 +11,9 @@ few concentration steps each, and the start with the smallest determinant wins.
 Scale: texts are read once; everything after works on eight numbers per row.
 Medians, quantiles and moments are aggregates with map-side partials, so a group
 of any size costs one row per task and step; estimates are one row per group,
-joined to the rows.  Groups below ``min_group`` rows are pooled by language, and
-a pool that is still smaller is not judged beyond the base rules.
+joined to the rows.  A group below ``min_group`` rows is measured by the estimate
+of all rows of its language, and a language below it by that of all rows; only a
+table with fewer usable rows than that is not judged beyond the base rules.
 
 Nulls: a null text has no words; a null language or source is a group of its
 own.  Rows that fail the base rules are not used for estimates.  Rows that
@@ -137,9 +138,32 @@ def _distance(rows: DataFrame, x: list[str], name: str) -> DataFrame:
     )
 
 
+ALL = "all"
+
+
 def _group_key(lang: Column, source: Column | None) -> Column:
-    # Null fields are left out of the text, so null and the text "null" differ.
-    return F.to_json(F.struct(lang.alias("l"), *([source.alias("s")] if source is not None else [])))
+    # Null fields are left out of the text, so null and the text "null" differ; the prefix keeps
+    # a language apart from its group without a source.
+    level = "source" if source is not None else "lang"
+    return F.concat(F.lit(level), F.to_json(F.struct(lang.alias("l"), *([source.alias("s")] if source is not None else []))))
+
+
+def _levels(sizes: DataFrame, least: int) -> DataFrame:
+    """Per row (__fine, __coarse, __n): __group, whose estimate judges it, and __fits, the estimates that it takes part in."""
+    langs = sizes.groupBy("__coarse").agg(F.sum("__n").alias("__ln"), F.min("__n").alias("__smallest"))
+    total = langs.agg(F.sum("__ln").alias("__all"), F.min("__ln").alias("__rarest"))
+    fine, coarse, every = (F.col(c) >= least for c in ("__n", "__ln", "__all"))
+    # A language or the whole is estimated only where a smaller group needs it.
+    fits = F.array(
+        F.when(fine, F.col("__fine")),
+        F.when(coarse & (F.col("__smallest") < least), F.col("__coarse")),
+        F.when(every & (F.col("__rarest") < least), F.lit(ALL)),
+    )
+    return sizes.join(langs, "__coarse").crossJoin(F.broadcast(total)).select(
+        F.col("__fine").alias("__f"),
+        F.when(fine, F.col("__fine")).when(coarse, F.col("__coarse")).when(every, F.lit(ALL)).alias("__group"),
+        F.array_compact(fits).alias("__fits"),
+    )
 
 
 def mcd(rows: DataFrame, key: str, features: dict[str, float], params: Params) -> DataFrame:
@@ -211,18 +235,11 @@ def judge(
     # Everything below needs these columns alone; the texts stay where they are.
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *FEATURES]
     fitted = materialise(measured.select("__fine", "__coarse", *stats), "rule-stats").where(~F.col("base_failed"))
-    sizes = fitted.groupBy("__fine", "__coarse").agg(F.count("*").alias("__n"))
-    keys = materialise(
-        sizes.select(
-            F.col("__fine").alias("__f"),
-            F.when(F.col("__n") >= params.min_group, F.col("__fine")).otherwise(F.col("__coarse")).alias("__group"),
-        ), "rule-groups",
-    )
-    grouped = fitted.join(keys, fitted["__fine"] == keys["__f"]).select("__group", *FEATURES)
-    big = grouped.groupBy("__group").count().where(F.col("count") >= params.min_group).select("__group")
-    big = materialise(big, "rule-big")
-    estimates = mcd(materialise(grouped.join(big, "__group", "left_semi"), "rule-rows"), "__group", FEATURES, params)
-    per_key = materialise(keys.join(estimates, "__group", "left").drop("__group"), "rule-estimates")
+    sizes = materialise(fitted.groupBy("__fine", "__coarse").agg(F.count("*").alias("__n")), "rule-sizes")
+    keys = materialise(_levels(sizes, params.min_group), "rule-groups")
+    grouped = fitted.join(keys, fitted["__fine"] == keys["__f"]).select(F.explode("__fits").alias("__group"), *FEATURES)
+    estimates = mcd(materialise(grouped, "rule-rows"), "__group", FEATURES, params)
+    per_key = materialise(keys.drop("__fits").join(estimates, "__group", "left").drop("__group"), "rule-estimates")
     out = measured.join(per_key, measured["__fine"] == per_key["__f"], "left")
     out = _distance(out, list(FEATURES), "__d2")
     kept = ~F.col("base_failed") & F.coalesce(F.col("__d2") <= params.cut, F.lit(True))

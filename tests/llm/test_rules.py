@@ -61,3 +61,16 @@ def test_identical_rows_and_small_groups(make_docs):
     same = [(i, text, None, None) for i in range(150)]
     small = [(500 + i, prose(random.Random(i), 80), "de", f"s{i % 40}") for i in range(120)]
     assert all(r.kept for r in R.judge(make_docs(same + small)).collect())
+
+
+def test_small_groups_are_judged_by_their_language_or_all_rows(make_docs):
+    rng = random.Random(4)
+    # The large source without a name and its language are different groups.
+    rows = [(i, prose(rng, rng.randint(60, 300)), "en", None) for i in range(400)]
+    junk = [(1000 + i, " ".join(w + "###" for w in prose(rng, 100).split()), "en", "small") for i in range(50)]
+    rare = [(2000 + i, prose(rng, 100), "xx", "a") for i in range(10)]
+    rare_junk = [(3000 + i, " ".join(w + "###" for w in prose(rng, 100).split()), "xx", "a") for i in range(10)]
+    out = {r.doc_id: r for r in R.judge(make_docs(rows + junk + rare + rare_junk)).collect()}
+    assert all(r.outlier_distance is not None for r in out.values())
+    assert all(out[r[0]].kept for r in rows + rare)
+    assert not any(out[r[0]].kept for r in junk + rare_junk)
