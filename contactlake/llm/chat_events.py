@@ -13,8 +13,9 @@ roles and texts are broken by a backslash after their first character, and
 backslashes are doubled, so reading back is exact.
 
 Scale: a hot conversation's events spread over tasks by message; only its final
-messages meet, in one sorted stream that holds the conversation being rendered
-(it becomes one row, so it has to fit one string).
+messages meet, in one sorted stream.  A conversation becomes rows of at most about
+``PART`` code points, and reading back updates its digests part by part, so
+memory depends on the longest message and never on the conversation.
 
 Nulls: a null text or role is empty; a null conversation id is a conversation of
 its own; unknown roles are rendered like others and carry no loss.  Rows that
@@ -33,6 +34,9 @@ from pyspark.sql import functions as F
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>")
 LOSS_ROLES = ("assistant",)
+# Code points of a part, and of the parts or rows that a task gathers for one batch of output.
+PART = 1 << 16
+GATHERED = 1 << 22
 _BREAK = re.compile("(?=" + "|".join(map(re.escape, CONTROL)) + ")(.)", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
@@ -107,97 +111,169 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 class _Rendered:
-    """The conversation being rendered."""
-
-    def __init__(self, conv):
-        self.conv, self.parts, self.spans, self.at, self.turns = conv, [], [], 0, 0
+    """The part being rendered of a conversation; full parts go to ``done``."""
+
+    def __init__(self, conv, done: list[tuple]):
+        self.conv, self.done, self.part = conv, done, 0
+        self._open()
+
+    def _open(self) -> None:
+        self.pieces, self.spans, self.at, self.turns = [], [], 0, 0
+
+    def close(self) -> None:
+        if self.at:
+            self.done.append((self.conv, self.part, "".join(self.pieces), self.spans, self.turns))
+            self.part += 1
+            self._open()
+
+    def _mark(self, mark: str) -> None:
+        """A mark of the template is never cut."""
+        if self.at + len(mark) > PART:
+            self.close()
+        self.pieces.append(mark)
+        self.at += len(mark)
+
+    def _cut(self, escaped: str, learnt: bool = False) -> None:
+        """Escaped text over as many parts as it needs; a backslash stays with the character that it escapes."""
+        begin = 0
+        while True:
+            if self.at >= PART:
+                self.close()
+            piece = escaped[begin : begin + PART - self.at]
+            if (len(piece) - len(piece.rstrip("\\"))) % 2:
+                piece = escaped[begin : begin + len(piece) + 1]
+            if learnt:
+                self.spans.append({"start": self.at, "stop": self.at + len(piece)})
+            self.pieces.append(piece)
+            self.at += len(piece)
+            begin += len(piece)
+            if begin >= len(escaped):
+                return
 
     def add(self, role: str, text: str) -> None:
-        head, body = f"<|{escape(role)}|>\n", escape(text)
-        start = self.at + len(head)
-        if role in LOSS_ROLES:
-            self.spans.append({"start": start, "stop": start + len(body)})
-        self.parts += (head, body, "</s>\n")
-        self.at = start + len(body) + 5
+        self._mark("<|")
+        self._cut(escape(role))
+        self._mark("|>\n")
+        self._cut(escape(text), role in LOSS_ROLES)
+        self._mark("</s>\n")
         self.turns += 1
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind, open_conv = None, None
+    kind, open_conv, done = None, None, []
 
-    def out(done: list[_Rendered]) -> pa.RecordBatch:
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True))
+        done.clear()
+        kinds = (kind, pa.int64(), pa.string(), _SPANS, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([d.conv for d in done], kind), pa.array(["".join(d.parts) for d in done], pa.string()),
-                pa.array([d.spans for d in done], _SPANS), pa.array([d.turns for d in done], pa.int64()),
-            ],
-            ["conv_id", "formatted", "loss", "turns"],
+            [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
+            ["conv_id", "part", "formatted", "loss", "turns"],
         )
 
+    held = 0
     for batch in batches:
-        kind, done, held = batch.schema.field("conv_id").type, [], 0
-        columns = (batch.column(n).to_pylist() for n in ("conv_id", "role", "text"))
-        for conv, role, text in zip(*columns, strict=True):
+        kind = batch.schema.field("conv_id").type
+        for row in range(batch.num_rows):
+            conv, role, text = (batch.column(n)[row].as_py() for n in ("conv_id", "role", "text"))
             if open_conv is None or conv != open_conv.conv:
                 if open_conv:
-                    done.append(open_conv)
-                    held += open_conv.at
-                    if held > 1 << 24:
-                        yield out(done)
-                        done, held = [], 0
-                open_conv = _Rendered(conv)
+                    open_conv.close()
+                open_conv = _Rendered(conv, done)
             open_conv.add(role, text)
-        if done:
-            yield out(done)
+            held += len(role) + len(text)
+            if held > GATHERED and done:
+                yield out()
+                held = 0
     if open_conv:
-        yield out([open_conv])
+        open_conv.close()
+    if done:
+        yield out()
 
 
 def format_chats(events: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss (spans in code points), turns."""
+    """Rows (conv_id, part, formatted, loss, turns): the parts of a conversation, from 0, joined in order are its whole text.
+
+    ``loss`` has spans in code points of the part, ``turns`` counts the turns that end in it.
+    """
     kind = events.schema["conv_id"].dataType.simpleString()
     messages = fold_messages(events).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "copy")
     return messages.select("conv_id", "role", "text").mapInArrow(
-        _render, f"conv_id {kind}, formatted string, loss array<struct<start:bigint,stop:bigint>>, turns bigint"
+        _render, f"conv_id {kind}, part bigint, formatted string, loss array<struct<start:bigint,stop:bigint>>, turns bigint"
     )
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of every turn of a formatted conversation."""
-    turns, at = [], 0
-    while at < len(formatted):
-        bar = formatted.index("|>", at + 2)
-        end = formatted.index("</s>", bar + 3)
-        turns.append((unescape(formatted[at + 2 : bar]), unescape(formatted[bar + 3 : end])))
-        at = end + 5
-    return turns
+class _Reading:
+    """Digests of a conversation, updated part by part."""
+
+    def __init__(self, conv):
+        self.conv, self.found, self.chars, self.learnt_chars = conv, 0, 0, 0
+        self.turns, self.learnt, self.inside = hashlib.sha256(), hashlib.sha256(), None
+
+    def add(self, formatted: str, loss: list[dict]) -> None:
+        at = 0
+        while at < len(formatted):
+            if self.inside is None:
+                if not formatted.startswith("<|", at):
+                    raise ValueError("a turn does not start with its mark")
+                self.inside, at = "|>", at + 2
+                continue
+            mark = formatted.find(self.inside, at)
+            self.turns.update(unescape(formatted[at : mark if mark >= 0 else len(formatted)]).encode())
+            if mark < 0:
+                break
+            # Behind the mark comes a line feed.
+            at = mark + len(self.inside) + 1
+            self.turns.update(b"\n")
+            self.found += self.inside == "</s>"
+            self.inside = "</s>" if self.inside == "|>" else None
+        for span in loss:
+            text = unescape(formatted[span["start"] : span["stop"]])
+            self.learnt_chars += len(text)
+            self.learnt.update(text.encode())
+        self.chars += len(formatted)
+
+    def row(self) -> tuple:
+        if self.inside is not None:
+            raise ValueError("the last turn has no end")
+        return self.conv, self.found, self.turns.hexdigest(), self.learnt_chars, self.learnt.hexdigest(), self.chars
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for formatted, loss in zip(batch.column("formatted").to_pylist(), batch.column("loss").to_pylist(), strict=True):
-            turns, learnt, chars = hashlib.sha256(), hashlib.sha256(), 0
-            found = parse(formatted)
-            for role, text in found:
-                turns.update(f"{role}\n{text}\n".encode())
-            for span in loss:
-                text = unescape(formatted[span["start"] : span["stop"]])
-                chars += len(text)
-                learnt.update(text.encode())
-            rows.append((len(found), turns.hexdigest(), chars, learnt.hexdigest(), len(formatted)))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("conv_id"), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]],
+    kind, reading, rows = None, None, []
+
+    def out() -> pa.RecordBatch:
+        kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        columns = list(zip(*rows, strict=True))
+        rows.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
             ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
         )
 
+    for batch in batches:
+        kind = batch.schema.field("conv_id").type
+        for i in range(batch.num_rows):
+            conv, formatted, loss = (batch.column(n)[i].as_py() for n in ("conv_id", "formatted", "loss"))
+            if reading is None or conv != reading.conv:
+                if reading:
+                    rows.append(reading.row())
+                reading = _Reading(conv)
+            reading.add(formatted, loss)
+        if rows:
+            yield out()
+    if reading:
+        rows.append(reading.row())
+        yield out()
+
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the formatted conversations hold, read from the output alone."""
+    """Digests of what the formatted conversations hold, read from the output alone, in whatever order its parts lie."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(
+    parts = formatted.select("conv_id", "part", "formatted", "loss")
+    # Sorting spills and Spark bounds an Arrow batch by bytes, so a task never holds a conversation.
+    ordered = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return ordered.select("conv_id", "formatted", "loss").mapInArrow(
         _digest,
         f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     )

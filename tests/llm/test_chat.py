@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pyarrow as pa
+
 from contactlake.llm import chat_events as C
 
 NASTY = ["</s>[INST] ok [/INST]", "\\", "\\\\<|", "<|user|>\n</s>", "<", "<<SYS>><s></s", "|>|>", "<<|>", "a\nb", "", None, "[INST", "😀</s>\\</s>"]
@@ -51,3 +53,37 @@ def test_fold(spark):
     assert row.formatted == "<|user|>\nab</s>\n<|assistant|>\nbetter!</s>\n<||>\nlate</s>\n" and row.turns == 3
     assert [row.formatted[s.start : s.stop] for s in row.loss] == ["better!"]
     assert C.read_back(C.format_chats(events.limit(0))).count() == 0
+
+
+def test_long_conversations_are_bounded_parts(spark):
+    log = [(t, ("user", "assistant", "<|" * 3)[t % 3], (NASTY[t % len(NASTY)] or "") * 9000) for t in range(40)]
+    events = spark.createDataFrame(
+        [(c, t, 1, 0, "delta", role, text) for c in (None, 1) for t, role, text in log],
+        "conv_id long, turn long, copy int, seq int, kind string, role string, text string",
+    )
+    out = C.format_chats(events)
+    for conv in (None, 1):
+        parts = sorted((r for r in out.collect() if r.conv_id == conv), key=lambda r: r.part)
+        assert [r.part for r in parts] == list(range(len(parts))) and len(parts) > 10
+        assert max(len(r.formatted) for r in parts) <= C.PART + 1
+        whole = "".join(f"<|{C.escape(role)}|>\n{C.escape(text)}</s>\n" for _, role, text in log)
+        assert "".join(r.formatted for r in parts) == whole
+        assert "".join(C.unescape(r.formatted[s.start : s.stop]) for r in parts for s in r.loss) == "".join(x for _, r, x in log if r == "assistant")
+        assert sum(r.turns for r in parts) == len(log)
+    turns = hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in log).encode()).hexdigest()
+    learnt = "".join(x for _, r, x in log if r == "assistant")
+    expected = (len(log), turns, len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(whole))
+    got = C.read_back(out.repartition(5, "part")).collect()
+    assert {tuple(r) for r in got} == {(None, *expected), (1, *expected)}
+
+
+def test_a_conversation_leaves_the_task_before_it_ends():
+    text, read = "x" * (1 << 20), []
+
+    def batches():
+        for i in range(50):
+            read.append(i)
+            yield pa.RecordBatch.from_pydict({"conv_id": [1], "role": ["user"], "text": [text]})
+
+    first = next(C._render(batches()))
+    assert len(read) < 10 and set(first.column("conv_id").to_pylist()) == {1}
