@@ -22,7 +22,7 @@ share a rank and are taken together.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,10 +77,41 @@ def source_targets(per_source: DataFrame, weights: Sequence[int] = WEIGHTS, max_
     )
 
 
+def _expected(max_copies: int) -> Column:
+    """Documents at least as heavy as ``__full`` get all copies; the others share the words that are due by weight."""
+    cap = F.lit(float(max_copies))
+    share = F.when(F.col("__mass") > 0, F.col("__due") * F.col("__weight") / F.col("__mass")).otherwise(F.lit(0.0))
+    return F.when(F.col("__weight") >= F.col("__full"), cap).otherwise(F.least(share, cap))
+
+
+def _reshare(attached: Callable[[DataFrame], DataFrame], targets: DataFrame, max_copies: int) -> DataFrame:
+    """Words that documents would take beyond ``max_copies`` copies go to the lighter documents of their source.
+
+    Each round adds documents that reach the limit, heaviest first, until no source has a new one.
+    """
+    targets = targets.withColumn("__full", F.lit(None).cast("double"))
+    while True:
+        full = _expected(max_copies) >= max_copies
+        found = attached(targets).groupBy("source").agg(
+            F.min(F.when(full, F.col("__weight"))).alias("__new"),
+            F.sum(F.when(full, F.col("__size")).otherwise(0)).alias("__held"),
+            F.sum(F.when(full, 0.0).otherwise(F.col("__size") * F.col("__weight"))).alias("__rest"),
+        ).withColumnRenamed("source", "__source")
+        joined = materialise(
+            targets.join(found, targets["source"].eqNullSafe(found["__source"])).drop("__source"), "mix-reshared"
+        )
+        changed = joined.where(F.col("__new").isNotNull() & ~F.col("__new").eqNullSafe(F.col("__full"))).limit(1).count()
+        if not changed:
+            return targets
+        targets = joined.select(
+            "source", "source_size", "__n", F.col("__rest").alias("__mass"), "target",
+            (F.col("target") - F.lit(max_copies) * F.col("__held")).alias("__due"), F.col("__new").alias("__full"),
+        )
+
+
 def _with_copies(rows: DataFrame, max_copies: int) -> DataFrame:
     """Expected copies, the certain ones, and the rank of the rest (0 to 1, monotone in Q)."""
-    expected = F.when(F.col("__mass") > 0, F.col("target") * F.col("__weight") / F.col("__mass")).otherwise(F.lit(0.0))
-    out = rows.withColumn("__e", F.least(expected, F.lit(float(max_copies))))
+    out = rows.withColumn("__e", _expected(max_copies))
     out = out.withColumn("__whole", F.floor("__e")).withColumn("__p", F.col("__e") - F.floor("__e"))
     odds = (F.col("__u") * (1 - F.col("__p"))) / ((1 - F.col("__u")) * F.col("__p"))
     return out.withColumn("__rank", F.when(F.col("__p") > 0, odds / (1 + odds)))
@@ -99,7 +130,8 @@ def mix(
 ) -> DataFrame:
     """All rows of ``docs`` plus mix_size, mix_source_size, mix_target, mix_copies, mix_taken.
 
-    ``weight_col`` (positive) makes inclusion unequal within a source.
+    ``weight_col`` (positive) makes inclusion unequal within a source; without it, all documents of a source have
+    the same probability.
     """
     held = Guarded(docs)
     weight = F.lit(1.0)
@@ -121,6 +153,12 @@ def mix(
         dim = dim.withColumnRenamed("source", "__source")
         return rows.join(dim, mine.eqNullSafe(dim["__source"]), "left").drop("__source")
 
+    targets = targets.withColumn("__due", F.col("target"))
+    if weight_col:
+        targets = _reshare(lambda t: attach(narrow, t, narrow["source"]), targets, max_copies)
+    else:
+        # Equal weights: a target is at most max_copies times its source, so nobody is beyond the limit.
+        targets = targets.withColumn("__full", F.lit(None).cast("double"))
     ranked = _with_copies(attach(narrow, targets, narrow["source"]), max_copies)
     ranked = ranked.withColumn("__bucket", F.floor(F.col("__rank") * buckets).cast("int"))
     # One row per source and bucket; certain copies fall into the null bucket or their own alike.
@@ -164,7 +202,7 @@ def mix(
         .select("source", "__need_all", "__cross", "__last")
     )
     plan = attach(targets, cuts, targets["source"]).select(
-        F.col("source").alias("__msource"), F.col("source_size").alias("mix_source_size"), "__mass",
+        F.col("source").alias("__msource"), F.col("source_size").alias("mix_source_size"), "__mass", "__due", "__full",
         F.col("target").alias("target"), "__need_all", "__cross", "__last",
     )
     plan = materialise(plan, "mix-plan")

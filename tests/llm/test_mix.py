@@ -61,3 +61,14 @@ def test_odd_rows(make_docs, odd_rows):
     assert {r.mix_copies for r in pareto_mix.mix(make_docs([(1, "", "en", "a"), (2, None, "en", "b")])).collect()} == {0}
     copies = pareto_mix.copies(pareto_mix.mix(make_docs(odd_rows)), ["doc_id", "text"])
     assert copies.count() == sum(r.mix_copies for r in out)
+
+
+def test_copies_beyond_the_limit_are_reshared_by_weight(make_docs):
+    docs = make_docs([(i, "w " * 10, "en", "a") for i in range(400)] + [(1000, "w " * 4000, "en", "b")])
+    # Twenty documents would take nine copies each; what they leave goes to the others, thirty to one by weight.
+    docs = docs.selectExpr("*", "case when doc_id % 20 = 0 then 1000.0 when doc_id % 20 < 4 then 30.0 else 1.0 end as worth")
+    out = pareto_mix.mix(docs, weights=(1, 3), weight_col="worth").where("source = 'a'").collect()
+    assert all(r.mix_copies == 3 for r in out if r.doc_id % 20 == 0)
+    assert {r.mix_copies for r in out if 0 < r.doc_id % 20 < 4} <= {1, 2}
+    assert 110 < sum(r.mix_copies for r in out if 0 < r.doc_id % 20 < 4) <= 120
+    assert abs(sum(r.mix_taken for r in out) - out[0].mix_target) <= 5
