@@ -5,15 +5,19 @@ compared within a language and source by their Mahalanobis distance from a
 minimum-covariance-determinant estimate: the mean and covariance of the share
 ``core`` of a group's rows whose covariance has the smallest determinant.  The
 search is deterministic: three robust starts per group (plain distances of
-standardised values, their tanh covariance, their spatial sign covariance), a
-few concentration steps each, and the start with the smallest determinant wins.
+standardised values, their tanh covariance, their spatial sign covariance), two
+concentration steps each, then the start with the smallest determinant goes on until
+no group's determinant falls any more (``max_steps`` at most).  The core's covariance is
+scaled to that of a normal law, and distances are cut at a chi-square quantile.
 
-Scale: texts are read once; everything after works on eight numbers per row.
-Medians, quantiles and moments are aggregates with map-side partials, so a group
-of any size costs one row per task and step; estimates are one row per group,
-joined to the rows.  A group below ``min_group`` rows is measured by the estimate
-of all rows of its language, and a language below it by that of all rows; only a
-table with fewer usable rows than that is not judged beyond the base rules.
+No size decides how a group is treated: with n rows, its mean and covariance weigh n^3 / (n^3 + ``shrink``^3)
+against those of its language, a language's likewise against those of all rows (the mean of the
+languages), and those against a wide prior around their own mean.  The weight is smooth, and its power keeps
+a group of a few rows, half of them bad, from setting its own standard.
+
+Scale: texts are read once; what they give is written, and everything after works on eight
+numbers per row.  Medians, quantiles and moments are aggregates with map-side partials, so a group
+of any size costs one row per task and step; estimates are one row per group, joined to the rows.
 
 Nulls: a null text has no words; a null language or source is a group of its
 own.  Rows that fail the base rules are not used for estimates.  Rows that
@@ -22,6 +26,7 @@ repeat an id or a text get the same verdict.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,17 +43,51 @@ MAX_REPEAT_PERCENT = 30
 
 @dataclass(frozen=True)
 class Params:
-    """core: share of a group in the estimate; cut: squared distance beyond which a row is rejected."""
+    """core: share of a group in the estimate; shrink: rows that weigh as much as the level above;
+    tail: chance that a row of a normal law lies beyond the cut."""
 
     core: float = 0.75
-    steps: int = 3
-    min_group: int = 100
-    cut: float = 60.0
+    shrink: float = 100.0
+    max_steps: int = 20
+    tail: float = 1e-8
 
 
 # Transformed statistics and the standard deviation (in their own units) that each keeps at least,
 # so that a statistic which is constant in clean text does not reject small deviations.
 FEATURES = {"log_words": 0.5, "word_length": 0.4, "symbols": 0.1, "dup_lines": 0.1, "repeats": 0.1}
+# Standard deviations that are assumed where there are hardly any rows.
+PRIOR = {"log_words": 1.5, "word_length": 1.5, "symbols": 0.5, "dup_lines": 0.5, "repeats": 0.5}
+FIRST_STEPS = 2
+# A fall of the log determinant that counts.
+FALL = 1e-3
+
+
+def chi_square_tail(x: float, p: int) -> float:
+    """Chance that a chi-square variable with p degrees of freedom exceeds x."""
+    half = x / 2
+    if p % 2:
+        tail, term, k = math.erfc(math.sqrt(half)), math.exp(-half) * math.sqrt(half) / math.gamma(1.5), 1.5
+    else:
+        tail, term, k = 0.0, math.exp(-half), 1.0
+    for _ in range(p // 2):
+        tail += term
+        term *= half / k
+        k += 1
+    return tail
+
+
+def chi_square_quantile(tail: float, p: int) -> float:
+    """The value that a chi-square variable exceeds with chance ``tail``."""
+    low, high = 0.0, 1e4
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square_tail(mid, p) > tail else (low, mid)
+    return high
+
+
+def core_factor(core: float, p: int) -> float:
+    """What the covariance of the innermost share of a normal law is multiplied by to give that of the law."""
+    return core / (1 - chi_square_tail(chi_square_quantile(1 - core, p), p + 2))
 
 
 def repeated_words(ws: Column, window: int = WINDOW) -> Column:
@@ -138,9 +177,6 @@ def _distance(rows: DataFrame, x: list[str], name: str) -> DataFrame:
     )
 
 
-ALL = "all"
-
-
 def _group_key(lang: Column, source: Column | None) -> Column:
     # Null fields are left out of the text, so null and the text "null" differ; the prefix keeps
     # a language apart from its group without a source.
@@ -148,26 +184,26 @@ def _group_key(lang: Column, source: Column | None) -> Column:
     return F.concat(F.lit(level), F.to_json(F.struct(lang.alias("l"), *([source.alias("s")] if source is not None else []))))
 
 
-def _levels(sizes: DataFrame, least: int) -> DataFrame:
-    """Per row (__fine, __coarse, __n): __group, whose estimate judges it, and __fits, the estimates that it takes part in."""
-    langs = sizes.groupBy("__coarse").agg(F.sum("__n").alias("__ln"), F.min("__n").alias("__smallest"))
-    total = langs.agg(F.sum("__ln").alias("__all"), F.min("__ln").alias("__rarest"))
-    fine, coarse, every = (F.col(c) >= least for c in ("__n", "__ln", "__all"))
-    # A language or the whole is estimated only where a smaller group needs it.
-    fits = F.array(
-        F.when(fine, F.col("__fine")),
-        F.when(coarse & (F.col("__smallest") < least), F.col("__coarse")),
-        F.when(every & (F.col("__rarest") < least), F.lit(ALL)),
-    )
-    return sizes.join(langs, "__coarse").crossJoin(F.broadcast(total)).select(
-        F.col("__fine").alias("__f"),
-        F.when(fine, F.col("__fine")).when(coarse, F.col("__coarse")).when(every, F.lit(ALL)).alias("__group"),
-        F.array_compact(fits).alias("__fits"),
-    )
+def _names(p: int) -> tuple[list[str], list[str]]:
+    return [f"m{i}" for i in range(p)], [f"s{i}{j}" for i in range(p) for j in range(i, p)]
+
+
+def _limits(measured: DataFrame, keys: list[str], core: float) -> DataFrame:
+    # Written down, the small side has a known size and is broadcast: the rows themselves are never shuffled.
+    return materialise(measured.groupBy(*keys).agg(F.percentile_approx("__d2", core, 10_000).alias("__h")), "mcd-limit")
+
+
+def _step(measured: DataFrame, keys: list[str], features: dict[str, float], core: float) -> DataFrame:
+    """One concentration step: the estimate of each key's rows within the core's distance."""
+    x, floor = list(features), list(features.values())
+    inside = measured.join(_limits(measured, keys, core), keys).where(F.col("__d2") <= F.col("__h"))
+    moments = inside.groupBy(*keys).agg(*_moments([F.col(c) for c in x]))
+    scatter = [F.col(n).alias(f"c{n}") for n in _names(len(x))[1]]
+    return materialise(_cholesky(moments.select("*", *scatter), floor), "mcd-step")
 
 
 def mcd(rows: DataFrame, key: str, features: dict[str, float], params: Params) -> DataFrame:
-    """One row per key: mean m.., factor l.. of the minimum-covariance-determinant estimate."""
+    """(key, n, m.., s..): mean and covariance of the minimum-covariance-determinant estimate of each key's rows."""
     x, floor = list(features), list(features.values())
     middle = rows.groupBy(key).agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5).alias(f"c_{c}") for c in x])
     middle = materialise(middle, "mcd-median")
@@ -198,52 +234,90 @@ def mcd(rows: DataFrame, key: str, features: dict[str, float], params: Params) -
                 f"s{i}{j}", F.when(F.col("start") == 0, F.lit(1.0 if i == j else 0.0)).otherwise(F.col(f"s{i}{j}"))
             )
     estimate = materialise(_cholesky(first, [0.05] * p), "mcd-start")
-    raw = tripled.join(scales.select(key, *[c for c in scales.columns if c != key]), key)
-    for step in range(params.steps):
-        if step == 0:
-            rescaled = raw.select(key, "start", *x, *z)
-            measured = _distance(rescaled.join(estimate, [key, "start"]), zs, "__d2")
-        else:
-            measured = _distance(tripled.select(key, "start", *x).join(estimate, [key, "start"]), x, "__d2")
-        measured = measured.select(key, "start", *x, "__d2")
-        # Written down, the small side has a known size and is broadcast: the rows themselves are never shuffled.
-        limit = measured.groupBy(key, "start").agg(F.percentile_approx("__d2", params.core, 10_000).alias("__h"))
-        limit = materialise(limit, "mcd-limit")
-        core = measured.join(limit, [key, "start"]).where(F.col("__d2") <= F.col("__h"))
-        estimate = materialise(
-            _cholesky(core.groupBy(key, "start").agg(*_moments([F.col(c) for c in x])), floor), "mcd-step"
-        )
+    both = [key, "start"]
+    measured = _distance(tripled.join(scales, key).select(*both, *x, *z).join(estimate, both), zs, "__d2").select(*both, *x, "__d2")
+    estimate = _step(measured, both, features, params.core)
+    for _ in range(FIRST_STEPS - 1):
+        measured = _distance(tripled.select(*both, *x).join(estimate, both), x, "__d2").select(*both, *x, "__d2")
+        estimate = _step(measured, both, features, params.core)
     best = estimate.groupBy(key).agg(
-        F.min_by(F.struct(*[c for c in estimate.columns if c not in (key, "start")]), F.struct("logdet", "start")).alias("__b")
+        F.min_by(F.struct(*[c for c in estimate.columns if c not in both]), F.struct("logdet", "start")).alias("__b")
+    ).select(key, "__b.*")
+    for _ in range(params.max_steps - FIRST_STEPS):
+        measured = _distance(rows.select(key, *x).join(best, key), x, "__d2").select(key, *x, "__d2")
+        after = _step(measured, [key], features, params.core)
+        falls = best.select(key, F.col("logdet").alias("__before")).join(after, key).where(F.col("__before") - F.col("logdet") > FALL)
+        best, done = after, falls.isEmpty()
+        if done:
+            break
+    means, scatter = _names(p)
+    factor = core_factor(params.core, p)
+    return best.join(middle.select(key, "n"), key).select(key, "n", *means, *[(F.col(f"c{c}") * factor).alias(c) for c in scatter])
+
+
+def _shrunk(own: DataFrame, above: DataFrame, on: str | None, shrink: float, p: int) -> DataFrame:
+    """Means and covariances of ``own`` drawn towards those of ``above`` (one row, if ``on`` is None)."""
+    names = [c for part in _names(p) for c in part]
+    upper = above.select(*([F.col(on).alias("__on")] if on else []), *[F.col(c).alias(f"u_{c}") for c in names])
+    joined = own.join(upper, own[on] == upper["__on"]) if on else own.crossJoin(F.broadcast(upper))
+    cube = F.pow(F.col("n") / shrink, F.lit(3.0))
+    weight = cube / (cube + 1)
+    return joined.select(
+        *[c for c in own.columns if c not in names], *[(weight * F.col(c) + (1 - weight) * F.col(f"u_{c}")).alias(c) for c in names]
+    )
+
+
+def group_estimates(fitted: DataFrame, features: dict[str, float], prior: dict[str, float], params: Params) -> DataFrame:
+    """(__fine, m.., l..) for every group of ``fitted`` (__fine, __coarse and the features)."""
+    p = len(features)
+    means, scatter = _names(p)
+    levelled = fitted.select("__fine", "__coarse", F.explode(F.array("__fine", "__coarse")).alias("__key"), *features)
+    estimates = materialise(
+        mcd(materialise(levelled.select("__key", *features), "rule-rows"), "__key", features, params), "rule-levels"
+    )
+    groups = materialise(fitted.select("__fine", "__coarse").distinct(), "rule-groups")
+    langs = groups.select(F.col("__coarse").alias("__key")).distinct().join(estimates, "__key")
+    every = langs.groupBy().agg(
+        F.sum("n").alias("n"), *[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in [*means, *scatter]]
     )
-    return best.select(key, "__b.*")
+    wide = every.select(
+        *means, *[F.lit(list(prior.values())[int(c[1])] ** 2 if c[1] == c[2] else 0.0).alias(c) for c in scatter]
+    )
+    every = materialise(_shrunk(every, wide, None, params.shrink, p), "rule-all")
+    langs = materialise(_shrunk(langs, every, None, params.shrink, p), "rule-langs")
+    own = groups.join(estimates, F.col("__fine") == F.col("__key")).drop("__key").withColumnRenamed("__coarse", "__lang_key")
+    drawn = _shrunk(own, langs.withColumnRenamed("__key", "__lang_key").drop("n"), "__lang_key", params.shrink, p)
+    return materialise(_cholesky(drawn, list(features.values())).drop("n", "__lang_key", "logdet"), "rule-estimates")
 
 
 def judge(
     docs: DataFrame, params: Params = Params(), text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """All rows of ``docs`` plus the base statistics, base_failed, outlier_distance (null if not judged) and kept."""
+    """The columns ``keep`` (all, if None) of all rows plus the base statistics, base_failed, outlier_distance (null if not judged) and kept.
+
+    Rows are written once with what is kept of them, so a short ``keep`` saves writing the texts.
+    """
     held = Guarded(docs)
+    kept_columns = held.names if keep is None else keep
     rows = held.rows.select(
-        "*", whole_text(held.col(text_col)).alias("__text"), held.col(lang_col).alias("__lang"), held.col(source_col).alias("__source")
+        *[held.name(c) for c in kept_columns],
+        whole_text(held.col(text_col)).alias("__text"), held.col(lang_col).alias("__lang"), held.col(source_col).alias("__source"),
     )
     measured = _features(text_statistics(rows, "__text"))
     measured = measured.withColumn(
         "base_failed",
         (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     ).withColumn("__fine", _group_key(F.col("__lang"), F.col("__source"))).withColumn("__coarse", _group_key(F.col("__lang"), None))
-    # Everything below needs these columns alone; the texts stay where they are.
-    stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *FEATURES]
-    fitted = materialise(measured.select("__fine", "__coarse", *stats), "rule-stats").where(~F.col("base_failed"))
-    sizes = materialise(fitted.groupBy("__fine", "__coarse").agg(F.count("*").alias("__n")), "rule-sizes")
-    keys = materialise(_levels(sizes, params.min_group), "rule-groups")
-    grouped = fitted.join(keys, fitted["__fine"] == keys["__f"]).select(F.explode("__fits").alias("__group"), *FEATURES)
-    estimates = mcd(materialise(grouped, "rule-rows"), "__group", FEATURES, params)
-    per_key = materialise(keys.drop("__fits").join(estimates, "__group", "left").drop("__group"), "rule-estimates")
-    out = measured.join(per_key, measured["__fine"] == per_key["__f"], "left")
-    out = _distance(out, list(FEATURES), "__d2")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("__d2") <= params.cut, F.lit(True))
-    return held.restore(out, {
+    measured = materialise(measured.drop("__text", "__lang", "__source"), "rule-stats")
+    fitted = measured.where(~F.col("base_failed")).select("__fine", "__coarse", *FEATURES)
+    estimates = group_estimates(fitted, FEATURES, PRIOR, params).withColumnRenamed("__fine", "__f")
+    out = _distance(measured.join(estimates, measured["__fine"] == estimates["__f"], "left"), list(FEATURES), "__d2")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("__d2") <= chi_square_quantile(params.tail, len(FEATURES)), F.lit(True))
+    added = {
         **{c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")},
         "outlier_distance": F.when(~F.col("base_failed"), F.col("__d2")), "kept": kept,
-    })
+    }
+    return out.select(
+        *[held.col(c).alias(c) for c in kept_columns if c not in added], *[c.alias(n) for n, c in added.items()]
+    )

@@ -1,15 +1,14 @@
 """Registered queries without an SQL twin, and the pipeline, against brute force on the smallest tables."""
 
 import hashlib
-import math
 import zlib
 from collections import Counter, defaultdict
 
 import __spark_entry__ as entry
 import corpus_pipeline
-import numpy as np
 import pytest
 import sentencepiece
+import test_levels
 import test_lines
 import test_mix
 import test_pieces
@@ -34,54 +33,10 @@ def run(spark, name):
     return entry.queries()[name](spark, SF).collect()
 
 
-def quantile(values, q):
-    ordered = sorted(values)
-    return ordered[max(math.ceil(q * len(ordered)) - 1, 0)]
-
-
-def brute_mcd(x, floor, core, steps):
-    middle = np.array([quantile(c, 0.5) for c in x.T])
-    spread = np.array([quantile(np.abs(c - m), 0.5) for c, m in zip(x.T, middle, strict=True)])
-    z = (x - middle) / np.maximum(1.4826 * spread, floor)
-    norm = np.linalg.norm(z, axis=1, keepdims=True)
-    signs = np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
-    tiny, best = np.eye(x.shape[1]) * 0.05**2, None
-    for start in (np.eye(x.shape[1]), np.cov(np.tanh(z).T, bias=True), np.cov(signs.T, bias=True)):
-        d2 = np.einsum("ij,jk,ik->i", z, np.linalg.inv(start + tiny), z)
-        for _ in range(steps):
-            inside = x[d2 <= quantile(d2, core)]
-            mean, cov = inside.mean(axis=0), np.cov(inside.T, bias=True) + np.diag(floor**2)
-            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        size = np.linalg.slogdet(cov)[1]
-        if best is None or size < best[0] - 1e-9:
-            best = (size, mean, np.linalg.inv(cov))
-    return best
-
-
 def brute_kept(docs, params):
     """Verdict per row, in order."""
-    floor = np.array(list(R.FEATURES.values()))
-    stats = [test_rules.brute(d[1]) for d in docs]
-
-    def vector(s):
-        n = max(s[0], 1)
-        return [math.log1p(s[0]), s[1] / n, math.log1p(4 * s[2] / n), math.sqrt(s[3] / n), math.sqrt(s[4] / n)]
-
-    fine = Counter((d[2], d[3]) for d, s in zip(docs, stats, strict=True) if not s[5])
-    group = lambda d: (d[2], d[3]) if fine[d[2], d[3]] >= params.min_group else (d[2],)
-    members = defaultdict(list)
-    for d, s in zip(docs, stats, strict=True):
-        if not s[5]:
-            members[group(d)].append(vector(s))
-    models = {g: brute_mcd(np.array(v), floor, params.core, params.steps) for g, v in members.items() if len(v) >= params.min_group}
-    out = []
-    for d, s in zip(docs, stats, strict=True):
-        model, ok = models.get(group(d)), not s[5]
-        if ok and model:
-            y = np.array(vector(s)) - model[1]
-            ok = y @ model[2] @ y <= params.cut
-        out.append(bool(ok))
-    return out
+    cut = R.chi_square_quantile(params.tail, len(R.FEATURES))
+    return [d2 is not None and bool(d2 <= cut) for d2 in test_levels.brute_distances(docs, params)]
 
 
 def test_op7_verdicts(spark, docs):
