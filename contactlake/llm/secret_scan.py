@@ -5,8 +5,11 @@ then tried only where its keyword starts.  Hex runs have no keyword, so they are
 found by one scan for long runs.  Tokens that embed a checksum are reported only
 if it is right, web tokens only if their header decodes.
 
-Scale: map-only; each text is scanned once in linear time, so nothing is
-shuffled and a key or source of any size does no harm.
+Scale: map-only, so nothing is shuffled and a key or source of any size does no harm.
+Time is linear in a text: a match ends where the next may start, and where a kind's
+pattern fails, the hits inside the run of characters that it went through are passed over, as
+they would fail at the same place.  A header is decoded only if it nests a few levels; whatever
+fails to decode is no token.
 
 Nulls: a null text is empty; a null or repeated id passes through.  Offsets
 count code points, the end is exclusive.
@@ -47,24 +50,46 @@ def _crc_holds(m: re.Match) -> bool:
     return crc_base62(m[1][:-6]) == m[1][-6:]
 
 
+_QUOTED = re.compile(rb'"(?:[^"\\]|\\.)*"', re.DOTALL)
+MAX_NESTING = 32
+
+
+def _nesting(data: bytes) -> int:
+    """Levels of brackets outside strings."""
+    deepest = level = 0
+    for byte in _QUOTED.sub(b"", data):
+        if byte in b"[{":
+            level += 1
+            deepest = max(deepest, level)
+        elif byte in b"]}":
+            level -= 1
+    return deepest
+
+
 def _header_decodes(m: re.Match) -> bool:
     part = m[1]
     try:
-        head = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (ValueError, binascii.Error):
+        data = base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))
+        head = json.loads(data) if _nesting(data) <= MAX_NESTING else None
+    except (ValueError, binascii.Error, RecursionError):
         return False
     return isinstance(head, dict) and "alg" in head
 
 
 @dataclass(frozen=True)
 class Kind:
-    """Lower-case keywords that start a match, the pattern tried there, and what a match must pass."""
+    """Lower-case keywords that start a match, the pattern tried there, and what a match must pass.
+
+    ``run``: characters that every match starts with and cannot give back, so that a
+    failed try fails for all later hits in the same run.
+    """
 
     name: str
     keywords: tuple[str, ...]
     pattern: str
     valid: Callable[[re.Match], bool]
     flags: int = re.ASCII
+    run: str = ""
 
 
 KINDS = (
@@ -77,7 +102,7 @@ KINDS = (
     Kind("hex", (), r"[0-9a-f]{24,}", lambda m: True),
     Kind("forge", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])", _crc_holds),
     Kind("package", ("npm_",), r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])", _crc_holds),
-    Kind("web_token", ("eyj",), r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", _header_decodes),
+    Kind("web_token", ("eyj",), r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", _header_decodes, run="[A-Za-z0-9_-]+"),
     Kind("private_key", ("-----begin ",), r"-----BEGIN [A-Z ]*PRIVATE KEY-----", lambda m: True),
 )
 BASE = ("assign", "access", "hex")
@@ -85,18 +110,19 @@ BASE = ("assign", "access", "hex")
 
 @lru_cache(maxsize=1)
 def _machine():
-    auto, patterns = ahocorasick.Automaton(), []
+    auto, patterns, runs = ahocorasick.Automaton(), [], []
     for i, kind in enumerate(KINDS):
         patterns.append(re.compile(kind.pattern, kind.flags))
+        runs.append(re.compile(kind.run) if kind.run else None)
         for word in kind.keywords:
             auto.add_word(word, (i, len(word)))
     auto.make_automaton()
-    return auto, patterns
+    return auto, patterns, runs
 
 
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of every secret in the text, by start, then kind."""
-    auto, patterns = _machine()
+    auto, patterns, runs = _machine()
     # Lowering bytes touches A-Z alone, so offsets stay those of the text.
     lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
     hits: dict[int, list[int]] = {}
@@ -106,10 +132,14 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     for i, starts in hits.items():
         free, match, valid = 0, patterns[i].match, KINDS[i].valid
         for start in sorted(starts):
-            if start >= free and (m := match(text, start)):
+            if start < free:
+                continue
+            if m := match(text, start):
                 free = m.end()
                 if valid(m):
                     found.append((start, i, free))
+            elif runs[i] and (run := runs[i].match(text, start)):
+                free = run.end()
     for i, kind in enumerate(KINDS):
         if not kind.keywords:
             found += [(m.start(), i, m.end()) for m in patterns[i].finditer(text) if kind.valid(m)]

@@ -103,14 +103,17 @@ def test_op6(spark):
 
 
 def test_op8(spark, docs):
-    names = ("assign", "access", "hex")
+    names = ("assign", "access", "hex", "forge", "package", "web_token", "private_key")
+    show = lambda spans: ",".join(f"{names[k]}:{a}:{z}" for a, k, z in spans)
     expected = {}
     for key, text, *_ in docs:
         spans = test_secrets.brute(text)
-        shown = ",".join(f"{names[k]}:{a}:{z}" for a, k, z in spans)
-        expected[key] = (*[sum(k == i for _, k, _ in spans) for i in range(3)], hashlib.sha256(shown.encode()).hexdigest())
+        expected[key] = (
+            *[sum(k == i for _, k, _ in spans) for i in range(3)], hashlib.sha256(show(spans).encode()).hexdigest(),
+            show(test_secrets.brute_all(text)),
+        )
     got = run(spark, "op8_secret_scan")
-    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got} == expected
+    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in got} == expected
 
 
 def brute_copies(docs):
