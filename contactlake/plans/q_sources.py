@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contactlake import constants as K
@@ -124,6 +125,46 @@ def s4(spark, sf):
     )
 
 
+def _write_arrays(items, path):
+    """(f, ord, value) as one JSON array per f, one value a line."""
+    top = Window.partitionBy("f")
+    ends = items.withColumns({"first": F.min("ord").over(top), "last": F.max("ord").over(top)})
+    line = F.concat(
+        F.when(F.col("ord") == F.col("first"), "[").otherwise(","), "value", F.when(F.col("ord") == F.col("last"), "]").otherwise("")
+    )
+    rows = ends.repartition("f").sortWithinPartitions("f", "ord").select("f", line.alias("value"))
+    rows.write.partitionBy("f").text(path)
+
+
+@query(
+    "s4_json_array_files",
+    f"""with {S.contacts_cte('orders')}, r as (select 'j' || (contact_id % 30) as file, email, contact_id, row_number() over (partition by contact_id % 30 order by contact_id)::bigint as line from contacts)
+    select file, line, email as raw_email, 'Dana, [' || contact_id || '}}' as name, '"' as phone from r""",
+)
+def s4_arrays(spark, sf):
+    """Thirty files of one array each, written and read back in splits."""
+    path = f"{shared_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    quoted = F.to_json(F.struct(F.col("email").alias("mail"), F.concat(F.lit("Dana, ["), F.col("contact_id").cast("string"), F.lit("}")).alias("name"), F.lit('"').alias("tel")))
+    items = S.contacts(spark, sf, "orders").select((F.col("contact_id") % 30).alias("f"), F.col("contact_id").alias("ord"), quoted.alias("value"))
+    _write_arrays(items, path)
+    rows, _ = imports.parse_json_files(spark, path)
+    return rows.select(F.concat(F.lit("j"), F.regexp_extract("file", r"f=(\d+)", 1)).alias("file"), "line", "raw_email", "name", "phone")
+
+
+@query(
+    "s8_folder_arrays",
+    f"""with {S.contacts_cte('orders')} select (contact_id // 100)::varchar as folder_id, row_number() over (partition by contact_id // 100 order by email)::int - 1 as pos, email, 'personal' as type from contacts""",
+)
+def s8_arrays(spark, sf):
+    """Thirty files of folder arrays; records are read one by one, wherever a split cuts their folder."""
+    path = f"{shared_dir(spark)}/folders-{uuid.uuid4().hex}"
+    record = F.struct("email", F.lit("personal").alias("type"), F.lit('"}],').alias("name"))
+    folders = S.contacts(spark, sf, "orders").groupBy(F.expr("contact_id div 100").alias("ord")).agg(F.sort_array(F.collect_list(record)).alias("records"))
+    text = F.to_json(F.struct(F.col("ord").cast("string").alias("id"), F.lit("n").alias("name"), "records", F.array(F.lit("x")).alias("tags")))
+    _write_arrays(folders.select((F.col("ord") % 30).alias("f"), "ord", text.alias("value")), path)
+    return stores.read_folders(spark, path, multi_line=True)[1].select("folder_id", "pos", "email", "type")
+
+
 _PLAIN = f"""{S.contacts_cte('orders', S.MIXED_EMAIL)}, p as (select 't' || (contact_id % 30) as file, (contact_id // 30 + 1)::bigint as line, contact_id, lower(email) as email from contacts)"""
 
 

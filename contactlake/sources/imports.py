@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from contactlake.functions import addresses as A
 from contactlake.functions.text import blank_to_null, strip_ws
 from contactlake.operators.firsts import first_per_key
 from contactlake.operators.joins import lookup
+from contactlake.sources.json_splits import Levels, json_elements
 
 # fixed values: header names per field (compared without punctuation)
 HEADERS = {
@@ -36,6 +38,9 @@ JSON_KEYS = {
     "company": ("company", "organization"),
     "phone": ("phone", "tel", "mobile"),
 }
+LIST_KEYS = ("emails", "records", "contacts")
+# A list is an array, or an object with one.
+LIST_LEVELS = Levels(array=(0, 1), object=(0, 2))
 NAMED_ADDRESS = r"""^([^<"]+?)\s*<([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})>"""
 MAX_ERRORS = 10
 SHOWN_CHARS = 60
@@ -50,7 +55,7 @@ class ImportResult:
     summary: DataFrame
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, value): trimmed, non-blank lines numbered from 1 within their file."""
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -176,7 +181,7 @@ def parse_json_documents(docs: DataFrame, default_company: str | None = None) ->
     def array_at(path: str) -> Column:
         return F.try_variant_get("doc", path, "array<variant>")
 
-    items = F.coalesce(*[array_at(p) for p in ("$", "$.emails", "$.records", "$.contacts")])
+    items = F.coalesce(*[array_at(p) for p in ("$", *[f"$.{k}" for k in LIST_KEYS])])
     rows = parsed.select("file", F.posexplode_outer(items).alias("pos", "item")).where(F.col("pos").isNotNull())
     rows = rows.select("file", (F.col("pos") + 1).cast("bigint").alias("line"), "item", F.to_json("item").alias("raw"))
     return _json_items(rows, default_company)
@@ -307,23 +312,47 @@ def import_contacts_csv(spark: SparkSession, path: str, tlds: Iterable[str] | No
 import_contacts_text = import_contacts_csv
 
 
-def import_contacts_json(spark: SparkSession, path: str, tlds: Iterable[str] | None = None, **options) -> ImportResult:
-    """JSON lists; files that do not parse as such are read as delimited text.
+def parse_json_files(spark: SparkSession, path: str, default_company: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, files): items of JSON lists read in splits, shaped like ``parse_lines``, and the files that are JSON.
 
-    A JSON document has no line structure to split on, so one file is one value
-    here; large exports should come as many files or as JSON lines, which
-    ``import_contacts_jsonl`` reads in splits.  A file of several documents is
-    read line by line here too.
+    A file counts as JSON if it is one document and all its elements parse, as if it were read whole.
     """
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
-    many = F.col("value").rlike(r"^\{[^\r\n]*\}[ \t]*\r?\n\s*\{")
-    is_json = ~many & F.col("value").rlike(r"(?s)^(?:\[.*\]|\{.*\})$") & F.try_parse_json("value").isNotNull()
-    kinds = docs.select("file", "value", F.when(F.coalesce(is_json, F.lit(False)), "json").when(many, "jsonl").otherwise("text").alias("kind"))
+    elements, documents = json_elements(spark, path, LIST_LEVELS)
+    doc = documents.withColumn("doc", F.try_parse_json("text")).withColumn("keys", F.json_object_keys("text"))
+
+    def is_array(at: str) -> Column:
+        return F.try_variant_get("doc", at, "array<variant>").isNotNull()
+
+    first = F.coalesce(*[F.when(is_array(f"$.{k}"), F.array_position("keys", k) - 1) for k in LIST_KEYS])
+    doc = doc.select("file", F.col("doc").isNotNull().alias("good"), F.when(is_array("$"), F.lit(0)).otherwise(first).alias("list"))
+    member = F.col("container") == "{"
+    item = F.try_parse_json(F.when(member, F.concat(F.lit("{"), "text", F.lit("}"))).otherwise(F.col("text")))
+    parsed = elements.withColumn("item", F.when(F.length(F.trim("text", F.lit(" \t\r\n"))) > 0, item))
+    broken = parsed.where("item is null").select("file").distinct()
+    files = doc.groupBy("file").agg(F.count("*").alias("n"), F.min("good").alias("good"), F.max("list").alias("list"))
+    files = files.where("n = 1 and good").join(broken, "file", "left_anti").select("file", "list").checkpoint(eager=True)
+    items = lookup(parsed.where(~member), files, "file", "inner").where(F.col("member") == F.col("list"))
+    rows = items.select("file", (F.col("ord") + 1).alias("line"), "item", F.to_json("item").alias("raw"))
+    return _json_items(rows, default_company), files.select("file")
+
+
+def import_contacts_json(spark: SparkSession, path: str, tlds: Iterable[str] | None = None, **options) -> ImportResult:
+    """JSON lists of any size, read in splits; files that do not parse as such are read as JSON lines or delimited text."""
     company = options.get("default_company")
-    items = parse_json_documents(kinds.where("kind = 'json'"), company)
-    lines = read_lines(spark, path).join(kinds.where("kind <> 'json'").select("file", "kind"), "file")
-    each = parse_json_lines(lines.where("kind = 'jsonl'").drop("kind"), company)
-    text_rows = parse_lines(lines.where("kind = 'text'").drop("kind"), tlds, company).withColumn("tags", F.lit(None).cast("array<string>"))
+    items, files = parse_json_files(spark, path, company)
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    # As many names as the listing that the driver holds anyway.
+    rest = [unquote(r.file) for r in listed.join(files, "file", "left_anti").collect()]
+    if not rest:
+        return finish_import(items, tlds=tlds, **options)
+    lines = read_lines(spark, rest)
+    top = lines.where("line <= 2").groupBy("file").agg(
+        F.min_by("value", "line").alias("l1"), F.max(F.when(F.col("line") == 2, F.col("value"))).alias("l2")
+    )
+    many = F.col("l1").startswith("{") & F.col("l1").endswith("}") & F.col("l2").startswith("{")
+    lines = lookup(lines, top.select("file", F.coalesce(many, F.lit(False)).alias("many")), "file", "inner")
+    each = parse_json_lines(lines.where("many").drop("many"), company)
+    text_rows = parse_lines(lines.where("not many").drop("many"), tlds, company).withColumn("tags", F.lit(None).cast("array<string>"))
     return finish_import(items.unionByName(each).unionByName(text_rows), tlds=tlds, **options)
 
 
