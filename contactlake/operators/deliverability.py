@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contactlake import constants as K
 from contactlake.functions import addresses as A
 from contactlake.operators.joins import lookup
+from contactlake.operators.rules import first_rule
 
 MX, A_RECORD = 15, 1
 
@@ -89,7 +90,15 @@ def _rule_hit(text: Column, keys) -> Column:
 def fingerprint_provider(
     df: DataFrame, host: str, rules=K.PROVIDERS_PRIMARY_HOST, default: str = K.PROVIDER_PRIMARY_HOST_DEFAULT
 ) -> DataFrame:
-    """First matching substring rule gives provider and catch-all risk."""
+    """First matching substring rule gives provider and catch-all risk.
+
+    ``rules`` is a short fixed list, or a table (ord, pattern, provider, is_catch_all) of any size.
+    """
+    if isinstance(rules, DataFrame):
+        found = first_rule(df.drop("provider", "is_catch_all"), rules, host, ["provider", "is_catch_all"])
+        return found.withColumns(
+            {"provider": F.coalesce("provider", F.lit(default)), "is_catch_all": F.coalesce("is_catch_all", F.lit(False))}
+        )
     text = F.lower(F.col(host))
     provider, risk = None, None
     for keys, name, catch_all in rules:
@@ -100,7 +109,13 @@ def fingerprint_provider(
 
 
 def enrich_asn(df: DataFrame, host: str = "hostname", networks=K.MX_NETWORKS) -> DataFrame:
-    """First network key contained in the host gives owner and location, else null."""
+    """First network key contained in the host gives owner and location, else null.
+
+    ``networks`` is a short fixed list, or a table (ord, pattern, isp, asn, country, city) of any size.
+    """
+    owner_columns = ["isp", "asn", "country", "city"]
+    if isinstance(networks, DataFrame):
+        return first_rule(df.drop(*owner_columns), networks, host, owner_columns)
     text = F.lower(F.col(host))
     block = None
     for key, isp, asn, country, city in networks:
@@ -110,7 +125,7 @@ def enrich_asn(df: DataFrame, host: str = "hostname", networks=K.MX_NETWORKS) ->
         hit = F.contains(text, F.lit(key))
         block = F.when(hit, owner) if block is None else block.when(hit, owner)
     return df.withColumn("__net", block).select(
-        "*", *[F.col(f"__net.{f}").alias(f) for f in ("isp", "asn", "country", "city")]
+        "*", *[F.col(f"__net.{f}").alias(f) for f in owner_columns]
     ).drop("__net")
 
 

@@ -12,6 +12,7 @@ from contactlake.functions.redact import safe_filename
 from contactlake.functions.text import let, strip_ws
 from contactlake.operators.firsts import first_per_key
 from contactlake.operators.joins import lookup
+from contactlake.operators.ranges import longest_match
 from contactlake.operators.ordering import running
 
 DEFAULT_AGENT = "contactlake/1.0"
@@ -144,13 +145,26 @@ def robots_prefix_blocked(urls: DataFrame, rules: DataFrame, agent: str = "*", u
 
 
 def url_safety(
-    urls: DataFrame, resolved: DataFrame | None = None, allow_local: bool = False, compat: bool = False, url: str = "url"
+    urls: DataFrame, resolved: DataFrame | None = None, allow_local: bool = False, compat: bool = False, url: str = "url",
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
-    """Add safe and unsafe_reason.  ``resolved(host, ip)`` also judges what hosts resolve to."""
+    """Add safe and unsafe_reason.  ``resolved(host, ip)`` also judges what hosts resolve to.
+
+    ``ranges(cidr)``, IPv4 or IPv6 and of any number, are restricted beside the fixed ones.
+    """
     judged = urls.withColumn("unsafe_reason", _unsafe_reason(F.col(url), allow_local, compat))
+    if ranges is not None:
+        hosts = judged.withColumn("__ip", IP.bare_host(U.host(strip_ws(F.col(url)))))
+        held = ranges.select(F.col("cidr").alias("__cidr"))
+        judged = longest_match(hosts, held, "__ip", "__cidr").withColumn(
+            "unsafe_reason", F.coalesce("unsafe_reason", F.when(F.col("__cidr").isNotNull(), "restricted_ip"))
+        ).drop("__ip", "__cidr")
+        if resolved is not None:
+            resolved = longest_match(resolved.select("host", "ip"), held, "ip", "__cidr")
     if resolved is not None:
+        hit = F.lit(False) if ranges is None else F.col("__cidr").isNotNull()
         answers = resolved.groupBy(F.lower("host").alias("__host")).agg(
-            F.max(IP.is_restricted(F.col("ip"))).alias("__bad")
+            F.max(IP.is_restricted(F.col("ip")) | hit).alias("__bad")
         )
         named = judged.withColumn("__host", IP.bare_host(U.host(strip_ws(F.col(url)))))
         joined = lookup(named, answers, "__host")
