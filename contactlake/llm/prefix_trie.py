@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,12 +71,12 @@ def node_name(depth: int, sums: tuple[int, ...] | list[int]) -> bytes:
 ROOT = node_name(0, (0, 0, 0, 0))
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, sums = [], [[] for _ in LANES]
         for seg, turns in zip(batch.column("seg").to_pylist(), batch.column("tids").to_pylist(), strict=True):
             keys.append(b"".join(turns))
-            lanes = [_lanes(seg * SEGMENT + i, t) for i, t in enumerate(turns)]
+            lanes = [_lanes(seg * segment + i, t) for i, t in enumerate(turns)]
             for lane, out in enumerate(sums):
                 out.append(sum(x[lane] for x in lanes))
         yield pa.RecordBatch.from_arrays(
@@ -91,8 +92,7 @@ _PARTIAL = pa.schema([
 ])
 
 
-def _emit(tree: Tree, seg: int, start: tuple[int, ...], chars: dict[bytes, int]) -> Iterator[dict]:
-    base = seg * SEGMENT
+def _emit(tree: Tree, base: int, start: tuple[int, ...], chars: dict[bytes, int]) -> Iterator[dict]:
     names, sums = {b"": node_name(base, start)}, {b"": start}
     for key, node, ends in tree.aligned(WIDTH):
         here = ends and node.ends
@@ -104,22 +104,22 @@ def _emit(tree: Tree, seg: int, start: tuple[int, ...], chars: dict[bytes, int])
             sums[key] = tuple(a + b for a, b in zip(sums[above], _lanes(depth - 1, tid), strict=True))
             names[key] = node_name(depth, sums[key])
             yield row | {"node": names[key], "parent": names[above], "turn_id": tid, "depth": depth, "chars": chars[tid]}
-        elif not seg:
+        elif not base:
             yield row | {"node": ROOT, "parent": None, "turn_id": None, "depth": 0, "chars": 0}
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _trees(batches: Iterator[pa.RecordBatch], segment: int, keys: int) -> Iterator[pa.RecordBatch]:
     """Partial nodes of sorted segments, a tree for each run of one start."""
     place, held, tree, chars = None, 0, Tree(), {}
 
     def flushed() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist(list(_emit(tree, place[0], place[1], chars)), _PARTIAL)
+        return pa.RecordBatch.from_pylist(list(_emit(tree, place[0] * segment, place[1], chars)), _PARTIAL)
 
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("c", "seg", "last", "key", "chars", *LANES)]
         for c, seg, last, key, counts, *start in zip(*columns, strict=True):
             here = (seg, tuple(start))
-            if held and (here != place or held == KEYS):
+            if held and (here != place or held == keys):
                 yield flushed()
                 tree, held, chars = Tree(), 0, {}
             place = here
@@ -164,40 +164,41 @@ def _subtree_sums(nodes: DataFrame, sums: list[str]) -> DataFrame:
     return rows.select("node", *sums)
 
 
-def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
+def trie(turns: DataFrame, conversations: DataFrame, segment: int = SEGMENT, keys: int = KEYS) -> DataFrame:
     """Nodes of the trie of ``turns`` (c, pos, tid, chars; pos from 0 without gaps).
 
     ``conversations`` (c) names all of them, those without turns as well.  Returns per node: node and parent (names),
     turn_id (of its last turn), depth, conv_id (smallest member), parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens and ends_sha256 (digest of the ids that end here, ascending, comma-joined).
+    ``segment`` and ``keys`` bound a segment's turns and a tree's segments; they decide memory, never results.
     """
     lengths = turns.groupBy("c").agg(F.count("*").alias("n_turns"))
-    seg = F.floor(F.col("pos") / SEGMENT).cast("long")
+    seg = F.floor(F.col("pos") / segment).cast("long")
     grouped = (
         turns.groupBy("c", seg.alias("seg")).agg(F.sort_array(F.collect_list(F.struct("pos", "tid", "chars"))).alias("t"))
         .select("c", "seg", F.col("t.tid").alias("tids"), F.col("t.chars").alias("chars"))
     )
-    last = F.col("seg") == F.floor((F.col("n_turns") - 1) / SEGMENT)
+    last = F.col("seg") == F.floor((F.col("n_turns") - 1) / segment)
     cut = grouped.join(lengths, "c").select("c", "seg", last.alias("last"), "tids", "chars")
     bare = conversations.select("c").distinct().join(lengths, "c", "left_anti").select(
         "c", F.lit(0).cast("long").alias("seg"), F.lit(True).alias("last"),
         F.array().cast("array<binary>").alias("tids"), F.array().cast("array<bigint>").alias("chars"),
     )
     kinds = "c bigint, seg bigint, last boolean, key binary, chars array<bigint>, " + ", ".join(f"{z} bigint" for z in LANES)
-    segments = materialise(cut.unionByName(bare).mapInArrow(_segments, kinds), "segments")
+    segments = materialise(cut.unionByName(bare).mapInArrow(partial(_segments, segment=segment), kinds), "segments")
     # Only conversations of several segments need to know what came before.
     short = segments.where("seg = 0 and last").withColumns({z: F.lit(0).cast("long") for z in LANES})
     long = running(segments.where("not (seg = 0 and last)"), ["c"], [F.col("seg")], sums={f"upto_{z}": F.col(z) for z in LANES})
     long = long.select("c", "seg", "last", "key", "chars", *[(F.col(f"upto_{z}") - F.col(z)).alias(z) for z in LANES])
     order = ["seg", *LANES, "key", "c"]
     placed = short.unionByName(long).repartitionByRange(*order).sortWithinPartitions(*order)
-    partial = materialise(
+    parts = materialise(
         placed.mapInArrow(
-            _trees, "node binary, parent binary, turn_id binary, depth bigint, n bigint, first bigint, chars bigint, end bigint, ids string"
+            partial(_trees, segment=segment, keys=keys), "node binary, parent binary, turn_id binary, depth bigint, n bigint, first bigint, chars bigint, end bigint, ids string"
         ),
         "trie-parts",
     )
-    merged = partial.groupBy("node").agg(
+    merged = parts.groupBy("node").agg(
         F.min("parent").alias("parent"), F.min("turn_id").alias("turn_id"), F.min("depth").alias("depth"),
         F.sum("n").alias("n_convs"), F.min("first").alias("conv_id"), F.min("chars").alias("chars"),
     )
@@ -215,7 +216,7 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     top = valued.groupBy().agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
     whole = below.unionByName(top.select(F.lit(ROOT).alias("node"), "n_leaves", "saved_tokens"))
     runs = (
-        partial.where("ids is not null").select("node", "end", "ids").repartition("node").sortWithinPartitions("node", "end")
+        parts.where("ids is not null").select("node", "end", "ids").repartition("node").sortWithinPartitions("node", "end")
         .mapInArrow(_digests, "node binary, ends_sha256 string")
     )
     parents = nodes.select(F.col("node").alias("above"), F.col("conv_id").alias("parent_conv_id"))

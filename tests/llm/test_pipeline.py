@@ -11,8 +11,8 @@ SF = "/root/testdata/sf0.001"
 def test_registry():
     names = set(entry.queries())
     assert "pipeline" in names
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
-    assert {"op1_revisits", "op9_line_runs", "op10_pareto_mix"} <= set(entry.oracle_sql())
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
+    assert {"op1_revisits", "op9_line_runs", "op10_pareto_mix", "op11_hard_negatives", "op12_prefix_trie"} <= set(entry.oracle_sql())
 
 
 def test_stages_take_odd_and_empty_tables(spark, make_docs, odd_rows):
