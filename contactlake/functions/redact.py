@@ -6,12 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactlake import constants as K
-from contactlake.functions.text import WORD_END, WORD_START, WS, WS_INNER, blank_to_null, collapse_ws, let, strip_ws
+from contactlake.functions.text import WORD_END, WORD_START, WS, WS_INNER, blank_to_null, collapse_ws, let, strip_tags, strip_ws
 
 CARD, SSN = "[REDACTED_CARD]", "[REDACTED_SSN]"
 SECRET, TOKEN = "[REDACTED_SECRET]", "[REDACTED_TOKEN]"
 
 
+# A run of token characters is looked at once, from its start: what follows the run decides for
+# every start inside it.
+_RUN = "[a-zA-Z0-9_-]"
+_TOKEN = rf"(?<!{_RUN})(?={_RUN}++\.eyJ{_RUN}{{10,}}\.{_RUN}{{10,}})({_RUN}*?){WORD_START}{K.JWT_PATTERN}{WORD_END}"
+
+
 def redact_pii(c: Column) -> Column:
     """Cards, social security numbers, inline passwords, JSON web tokens, in this order."""
     cards = "|".join(f"{WORD_START}{p}{WORD_END}" for p in K.CARD_PATTERNS)
@@ -22,11 +28,11 @@ def redact_pii(c: Column) -> Column:
         rf"""(?i)((?:password|passwd|pwd|secret){WS}*[:=]{WS}*["']?)[^{WS_INNER}"';,]+""",
         "$1" + SECRET,
     )
-    return F.regexp_replace(out, f"{WORD_START}{K.JWT_PATTERN}{WORD_END}", TOKEN)
+    return F.regexp_replace(out, _TOKEN, "$1" + TOKEN)
 
 
 def clean_snippet(c: Column, max_chars: int | None = 150, redact: bool = True) -> Column:
-    out = collapse_ws(F.regexp_replace(strip_ws(c), "<[^>]+>", " "))
+    out = collapse_ws(strip_tags(strip_ws(c)))
     if redact:
         out = redact_pii(out)
     if max_chars is None:

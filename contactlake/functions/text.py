@@ -134,15 +134,46 @@ def find_addresses(c: Column) -> Column:
 
 
 def page_title(html: Column) -> Column:
-    raw = F.regexp_extract(html, r"(?i)<title[^>]*>([^<]+)</title>", 1)
+    # A tag ends at the next bracket of either kind, so each start scans its own stretch only.
+    raw = F.regexp_extract(html, r"(?i)<title[^<>]*+>([^<]++)</title>", 1)
     return collapse_ws(strip_ws(raw))
 
 
+def strip_tags(c: Column) -> Column:
+    """Every tag as one blank.
+
+    Behind the last closing bracket nothing can be a tag; before it every opening one finds an
+    end, so the scan never goes back.
+    """
+
+    def split(t: Column) -> Column:
+        back = F.position(F.lit(">"), F.reverse(t))
+        return let(F.when(back > 0, F.length(t) - back + 1).otherwise(0), lambda n: replace(t, n))
+
+    def replace(t: Column, n: Column) -> Column:
+        head = F.regexp_replace(F.substring(t, F.lit(1), n), "<[^>]+>", " ")
+        return F.concat(head, F.substring(t, n + 1, F.length(t)))
+
+    return let(c, lambda t: F.when(F.contains(t, F.lit("<")), split(t)).otherwise(t))
+
+
+def _without_element(c: Column, name: str) -> Column:
+    """Elements of one kind, with their content, as one blank; what is never closed stays."""
+
+    def split(t: Column) -> Column:
+        return let(F.regexp_extract(t, rf"(?is)^(.*</{name}>)", 1), lambda head: replace(t, head))
+
+    def replace(t: Column, head: Column) -> Column:
+        # Up to the last end every start finds one.
+        cut = F.regexp_replace(head, rf"(?is)<{name}\b.*?</{name}>", " ")
+        return F.concat(cut, F.substring(t, F.length(head) + 1, F.length(t)))
+
+    return let(c, lambda t: F.when(t.rlike(rf"(?i)<{name}\b"), split(t)).otherwise(t))
+
+
 def strip_markup(html: Column) -> Column:
     """Visible text of a page: scripts, styles and tags become one blank."""
-    out = F.regexp_replace(html, r"(?is)<script\b.*?</script>", " ")
-    out = F.regexp_replace(out, r"(?is)<style\b.*?</style>", " ")
-    out = F.regexp_replace(out, "<[^>]+>", " ")
+    out = strip_tags(_without_element(_without_element(html, "script"), "style"))
     out = F.regexp_replace(out, "(?i)&nbsp;", " ")
     return F.trim(collapse_ws(out))
 
@@ -208,7 +239,7 @@ def socials(html: Column) -> Column:
 def job_title(text: Column) -> Column:
     """First title pattern found, in priority order; short ones upper-cased."""
     clean = F.regexp_replace(text, r"""(?i)https?://[^\s"'<>]+""", " ")
-    clean = collapse_ws(F.regexp_replace(clean, "<[^>]+>", " "))
+    clean = collapse_ws(strip_tags(clean))
     # Most texts hold no title word at all: one scan spares them the fifteen.
     any_title = "|".join(f"(?:{p})" for p in K.TITLE_PATTERNS)
 

@@ -143,7 +143,7 @@ def extract_contact_records(
     def context(seen: Column, e: Column, visible: Column, direct: Column) -> Column:
         around = T.snippet(F.col("__doc"), e, 40, F.col("__doc_low"), F.col("__doc_len"))
         raw = T.let(
-            T.strip_ws(T.collapse_ws(F.regexp_replace(F.regexp_replace(around, "<[^>]+>", " "), "(?i)&quot;", '"'))),
+            T.strip_ws(T.collapse_ws(F.regexp_replace(T.strip_tags(around), "(?i)&quot;", '"'))),
             lambda r: F.when(F.length(r) > 0, r).otherwise(METADATA_CONTEXT),
         )
         as_text = visible & (~direct | (F.length(seen) > 0))

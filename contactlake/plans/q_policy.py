@@ -238,7 +238,7 @@ def g5(spark, sf):
     "g5_frontier_robots_canonical",
     f"""with recursive e as ({_EDGES}), ok as (select src, dst from e where dst % 5 <> 3),
     r(n, depth) as (select min(page_id), 0 from pages union
-      select t.dst, t.d from (select ok.dst, r.depth + 1 as d from r join ok on r.n = ok.src where r.depth < 3
+      select t.dst, t.d from (select ok.dst, r.depth + 1 as d from r join ok on r.n = ok.src where r.depth < (select ceil(4 * log2(count(*) + 2)) from pages)
         union all select (r.n + 1)::bigint, r.depth from r where r.n % 10 = 0 and (r.n + 1) in (select page_id from pages) and (r.n + 1) % 5 <> 3) t)
     select 'https://s.com/p' || n as url, min(depth)::int as depth from r group by n""",
 )
@@ -247,7 +247,7 @@ def g5_policy(spark, sf):
     ids = spark.sql("select page_id from pages")
     named = ids.selectExpr("concat('https://s.com/p', page_id) as url", "page_id % 5 <> 3 as allowed")
     canon = spark.sql("select concat('https://s.com/p', page_id) as src, concat('https://s.com/p', page_id + 1) as dst from pages where page_id % 10 = 0 and page_id + 1 in (select page_id from pages)")
-    return G.crawl_frontier(seeds, links, max_depth=3, max_pages=None, allowed=named, canonical=canon).select("url", "depth")
+    return G.crawl_frontier(seeds, links, max_depth=None, max_pages=None, allowed=named, canonical=canon).select("url", "depth")
 
 
 @query(
