@@ -20,15 +20,16 @@ _TOKEN = rf"(?<!{_RUN})(?={_RUN}++\.eyJ{_RUN}{{10,}}\.{_RUN}{{10,}})({_RUN}*?){W
 
 def redact_pii(c: Column) -> Column:
     """Cards, social security numbers, inline passwords, JSON web tokens, in this order."""
-    cards = "|".join(f"{WORD_START}{p}{WORD_END}" for p in K.CARD_PATTERNS)
+    # Each pattern is led by a class of the characters it may start with, which rules out most places at once.
+    cards = rf"(?=\d){WORD_START}(?:{'|'.join(f'(?:{p}){WORD_END}' for p in K.CARD_PATTERNS)})"
     out = F.regexp_replace(c, cards, CARD)
-    out = F.regexp_replace(out, f"{WORD_START}{K.SSN_PATTERN}{WORD_END}", SSN)
+    out = F.regexp_replace(out, rf"(?=\d){WORD_START}{K.SSN_PATTERN}{WORD_END}", SSN)
     out = F.regexp_replace(
         out,
-        rf"""(?i)((?:password|passwd|pwd|secret){WS}*[:=]{WS}*["']?)[^{WS_INNER}"';,]+""",
+        rf"""(?i)(?=[ps])((?:password|passwd|pwd|secret){WS}*[:=]{WS}*["']?)[^{WS_INNER}"';,]+""",
         "$1" + SECRET,
     )
-    return F.regexp_replace(out, _TOKEN, "$1" + TOKEN)
+    return let(out, lambda t: F.when(F.contains(t, F.lit(".eyJ")), F.regexp_replace(t, _TOKEN, "$1" + TOKEN)).otherwise(t))
 
 
 def clean_snippet(c: Column, max_chars: int | None = 150, redact: bool = True) -> Column:

@@ -12,6 +12,9 @@ from contactlake import constants as K
 # Unicode white space (the set a browser engine trims and matches as \s).
 WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 WS_INNER = WS[1:-1]
+# The same set as characters: what lies beyond ASCII, and all of it.
+_WIDE_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_BLANKS = " \t\n\x0b\f\r" + _WIDE_BLANKS
 
 _W = "[A-Za-z0-9_]"
 # ASCII word boundaries: Java's \b also counts accented letters as word characters.
@@ -26,15 +29,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def collapse_ws(c: Column) -> Column:
-    return F.regexp_replace(c, WS + "+", " ")
+    """Runs of white space as one blank.
 
+    A class of wide blanks costs many times an ASCII one at every character, so it serves
+    only the texts that a plain search finds one in.
+    """
+
+    def by_kind(t: Column) -> Column:
+        wide = F.contains(t, F.lit(_WIDE_BLANKS[0]))
+        for blank in _WIDE_BLANKS[1:]:
+            wide = wide | F.contains(t, F.lit(blank))
+        return F.when(wide, F.regexp_replace(t, WS + "+", " ")).otherwise(F.regexp_replace(t, r"[\x09-\x0D\x20]+", " "))
 
-# A trailing run is tried once, at its start: long blank runs inside a text stay linear.
-_EDGES = f"^{WS}++|(?<!{WS}){WS}++$"
+    return let(c, by_kind)
 
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def blank_to_null(c: Column) -> Column:

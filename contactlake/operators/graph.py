@@ -22,6 +22,10 @@ def _step(frontier: DataFrame, edges: DataFrame, visited: DataFrame, same_domain
     return reached.distinct().join(visited.select("site", "url"), ["site", "url"], "left_anti")
 
 
+# Levels between two compactions of the visited pages.
+COMPACT = 8
+
+
 def crawl_frontier(
     seeds: DataFrame,
     links: DataFrame,
@@ -40,7 +44,7 @@ def crawl_frontier(
     known only at the end, so the page cap bounds the result, not the walk.
 
     Edges are shuffled by source once and kept so; each level is one join that
-    moves the frontier alone, and is checkpointed.
+    moves the frontier alone, and is checkpointed; every few levels the visited pages become one table.
     """
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
@@ -60,6 +64,10 @@ def crawl_frontier(
     def settle(found: DataFrame, depth: int) -> DataFrame:
         return found.withColumn("depth", F.lit(depth)).checkpoint(eager=True)
 
+    def compacted(seen: DataFrame, depth: int) -> DataFrame:
+        # One input instead of one per level, so that a walk of any depth keeps a short plan.
+        return seen.repartition(parts, "site", "url").checkpoint(eager=True) if depth % COMPACT == COMPACT - 1 else seen
+
     level = settle(admit(frontier), 0)
     visited = level
     for depth in itertools.count():
@@ -71,7 +79,7 @@ def crawl_frontier(
         if depth == max_depth or level.isEmpty():
             break
         level = settle(admit(_step(level, links, visited, same_domain)), depth + 1)
-        visited = visited.unionByName(level)
+        visited = compacted(visited.unionByName(level), depth)
     found = visited.withColumn("priority", U.is_priority(F.col("url")) | (F.col("depth") == 0))
     # The page cap is the feature: it bounds what one crawl visits.
     order = [F.col("priority").desc(), F.col("depth"), F.col("url")]

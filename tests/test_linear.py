@@ -52,3 +52,19 @@ def test_links(spark):
     df = spark.createDataFrame([(html, "https://a.com/")], "html string, url string")
     assert sorted(r.href for r in L.raw_hrefs(df).collect()) == ["/1", "/2", "/3", "/4"]
     assert [(r.src, r.dst) for r in L.canonical_edges(df).collect()] == [("https://a.com/", "https://a.com/c")]
+
+
+def test_blanks_of_any_kind(spark):
+    wide = "         　﻿"
+    every = " \t\n\x0b\f\r" + wide
+    texts = [f"{b}a{b}{b}é{b}" for b in every] + [every + "x" + every + "y" + every, every, "", "a b", "​kept​", "é\x85é", None]
+
+    def collapsed(t):
+        out = "".join(" " if ch in every else ch for ch in t)
+        while "  " in out:
+            out = out.replace("  ", " ")
+        return out
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", T.collapse_ws(F.col("t")).alias("c"), T.strip_ws(F.col("t")).alias("s")).collect()
+    assert [(r.c, r.s) for r in got] == [(None, None) if t is None else (collapsed(t), t.strip(every)) for t in texts]
