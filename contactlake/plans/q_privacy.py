@@ -1,12 +1,17 @@
 """Registered suppression, redaction and retention queries."""
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from contactlake.operators import privacy as P
+from contactlake.operators import stored
 from contactlake.operators import suppression as C
 from contactlake.plans import ducksql as D
 from contactlake.plans import seeds as S
 from contactlake.plans.registry import query
+from contactlake.session import shared_dir
 
 _BASE = f"{S.contacts_cte('orders', S.MIXED_EMAIL)}, {S.suppression_cte()}"
 _MATCH = f"""{_BASE},
@@ -201,6 +206,34 @@ def c10(spark, sf):
     return P.purge_owner(S.jobs(spark, sf), folders, records, "7")["counts"]
 
 
+@query(
+    "c9_erase_files",
+    f"with {S.contacts_cte('orders', S.MIXED_EMAIL)} select contact_id, contact_id % 7 as team, email from contacts where lower(email) not in ({_ERASED})",
+)
+def c9_files(spark, sf):
+    """A stored folder, partitioned, of which only the files that hold an erased address are replaced."""
+    path = f"{shared_dir(spark)}/erase-{uuid.uuid4().hex}"
+    rows = S.contacts(spark, sf, "orders", S.MIXED_EMAIL).selectExpr("contact_id", "email", "contact_id % 7 as team")
+    rows.repartition("team").write.partitionBy("team").parquet(path)
+    erased = _erasure(spark, sf)[1].selectExpr("lower(trim(email)) as key")
+    stored.erase_from_files(spark, path, erased, F.lower("email"))
+    return spark.read.parquet(path).selectExpr("contact_id", "cast(team as bigint) as team", "email")
+
+
+@query(
+    "c11_retain_since",
+    "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as at from events where ts >= (select date_trunc('day', max(ts)) - interval 12 day + interval 10 hour from events)",
+)
+def c11_days(spark, sf):
+    """Events stored by day; days before the cutoff go unread, its own day is rewritten."""
+    path = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts")
+    events.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    latest = events.agg(F.max("ts")).first()[0]
+    stored.retain_since(spark, path, latest.replace(hour=10, minute=0, second=0, microsecond=0) - timedelta(days=12))
+    return spark.read.parquet(path).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 _NOW = "timestamp '1998-08-02 00:00:00'"
 
 
