@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from contactlake.functions import addresses as A
 from contactlake.functions.text import strip_ws
+from contactlake.operators import bloom
 from contactlake.operators.firsts import first_per_key, last_per_key
 from contactlake.operators.joins import lookup
+from contactlake.session import ensure_checkpoint_dir
 
 # fixed values: request reason -> stored reason
 REASONS = {
@@ -39,6 +41,36 @@ def _index(suppression: DataFrame) -> DataFrame:
     return last_per_key(keyed, ["space", "key"], order).select("space", "key", "reason", "value")
 
 
+def _forms(e: Column) -> list[tuple[int, str, str, Column]]:
+    """(precedence, type, key space, key) of the ways in which a list may name an address."""
+    return [
+        (0, "email", "email", e), (1, "domain", "domain", A.part(e, 1)),
+        (2, "sha256", "hash", F.sha2(e, 256)), (3, "md5", "hash", F.md5(e)),
+    ]
+
+
+def _possible(emails: DataFrame, suppression: DataFrame) -> DataFrame:
+    """Rows (email) that the list may name; certain misses are left out without a shuffle.
+
+    A filter takes the list's keys with their spaces; where it would be too large, all rows stay.
+    """
+    entries = suppression.select(space_of(F.col("type")).alias("space"), clean_value(F.col("type"), F.col("value")).alias("key"))
+    counts = {r.space: r.n for r in entries.groupBy("space").agg(F.count("*").alias("n")).collect()}
+    blocks = bloom.blocks_for(sum(counts.values()))
+    if blocks * bloom.BITS // 8 > bloom.MAX_BYTES:
+        return emails
+    words = bloom.bloom_words(entries.select(F.concat("space", F.lit(":"), "key").alias("k")), "k", blocks).checkpoint(eager=True)
+    tested, flags = emails, []
+    for rank, _, space, value in _forms(F.col("email")):
+        if space in counts:
+            flags.append(f"__may{rank}")
+            tested = bloom.may_contain(tested, words, F.concat(F.lit(space + ":"), value), blocks, flags[-1])
+    hit = F.lit(False)
+    for flag in flags:
+        hit = hit | F.col(flag)
+    return tested.where(hit).select("email")
+
+
 def match_emails(emails: DataFrame, suppression: DataFrame) -> DataFrame:
     """Suppressed ones among distinct ``email`` values, with reason and matched entry.
 
@@ -48,13 +80,8 @@ def match_emails(emails: DataFrame, suppression: DataFrame) -> DataFrame:
     index = _index(suppression)
     # A list holds at most three spaces; those that it lacks cost nothing.
     spaces = {r.space for r in index.select("space").distinct().collect()}
-    e = F.col("email")
-    forms = [
-        (0, "email", "email", e), (1, "domain", "domain", A.part(e, 1)),
-        (2, "sha256", "hash", F.sha2(e, 256)), (3, "md5", "hash", F.md5(e)),
-    ]
     hits = None
-    for rank, kind, space, value in forms:
+    for rank, kind, space, value in _forms(F.col("email")):
         if space not in spaces:
             continue
         side = index.where(F.col("space") == space)
@@ -71,23 +98,30 @@ def match_emails(emails: DataFrame, suppression: DataFrame) -> DataFrame:
     return first_per_key(hits, ["email"], ["rank"]).drop("rank")
 
 
-def _matches_for(contacts: DataFrame, suppression: DataFrame, email: str) -> DataFrame:
-    distinct = contacts.select(A.normalise(F.col(email)).alias("email")).where(F.col("email") != "").distinct()
-    return match_emails(distinct, suppression).withColumnRenamed("email", "__email")
+def _matches_for(contacts: DataFrame, suppression: DataFrame, email: str, prefilter: bool) -> DataFrame:
+    named = contacts.select(A.normalise(F.col(email)).alias("email")).where(F.col("email") != "")
+    if prefilter:
+        ensure_checkpoint_dir(contacts.sparkSession)
+        named = _possible(named, suppression)
+    return match_emails(named.distinct(), suppression).withColumnRenamed("email", "__email")
+
 
+def check_suppression(contacts: DataFrame, suppression: DataFrame, email: str = "email", prefilter: bool = False) -> DataFrame:
+    """Flag every contact: is_suppressed, suppression_reason, matched_type, matched_value.
 
-def check_suppression(contacts: DataFrame, suppression: DataFrame, email: str = "email") -> DataFrame:
-    """Flag every contact: is_suppressed, suppression_reason, matched_type, matched_value."""
-    hits = _matches_for(contacts, suppression, email).select(
+    ``prefilter`` tests every address against a Bloom filter of the list before addresses are shuffled: the
+    same result, worth its cost where few addresses are listed and contacts are many.
+    """
+    hits = _matches_for(contacts, suppression, email, prefilter).select(
         "__email", F.col("reason").alias("suppression_reason"), "matched_type", "matched_value"
     )
     base = contacts.drop("is_suppressed", "suppression_reason").withColumn("__email", A.normalise(F.col(email)))
     return lookup(base, hits, "__email").withColumn("is_suppressed", F.col("matched_type").isNotNull()).drop("__email")
 
 
-def filter_suppressed(contacts: DataFrame, suppression: DataFrame, email: str = "email") -> DataFrame:
-    """Contacts that no entry matches."""
-    hits = _matches_for(contacts, suppression, email).select("__email")
+def filter_suppressed(contacts: DataFrame, suppression: DataFrame, email: str = "email", prefilter: bool = False) -> DataFrame:
+    """Contacts that no entry matches; ``prefilter`` as in ``check_suppression``."""
+    hits = _matches_for(contacts, suppression, email, prefilter).select("__email")
     base = contacts.withColumn("__email", A.normalise(F.col(email)))
     return lookup(base, hits, "__email", "left_anti").drop("__email")
 

@@ -44,6 +44,11 @@ def c1(spark, sf):
     )
 
 
+@query("c2_filter_prefiltered", f"with {_MATCH} select contact_id, email from contacts where contact_id not in (select contact_id from hits)")
+def c2_prefiltered(spark, sf):
+    return C.filter_suppressed(*_pair(spark, sf), prefilter=True).select("contact_id", "email")
+
+
 @query("c2_filter_suppressed", f"with {_MATCH} select contact_id, email from contacts where contact_id not in (select contact_id from hits)")
 def c2(spark, sf):
     return C.filter_suppressed(*_pair(spark, sf))
