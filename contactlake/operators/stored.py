@@ -29,7 +29,7 @@ from contactlake.session import ensure_checkpoint_dir
 _MARK = "_erasing_"
 
 
-class _Folder:
+class Folder:
     """Files of one folder through the file system that Spark uses for it."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -88,7 +88,7 @@ class _Folder:
             stream.close()
 
 
-def _apply(folder: _Folder, staging: str) -> None:
+def _apply(folder: Folder, staging: str) -> None:
     """Finish a journal; every step may have been done before."""
     journal = json.loads(folder.read(f"{staging}/journal"))
     for name in journal["new"]:
@@ -101,7 +101,7 @@ def _apply(folder: _Folder, staging: str) -> None:
 
 def finish_erasures(spark: SparkSession, path: str) -> int:
     """Finish what a lost driver had committed, drop what it had not; the number of runs that were found."""
-    folder = _Folder(spark, path)
+    folder = Folder(spark, path)
     found = [name for name in folder.names() if name.startswith(_MARK)]
     for staging in found:
         if folder.exists(f"{staging}/journal"):
@@ -118,7 +118,7 @@ def erase_from_files(spark: SparkSession, path: str, keys: DataFrame, key: Colum
     """
     ensure_checkpoint_dir(spark)
     finish_erasures(spark, path)
-    folder = _Folder(spark, path)
+    folder = Folder(spark, path)
     held = keys.select(F.col(on).alias("__key")).where("__key is not null").distinct()
     stored = spark.read.parquet(path)
     tagged = stored.select(key.alias("__key"), F.col("_metadata.file_path").alias("file"))
@@ -152,7 +152,7 @@ def retain_since(spark: SparkSession, path: str, cutoff: datetime, day: str = "d
 
     Rows without a time stay unless their whole day goes; what is in no day's folder stays.
     """
-    folder, out = _Folder(spark, path), Retained()
+    folder, out = Folder(spark, path), Retained()
     for name in folder.names():
         try:
             found = date.fromisoformat(name.removeprefix(f"{day}=")) if name.startswith(f"{day}=") else None

@@ -62,13 +62,13 @@ def test_interrupted_runs_are_finished_or_dropped(spark, store, monkeypatch):
             stored.erase_from_files(spark, store, keys(spark, "u1@x.com"), F.lower("email"))
     assert files(store).items() >= before.items() and spark.read.parquet(store).count() == 400
     with monkeypatch.context() as m:
-        m.setattr(stored._Folder, "delete", lost)
+        m.setattr(stored.Folder, "delete", lost)
         with pytest.raises(RuntimeError):
             stored.finish_erasures(spark, store)
     assert stored.finish_erasures(spark, store) == 1
     assert spark.read.parquet(store).where("id = 1").isEmpty() and spark.read.parquet(store).count() == 399
     with monkeypatch.context() as m:
-        m.setattr(stored._Folder, "write", lost)
+        m.setattr(stored.Folder, "write", lost)
         with pytest.raises(RuntimeError):
             stored.erase_from_files(spark, store, keys(spark, "u2@x.com"), F.lower("email"))
     assert stored.finish_erasures(spark, store) == 1 and spark.read.parquet(store).count() == 399
