@@ -67,6 +67,13 @@ class Folder:
     def exists(self, relative: str) -> bool:
         return self._fs.exists(self.at(relative))
 
+    def make(self) -> None:
+        self._fs.mkdirs(self._root)
+
+    def remove(self) -> None:
+        """The folder itself, with all it holds."""
+        self._fs.delete(self._root, True)
+
     def delete(self, relative: str) -> None:
         self._fs.delete(self.at(relative), True)
 
