@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,7 +135,7 @@ def domain_facets(contacts: DataFrame) -> DataFrame:
     return contacts.where(F.length("domain") > 0).groupBy("domain").agg(F.count("*").alias("count")).orderBy("domain")
 
 
-_SEARCH_FIELDS = {
+SEARCH_FIELDS = {
     "session": ("email", "domain", "page_title", "context_snippet"),
     "directory": ("email", "name", "domain"),
     "results": ("email", "domain", "name", "source_url"),
@@ -165,20 +167,23 @@ def search_contacts(
     if query and query.strip():
         q = F.lit(query.lower())
         hit = F.lit(False)
-        for field in _SEARCH_FIELDS[fields]:
+        for field in SEARCH_FIELDS[fields]:
             hit = hit | F.coalesce(F.contains(F.lower(F.col(field)), q), F.lit(False))
         out = out.where(hit)
     return out
 
 
-def page_of(df: DataFrame, order: list[str], page: int = 1, size: int = 25, deep: bool = False) -> DataFrame:
+def page_of(
+    df: DataFrame, order: list[str], page: int = 1, size: int = 25, deep: bool = False, total: int | None = None
+) -> DataFrame:
     """One page of a stable order, with page and total_pages; out-of-range pages clamp.
 
     ``order`` must be unique.  A page is a top-k over everything before it; with
     ``deep`` it is cut out by running row numbers over ranges instead, so no task
-    sorts the rows before it.
+    sorts the rows before it.  A caller that turns pages gives the ``total`` it
+    has counted once, or asks for the rows after the last one (``page_after``).
     """
-    total = df.count()
+    total = df.count() if total is None else total
     pages = max(1, -(-total // size))
     page = min(max(page, 1), pages)
     skip = (page - 1) * size
@@ -190,6 +195,21 @@ def page_of(df: DataFrame, order: list[str], page: int = 1, size: int = 25, deep
     return rows.withColumn("page", F.lit(page)).withColumn("total_pages", F.lit(pages))
 
 
+def page_after(df: DataFrame, order: list[str], last: Sequence | None = None, size: int = 25) -> DataFrame:
+    """The next rows after the one whose ``order`` values are ``last`` (None: the first rows); nothing is counted.
+
+    ``order`` must be unique and is ascending, nulls first.  A page costs one filter and a top-k of its own size.
+    """
+    if last is not None:
+        after, same = F.lit(False), F.lit(True)
+        for name, value in zip(order, last, strict=True):
+            c = F.col(name)
+            beyond = c.isNotNull() if value is None else c > F.lit(value)
+            after, same = after | (same & F.coalesce(beyond, F.lit(False))), same & c.eqNullSafe(F.lit(value))
+        df = df.where(after)
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in order]).limit(size)
+
+
 def select_contacts(contacts: DataFrame, selected: DataFrame) -> DataFrame:
     return contacts.join(selected.select("email").distinct(), "email", "left_semi")
 

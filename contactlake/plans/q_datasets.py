@@ -162,6 +162,14 @@ def a11(spark, sf):
     return A.page_of(_rich(spark, sf).select("email", "contact_id"), ["email", "contact_id"], page=3, size=40)
 
 
+@query(
+    "a11_page_after",
+    f"with {_RICH} select contact_id, email from rich where (email, contact_id) > ('info@', 0) order by email, contact_id limit 40",
+)
+def a11_after(spark, sf):
+    return A.page_after(_rich(spark, sf).select("contact_id", "email"), ["email", "contact_id"], ("info@", 0), size=40)
+
+
 @query("a12_select_contacts", f"with {_RICH} select contact_id from rich where email in (select email from rich where contact_id % 43 = 0)")
 def a12(spark, sf):
     rich = _rich(spark, sf)

@@ -22,5 +22,6 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from contactlake.plans import (  # noqa: F401
-        q_datasets, q_deliver, q_extract, q_indexes, q_policy, q_privacy, q_sources, q_streams, q_validate,
+        q_datasets, q_deliver, q_extract, q_indexes, q_policy, q_privacy, q_sources, q_stored, q_streams,
+        q_validate,
     )
