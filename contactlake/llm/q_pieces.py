@@ -14,5 +14,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 def op2_sentence_pieces(spark, sf_dir, model_path=MODEL):
     encoded = sentence_pieces.encode(documents(spark, sf_dir), model_path, keep=["doc_id"])
     return encoded.select(
-        "doc_id", "n_tokens", F.sha2(F.array_join("input_ids", ","), 256).alias("ids_sha256"), "parity", "lossless"
+        "doc_id", "n_tokens", F.sha2(F.array_join("input_ids", ","), 256).alias("ids_sha256"), "parity", "lossless",
+        "decoded_sha256",
     )

@@ -5,8 +5,8 @@ pieces with scores and kinds, the model kind, and the normaliser.  From them a
 tokenizers pipeline is rebuilt: normaliser, metaspace marker, unigram scores or
 merges ranked by score, byte fallback.  Batches are encoded by the library's
 own threads.  Every text's ids are compared with those of the SentencePiece
-library and turned back into text through the pieces' bytes; only a text that
-this does not restore exactly is also compared with the library's decoding.
+library and decoded by the rebuilt decoder; a text that this does not restore
+exactly is also compared with the library's decoding.
 
 Scale: map-only; the model file (bounded by its vocabulary) is read on the driver
 and broadcast, so executors need no path.  Batches are bounded by characters, so
@@ -18,6 +18,7 @@ through.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 from collections.abc import Iterator
@@ -131,12 +132,6 @@ class Model:
         prefix = MARK if self.dummy_prefix else ""
         return [prefix + t.replace(" ", MARK) if t else t for t in texts]
 
-    def piece_bytes(self) -> list[bytes]:
-        """The text of every id: marker as blank, byte pieces as bytes."""
-        return [
-            bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.pieces
-        ]
-
     def merges(self) -> list[tuple[str, str]]:
         """Pairs that make a piece, best score first; equal scores in order of ids."""
         usable = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER, UNUSED)}
@@ -203,7 +198,6 @@ def _chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
 
 def _encode(batches: Iterator[pa.RecordBatch], model, threads: int, verify: bool) -> Iterator[pa.RecordBatch]:
     model, tok, reference = _backends(model.value, threads)
-    pieces, skip = model.piece_bytes(), int(model.dummy_prefix)
     for batch in batches:
         texts = batch.column("__text").to_pylist()
         keep = [n for n in batch.schema.names if n != "__text"]
@@ -217,14 +211,15 @@ def _encode(batches: Iterator[pa.RecordBatch], model, threads: int, verify: bool
             names = [*keep, "__ids"]
             if verify:
                 expected = reference.encode(part, num_threads=threads)
-                decoded = [b"".join(map(pieces.__getitem__, i))[skip:].decode("utf-8", "replace") for i in ids]
+                decoded = tok.decode_batch(ids, skip_special_tokens=False)
                 exact = [d == t for d, t in zip(decoded, part, strict=True)]
                 same = [
                     a == b and (x or d == reference.decode(b))
                     for a, b, x, d in zip(ids, expected, exact, decoded, strict=True)
                 ]
-                columns += [pa.array(same, pa.bool_()), pa.array(exact, pa.bool_())]
-                names += ["__parity", "__lossless"]
+                digests = [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]
+                columns += [pa.array(same, pa.bool_()), pa.array(exact, pa.bool_()), pa.array(digests, pa.string())]
+                names += ["__parity", "__lossless", "__decoded_sha256"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -237,21 +232,26 @@ def encode(
     docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None, verify: bool = True,
     threads: int = THREADS,
 ) -> DataFrame:
-    """The columns ``keep`` (all, if None) plus input_ids and n_tokens, and with ``verify`` parity and lossless."""
+    """The columns ``keep`` (all, if None) plus input_ids and n_tokens, and with ``verify`` what decoding the ids gave.
+
+    Then every text's ids go through the rebuilt decoder: ``parity`` (ids are the SentencePiece library's, and so is the
+    decoded text), ``lossless`` (it is the text) and ``decoded_sha256`` (its digest, lowercase hex).
+    """
     held = Guarded(docs)
     keep = list(docs.columns) if keep is None else keep
     rows = held.rows.select(
         *[held.col(c) for c in dict.fromkeys(keep)], whole_text(held.col(text_col)).alias("__text")
     )
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
-    flags = ["__parity", "__lossless"] if verify else []
+    checks = [("__parity", T.BooleanType()), ("__lossless", T.BooleanType()), ("__decoded_sha256", T.StringType())]
+    checks = checks if verify else []
     schema = T.StructType(
         [f for f in rows.schema.fields if f.name != "__text"]
-        + [T.StructField("__ids", T.ArrayType(T.IntegerType()))] + [T.StructField(f, T.BooleanType()) for f in flags]
+        + [T.StructField("__ids", T.ArrayType(T.IntegerType()))] + [T.StructField(*check) for check in checks]
     )
     out = rows.mapInArrow(partial(_encode, model=model, threads=threads, verify=verify), schema)
     added = {"input_ids": F.col("__ids"), "n_tokens": F.size("__ids").cast("long")}
-    added |= {f.removeprefix("__"): F.col(f) for f in flags}
+    added |= {name.removeprefix("__"): F.col(name) for name, _ in checks}
     return out.select(*[held.col(c).alias(c) for c in dict.fromkeys(keep) if c not in added], *[c.alias(n) for n, c in added.items()])
 
 

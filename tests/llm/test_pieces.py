@@ -1,5 +1,6 @@
 """SentencePiece models: parity with the library, exact decoding, a unigram model made here."""
 
+import hashlib
 import struct
 
 import pytest
@@ -63,13 +64,14 @@ def test_unsupported_models_raise():
 def test_parity_and_decoding(make_docs, odd_rows):
     rows = odd_rows + [(20 + i, t, "en", "a") for i, t in enumerate(TEXTS)]
     encoded = P.encode(make_docs(rows, clashing=True), MODEL)
-    assert encoded.columns[-4:] == ["input_ids", "n_tokens", "parity", "lossless"] and encoded.columns.count("input_ids") == 1
+    assert encoded.columns[-5:] == ["input_ids", "n_tokens", "parity", "lossless", "decoded_sha256"] and encoded.columns.count("input_ids") == 1
     out = P.decode(encoded, MODEL).collect()
     reference = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     assert len(out) == len(rows) and all(r.parity for r in out)
     for r in out:
         assert r.input_ids == reference.encode(r.text or "") and r.n_tokens == len(r.input_ids)
         assert r.decoded == (r.text or "").replace("▁", " ")
+        assert r.decoded_sha256 == hashlib.sha256(reference.decode(r.input_ids).encode()).hexdigest()
         assert r.lossless == (r.decoded == (r.text or ""))
     assert P.encode(make_docs([]), MODEL).count() == 0
     nulls = P.decode(make_docs([(1, "x", "en", "a")]).withColumn("input_ids", F.lit(None).cast("array<int>")), MODEL)

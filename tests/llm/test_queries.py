@@ -51,6 +51,7 @@ def test_op2(spark, docs):
     for r, text in ((r, dict((d[0], d[1]) for d in docs)[r.doc_id]) for r in run(spark, "op2_sentence_pieces")):
         ids = reference.encode(text)
         assert r.parity and r.lossless and r.n_tokens == len(ids)
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
