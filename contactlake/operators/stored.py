@@ -67,6 +67,9 @@ class Folder:
     def exists(self, relative: str) -> bool:
         return self._fs.exists(self.at(relative))
 
+    def is_folder(self, relative: str) -> bool:
+        return self._fs.getFileStatus(self.at(relative)).isDirectory()
+
     def make(self) -> None:
         self._fs.mkdirs(self._root)
 

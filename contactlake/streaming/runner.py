@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactlake.operators.firsts import last_per_key
+from contactlake.operators.stored import Folder
 from contactlake.session import shared_dir
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -15,9 +16,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def stream_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A parquet table of a folder as a file stream with its stored schema."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    """A parquet table of a folder, one file or a folder of part files, as a file stream with its stored schema."""
+    path = f"{folder}/{table}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if Folder(spark, folder).is_folder(f"{table}.parquet"):
+        return stream.parquet(path)
+    # A stream reads folders only: a single file is picked out of its own.
+    return stream.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def _folder(spark: SparkSession) -> str:

@@ -100,6 +100,13 @@ def test_stream_extraction_equals_batch(spark):
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect())) != []
 
 
+def test_stream_reads_a_table_of_part_files(spark, tmp_path):
+    spark.range(100).repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.range(100, 120).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    live = run_append(stream_table(spark, str(tmp_path), "pages"), str(tmp_path / "out"))
+    assert sorted(r.id for r in live.collect()) == list(range(100))
+
+
 def test_sequence_and_replay(spark):
     rows = [("j", 10, "a"), ("j", 20, "b"), ("j", 30, "c"), ("k", 5, "x")]
     df = spark.createDataFrame([(j, e, i, F_ts) for i, (j, F_ts, e) in enumerate(rows)], "job_id string, event string, event_id int, ts int")
