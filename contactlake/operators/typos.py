@@ -47,6 +47,7 @@ def nearest_target(
     forms = wanted.select("__d", F.explode(_forms(F.col("__d"))).alias("__form"))
     index = held.select("__t", "__o", F.explode(_forms(F.col("__t"))).alias("__form"))
     near = F.abs(F.length("__d") - F.length("__t")) <= 1
-    pairs = forms.join(index, "__form").where(near & (F.levenshtein("__d", "__t", 2) > 0))
+    # Forms are many times the names that Spark measures them by: neither side is broadcast.
+    pairs = forms.join(index.hint("merge"), "__form").where(near & (F.levenshtein("__d", "__t", 2) > 0))
     found = pairs.groupBy("__d").agg(F.min(F.struct("__o", "__t"))["__t"].alias(out))
     return lookup(rows.drop(out).withColumn("__d", name(domain)), found, "__d").drop("__d")
