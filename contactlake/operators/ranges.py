@@ -72,6 +72,11 @@ def address_bits(host: Column) -> Column:
     return let(F.regexp_replace(IP.bare_host(host), "%.*$", ""), read)
 
 
+def _may_be_address(text: Column) -> Column:
+    """Necessary condition for ``address_bits``, which spares names the reading."""
+    return text.contains(":") | text.rlike(r"(?i)^ *\[?[0-9a-fx.]+(?:$|[\]% ])")
+
+
 def range_prefix(cidr: Column) -> Column:
     """The text that the addresses of a range start with; null if the range cannot be read.
 
@@ -101,7 +106,9 @@ def longest_match(rows: DataFrame, ranges: DataFrame, ip: str = "ip", cidr: str
     addresses and ranges match nothing.
     """
     add = [cidr] if add is None else add
-    held = ranges.select(range_prefix(F.col(cidr)).alias("__prefix"), F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(add)]).alias("__add"))
+    # Repeated ranges and addresses are read once; the outer explode keeps filters on what was read from reading it again.
+    held = ranges.select(F.col(cidr).alias("__range"), F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(add)]).alias("__add")).distinct()
+    held = held.select(F.explode_outer(F.array(range_prefix(F.col("__range")))).alias("__prefix"), "__add")
     held = held.where("__prefix is not null").groupBy("__prefix").agg(F.min_by("__add", F.to_json("__add")).alias("__add"))
     lengths = {4: [], 6: []}
     for family, length in held.select(F.substring("__prefix", 1, 1), F.length("__prefix")).distinct().collect():
@@ -112,10 +119,11 @@ def longest_match(rows: DataFrame, ranges: DataFrame, ip: str = "ip", cidr: str
         return F.array(*[F.substring("__bits", 1, n) for n in sorted(lengths[family])]).cast("array<string>")
 
     found = (
-        rows.select(address_bits(F.col(ip)).alias("__bits")).where("__bits is not null").distinct()
-        .select("__bits", F.explode(F.when(kind == "4", cuts(4)).otherwise(cuts(6))).alias("__prefix"))
+        rows.select(F.col(ip).alias("__text")).where(_may_be_address(F.col("__text"))).distinct()
+        .select("__text", F.explode_outer(F.array(address_bits(F.col("__text")))).alias("__bits"))
+        .select("__text", F.explode_outer(F.when(kind == "4", cuts(4)).when(kind == "6", cuts(6))).alias("__prefix"))
         .join(held, "__prefix")
-        .groupBy("__bits").agg(F.max_by("__add", F.length("__prefix")).alias("__add"))
+        .groupBy("__text").agg(F.max_by("__add", F.length("__prefix")).alias("__add"))
     )
-    out = lookup(rows.withColumn("__bits", address_bits(F.col(ip))), found, "__bits")
+    out = lookup(rows.withColumn("__text", F.col(ip)), found, "__text")
     return out.select(*rows.columns, *[F.col(f"__add.v{i}").alias(c) for i, c in enumerate(add)])

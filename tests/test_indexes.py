@@ -128,3 +128,25 @@ def test_nearest_target_equals_all_pairs(spark):
     assert {r.domain: r.typo_target for r in got} == {**{d: brute(d) for d in domains}, None: None}
     assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
     assert {r.typo_target for r in nearest_target(rows, table.limit(0)).collect()} == {None}
+
+
+def _plan(df, kind="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+def test_no_filter_reads_addresses_again(spark):
+    rows = spark.createDataFrame([("10.1.2.3",), (" [::ffff:10.1.2.3%eth0]",), ("host.com",), (None,)], "ip string")
+    ranges = spark.createDataFrame([("10.0.0.0/8",), ("10.0.0.0/8",)], "cidr string")
+    found = longest_match(rows, ranges)
+    assert not [line for line in _plan(found).splitlines() if "Filter" in line and "conv(" in line]
+    assert sorted((r.ip or "", r.cidr or "") for r in found.collect()) == [
+        ("", ""), (" [::ffff:10.1.2.3%eth0]", "10.0.0.0/8"), ("10.1.2.3", "10.0.0.0/8"), ("host.com", ""),
+    ]
+
+
+def test_forms_of_targets_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(1, "gmail.com", "gmial.com")], "ord int, target string, domain string").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    found = nearest_target(table.select("domain"), table.select("ord", "target"))
+    assert "SortMergeJoin [__form" in _plan(found, "executedPlan")
+    assert found.first().typo_target == "gmail.com"
