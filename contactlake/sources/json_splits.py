@@ -96,6 +96,32 @@ def _segments(batches: Iterator[pa.RecordBatch], extra: list[str]) -> Iterator[t
             last = key[:2]
 
 
+# Pieces travel together in chunks of about so many bytes, so what is joined and sorted is little more than the text.
+CHUNK = 1 << 16
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of a split, each with its comma, joined to numbered chunks."""
+
+    def row(key, number, pieces):
+        return pa.RecordBatch.from_pylist([{"file": key[0], "block": key[1], "number": number, "value": b",".join(pieces) + b","}], _CHUNK)
+
+    key, number, held, size = None, 0, [], 0
+    for found, pieces, new in _segments(batches, []):
+        if new:
+            if held:
+                yield row(key, number, held)
+            key, number, held, size = found, 0, [], 0
+        for piece in pieces:
+            held.append(piece)
+            size += len(piece) + 1
+            if size >= CHUNK:
+                yield row(key, number, held)
+                number, held, size = number + 1, [], 0
+    if held:
+        yield row(key, number, held)
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row(key, size, effects):
         shown = [json.dumps([e.inside, e.closed, e.open]) for e in effects]
@@ -234,6 +260,7 @@ class _Cutter:
         return self.rows
 
 
+_CHUNK = pa.schema([("file", pa.string()), ("block", pa.int64()), ("number", pa.int64()), ("value", pa.binary())])
 _CUT = pa.schema([
     ("file", pa.string()), ("block", pa.int64()), ("role", pa.string()), ("document", pa.int64()), ("member", pa.int64()), ("ord", pa.int64()),
     ("container", pa.string()), ("text", pa.binary()), ("whole", pa.bool_()), ("end", pa.string()),
@@ -254,9 +281,10 @@ def _cut(batches: Iterator[pa.RecordBatch], levels: Levels) -> Iterator[pa.Recor
             if held:
                 yield rows(held[0], held[1].close())
             held = (key, _Cutter(key[2], levels))
-        held[1].feed(b",".join(pieces) + b",")
-        yield rows(key, held[1].rows)
-        held[1].rows = []
+        for chunk in pieces:
+            held[1].feed(chunk)
+            yield rows(key, held[1].rows)
+            held[1].rows = []
     if held:
         yield rows(held[0], held[1].close())
 
@@ -277,8 +305,9 @@ def json_elements(spark: SparkSession, path: str, levels: Levels) -> tuple[DataF
     summaries = pieces.mapInArrow(_summaries, "file string, block bigint, length bigint, size bigint, outside string, inside string")
     states = summaries.groupBy("file").applyInArrow(_chain, "file string, block bigint, state string").checkpoint(eager=True)
     # The states are one row per split; where they are too many to broadcast, the sort restores the order.
-    placed = lookup(pieces.drop("length").withColumn("id", F.monotonically_increasing_id()), states, ["file", "block"], "inner")
-    placed = placed.sortWithinPartitions("file", "block", "id").select("file", "block", "state", "value")
+    chunks = pieces.drop("length").mapInArrow(_chunks, "file string, block bigint, number bigint, value binary")
+    placed = lookup(chunks, states, ["file", "block"], "inner")
+    placed = placed.sortWithinPartitions("file", "block", "number").select("file", "block", "state", "value")
     cut = placed.mapInArrow(partial(_cut, levels=levels), _CUT_SQL).checkpoint(eager=True)
 
     name = ["file", "role", "document", "member", "ord"]

@@ -104,3 +104,16 @@ def test_import_reads_splits_and_falls_back(spark, tmp_path, splits):
     assert sorted(mails["object.json"]) == [(1, "r@x.com"), (2, "s@x.com")]
     assert mails["text.json"] == [(1, "plain@x.com")]
     assert "empty.json" not in mails
+
+
+def test_pieces_travel_in_chunks():
+    import pyarrow as pa
+
+    from contactlake.sources import json_splits as J
+
+    pieces = [("f", b, b"piece%d" % i) for b in (0, 7) for i in range(20_000)]
+    batches = [pa.RecordBatch.from_pylist([{"file": f, "block": b, "value": v} for f, b, v in pieces[i : i + 3000]]) for i in range(0, len(pieces), 3000)]
+    rows = [r for batch in J._chunks(iter(batches)) for r in batch.to_pylist()]
+    assert [(r["block"], r["number"]) for r in rows] == [(b, n) for b in (0, 7) for n in range(len(rows) // 2)]
+    assert len(rows) <= 10 and max(len(r["value"]) for r in rows) < J.CHUNK + 20
+    assert b"".join(r["value"] for r in rows) == b"".join(v + b"," for _, _, v in pieces)
