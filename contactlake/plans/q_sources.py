@@ -2,7 +2,6 @@
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contactlake import constants as K
@@ -127,8 +126,8 @@ def s4(spark, sf):
 
 def _write_arrays(items, path):
     """(f, ord, value) as one JSON array per f, one value a line."""
-    top = Window.partitionBy("f")
-    ends = items.withColumns({"first": F.min("ord").over(top), "last": F.max("ord").over(top)})
+    # Thirty rows of first and last ones; a window would hold a whole file.
+    ends = items.join(F.broadcast(items.groupBy("f").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))), "f")
     line = F.concat(
         F.when(F.col("ord") == F.col("first"), "[").otherwise(","), "value", F.when(F.col("ord") == F.col("last"), "]").otherwise("")
     )
