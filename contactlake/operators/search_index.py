@@ -27,13 +27,10 @@ RUN = 3
 FIELDS = sorted({field for fields in SEARCH_FIELDS.values() for field in fields})
 
 
-def _runs(value: Column, length: int) -> Column:
-    """Distinct runs of ``length`` characters; characters are taken apart once."""
+def _runs(text: Column) -> Column:
+    """Distinct runs of one to ``RUN`` characters, by one pass of a pattern per length; no run starts inside a character."""
     return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(0), F.size(value) - length),
-            lambda i: F.concat(*[F.get(value, i + k) for k in range(length)]),
-        )
+        F.concat(*[F.regexp_extract_all(text, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, RUN + 1)])
     )
 
 
@@ -73,15 +70,10 @@ def add_to_index(contacts: DataFrame, path: str, name: str, block_rows: int = BL
     )
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in contacts.schema.fields)}, block int"
     rows = spark.read.schema(schema).parquet(f"{path}/rows/added={name}")
-    texts = [
-        F.struct(F.lit(f).alias("field"), F.regexp_extract_all(F.lower(F.col(f)), F.lit("(?s)."), F.lit(0)).alias("chars"))
-        for f in FIELDS if f in contacts.columns
-    ]
-    chars = rows.select("block", F.explode(F.array(*texts)).alias("t")).select("block", "t.*")
-    lists = [
-        F.when(F.size("chars") >= n, _runs(F.col("chars"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, RUN + 1)
-    ]
-    held = chars.select("block", "field", F.explode(F.concat(*lists)).alias("run")).distinct()
+    texts = [F.struct(F.lit(f).alias("field"), F.lower(F.col(f)).alias("text")) for f in FIELDS if f in contacts.columns]
+    texts = rows.select("block", F.explode(F.array(*texts)).alias("t")).select("block", "t.*")
+    # Outer, as Spark would else take every text apart a second time to filter on the number of its runs.
+    held = texts.select("block", "field", F.explode_outer(_runs(F.col("text"))).alias("run")).where("run is not null").distinct()
     (
         held.withColumn("bucket", _bucket(F.col("run"))).repartition("bucket").sortWithinPartitions("bucket", "run", "field")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists/added={name}")

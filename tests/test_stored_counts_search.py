@@ -118,3 +118,12 @@ def test_pages_by_their_last_row(spark):
         last = tuple(page[-1])
     assert seen == rows.orderBy("k", "n").collect()
     assert A.page_of(rows, ["k", "n"], page=2, size=7, total=60).collect() == A.page_of(rows, ["k", "n"], page=2, size=7).collect()
+
+
+def test_runs_are_whole_characters_and_found_once(spark):
+    texts = ["", "a", "ab", "a\U0001f600b\u00e9\n\U0001f600b", "aaaa"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", search_index._runs(F.col("t")).alias("r")).collect()
+    for row in got:
+        want = {row.t[i : i + n] for n in (1, 2, 3) for i in range(len(row.t) - n + 1)}
+        assert len(row.r) == len(set(row.r)) and set(row.r) == want
