@@ -44,8 +44,11 @@ def nearest_target(
     longest = held.agg(F.coalesce(F.max(F.length("__t")), F.lit(-2)).alias("n")).first().n
     wanted = rows.select(name(domain).alias("__d")).where("__d is not null").distinct()
     wanted = wanted.where(F.length("__d") <= longest + 1).join(held, F.col("__d") == F.col("__t"), "left_anti")
+    # Names are few bytes and much work: a fixed number of tasks expands them, where sizes alone would leave them to one.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted, spread = wanted.repartition(parts, F.xxhash64("__d")), held.repartition(parts, F.xxhash64("__t"))
     forms = wanted.select("__d", F.explode(_forms(F.col("__d"))).alias("__form"))
-    index = held.select("__t", "__o", F.explode(_forms(F.col("__t"))).alias("__form"))
+    index = spread.select("__t", "__o", F.explode(_forms(F.col("__t"))).alias("__form"))
     near = F.abs(F.length("__d") - F.length("__t")) <= 1
     # Forms are many times the names that Spark measures them by: neither side is broadcast.
     pairs = forms.join(index.hint("merge"), "__form").where(near & (F.levenshtein("__d", "__t", 2) > 0))
