@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,17 +13,36 @@ from contactlake.operators.ordering import ranked
 from contactlake.session import ensure_checkpoint_dir
 
 
-def _step(frontier: DataFrame, edges: DataFrame, visited: DataFrame, same_domain: bool) -> DataFrame:
-    """Unvisited targets of the frontier, one row per (site, url)."""
-    # Edges keep their partitioning by source (a page has as many links as fit on it); the frontier moves.
-    reached = edges.join(frontier.select("site", F.col("url").alias("src")), "src").select("site", F.col("dst").alias("url"))
-    if same_domain:
-        reached = reached.where(U.host(F.col("url")) == F.col("site"))
-    return reached.distinct().join(visited.select("site", "url"), ["site", "url"], "left_anti")
+# Steps between two compactions of the settled pages.
+COMPACT = 8
 
 
-# Levels between two compactions of the visited pages.
-COMPACT = 8
+def _walk(start: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """(url, depth): the least sum of ``cost`` (0 or 1) on a way from ``start(url)`` over ``edges(src, dst, cost)``.
+
+    A step follows every edge of the pages that the last one reached, or reached at less depth, so edges without
+    cost need no steps of their own.  No step fixes its number of tasks: adaptive execution deals small steps to few.
+    """
+
+    def least(pages: DataFrame) -> DataFrame:
+        return pages.groupBy("url").agg(F.min("depth").alias("depth"))
+
+    edges = edges.repartition("src").checkpoint(eager=True)
+    fresh = least(start.withColumn("depth", F.lit(0))).checkpoint(eager=True)
+    settled = [fresh]
+    while not fresh.isEmpty():
+        if len(settled) > COMPACT:
+            # One input instead of one per step, so that a walk of any depth keeps a short plan.
+            settled = [least(reduce(DataFrame.unionByName, settled)).checkpoint(eager=True)]
+        found = edges.join(fresh.withColumnRenamed("url", "src"), "src").select(
+            F.col("dst").alias("url"), (F.col("depth") + F.col("cost")).alias("depth")
+        )
+        found = least(found if max_depth is None else found.where(F.col("depth") <= max_depth))
+        known = reduce(DataFrame.unionByName, settled).select(F.col("url").alias("__url"), F.col("depth").alias("__depth"))
+        better = (F.col("url") == F.col("__url")) & (F.col("__depth") <= F.col("depth"))
+        fresh = found.join(known, better, "left_anti").checkpoint(eager=True)
+        settled.append(fresh)
+    return least(reduce(DataFrame.unionByName, settled))
 
 
 def crawl_frontier(
@@ -43,43 +62,22 @@ def crawl_frontier(
     visits go by priority, depth, url, up to ``max_pages`` per site.  Priority is
     known only at the end, so the page cap bounds the result, not the walk.
 
-    Edges are shuffled by source once and kept so; each level is one join that
-    moves the frontier alone, and is checkpointed; every few levels the visited pages become one table.
+    Links that lead to another site or to a refused page are left out once, before the walk.
     """
-    spark = seeds.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = links.select("src", "dst").repartition(parts, "src").checkpoint(eager=True)
+    ensure_checkpoint_dir(seeds.sparkSession)
+    edges = links.select("src", "dst", F.lit(1).alias("cost"))
     if canonical is not None:
-        canonical = canonical.select("src", "dst").repartition(parts, "src").checkpoint(eager=True)
-    site = U.host(F.col("url")) if same_domain else F.lit("*")
-    frontier = seeds.select(site.alias("site"), "url").distinct()
-    blocked = None
+        edges = edges.unionByName(canonical.select("src", "dst", F.lit(0).alias("cost")))
+    edges = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    start = seeds.select("url").distinct()
+    if same_domain:
+        edges = edges.where(U.host(F.col("src")) == U.host(F.col("dst")))
     if allowed is not None:
         blocked = allowed.where(~F.col("allowed")).select("url").distinct()
-
-    def admit(found: DataFrame) -> DataFrame:
-        return found if blocked is None else found.join(blocked, "url", "left_anti").select("site", "url")
-
-    def settle(found: DataFrame, depth: int) -> DataFrame:
-        return found.withColumn("depth", F.lit(depth)).checkpoint(eager=True)
-
-    def compacted(seen: DataFrame, depth: int) -> DataFrame:
-        # One input instead of one per level, so that a walk of any depth keeps a short plan.
-        return seen.repartition(parts, "site", "url").checkpoint(eager=True) if depth % COMPACT == COMPACT - 1 else seen
-
-    level = settle(admit(frontier), 0)
-    visited = level
-    for depth in itertools.count():
-        if canonical is not None:
-            fringe = level
-            while not fringe.isEmpty():
-                fringe = settle(admit(_step(fringe, canonical, visited, same_domain)), depth)
-                visited, level = visited.unionByName(fringe), level.unionByName(fringe)
-        if depth == max_depth or level.isEmpty():
-            break
-        level = settle(admit(_step(level, links, visited, same_domain)), depth + 1)
-        visited = compacted(visited.unionByName(level), depth)
+        edges = edges.join(blocked.withColumnRenamed("url", "dst"), "dst", "left_anti").select("src", "dst", "cost")
+        start = start.join(blocked, "url", "left_anti")
+    site = U.host(F.col("url")) if same_domain else F.lit("*")
+    visited = _walk(start, edges, max_depth).select(site.alias("site"), "url", "depth")
     found = visited.withColumn("priority", U.is_priority(F.col("url")) | (F.col("depth") == 0))
     # The page cap is the feature: it bounds what one crawl visits.
     order = [F.col("priority").desc(), F.col("depth"), F.col("url")]

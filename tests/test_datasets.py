@@ -229,6 +229,56 @@ def test_site_crawl(spark):
             graph.checked_limits(*bad)
 
 
+def depths(seeds, edges):
+    """Least number of links that cost 1, by relaxing every edge until nothing changes."""
+    found = {s: 0 for s in seeds}
+    while True:
+        better = {b: found[a] + cost for a, b, cost in edges if a in found and found[a] + cost < found.get(b, 1 << 30)}
+        if not better:
+            return found
+        found |= {b: min(found[a] + cost for a, x, cost in edges if x == b and a in found) for b in better}
+
+
+def test_crawl_with_canonical_edges_and_refusals(spark):
+    rng = random.Random(3)
+    page = "https://s.com/p{}".format
+    pairs = [(page(rng.randrange(60)), page(rng.randrange(60))) for _ in range(110)] + [(page(1), None), (None, page(2)), (page(1), "https://o.com/x")]
+    same = [(page(rng.randrange(60)), page(rng.randrange(60))) for _ in range(25)]
+    refused = {page(i) for i in range(3, 60, 7)}
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    seeds = frame([(page(0),), (page(1),), (page(1),), (page(3),)], "url string")
+    verdicts = frame([(u, False) for u in refused] + [(page(5), True), (page(6), None)], "url string, allowed boolean")
+    edges = [(a, b, 1) for a, b in pairs if a and b] + [(a, b, 0) for a, b in same]
+    want = depths([page(0), page(1)], [e for e in edges if e[1] not in refused])
+    args = (seeds, frame(pairs, "src string, dst string"))
+    for max_depth, same_domain in ((None, True), (2, True), (None, False)):
+        got = graph.crawl_frontier(*args, max_depth, same_domain=same_domain, allowed=verdicts, canonical=frame(same, "src string, dst string"))
+        expected = {u: d for u, d in want.items() if (max_depth is None or d <= max_depth) and not (same_domain and "o.com" in u)}
+        assert sorted((r.url, r.depth) for r in got.collect()) == sorted(expected.items())
+
+
+def test_a_crawl_takes_one_small_step_per_level(spark):
+    page = "https://s.com/p{}".format
+    chain = spark.createDataFrame([(page(i), page(i + 1)) for i in range(10)], "src string, dst string")
+    canonical = spark.createDataFrame([(page(10), page(11))], "src string, dst string")
+    group, sc = "one-crawl", spark.sparkContext
+    sc.setJobGroup(group, group)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        front = graph.crawl_frontier(chain.limit(1).selectExpr("src as url"), chain, max_pages=100, canonical=canonical)
+        tasks = sum(
+            sc.statusTracker().getStageInfo(stage).numTasks
+            for job in sc.statusTracker().getJobIdsForGroup(group) for stage in sc.statusTracker().getJobInfo(job).stageIds
+            if sc.statusTracker().getStageInfo(stage)
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.url: r.depth for r in front.collect()} == {page(i): min(i, 10) for i in range(12)}
+    # Steps that fix their number of tasks start several times 64 of them per level.
+    assert tasks < 1200, tasks
+
+
 def whole(path):
     return b"".join(p.read_bytes() for p in sorted(path.glob("part-*"))).decode()
 
