@@ -132,6 +132,11 @@ class Model:
         prefix = MARK if self.dummy_prefix else ""
         return [prefix + t.replace(" ", MARK) if t else t for t in texts]
 
+    def unmarked(self, fused: list[str]) -> list[str]:
+        """Texts whose pieces were put together with their markers, as decoding gives them."""
+        texts = [t.replace(MARK, " ") for t in fused]
+        return [t.removeprefix(" ") for t in texts] if self.dummy_prefix else texts
+
     def merges(self) -> list[tuple[str, str]]:
         """Pairs that make a piece, best score first; equal scores in order of ids."""
         usable = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER, UNUSED)}
@@ -173,15 +178,31 @@ class Model:
         return tok
 
 
+def _restorer(model: Model, tok):
+    """ids of texts -> the texts, by the rebuilt decoder, for ids that its own encoder gave.
+
+    The decoder works piece by piece; markers are turned back at once in whole texts, as the encoder never
+    spells a marker in bytes where it is a piece itself.  Ids from elsewhere may: ``decode`` goes by pieces.
+    """
+    from tokenizers import Tokenizer, decoders
+
+    if not any(piece == MARK and kind == NORMAL for piece, _, kind in model.pieces):
+        return lambda ids: tok.decode_batch(ids, skip_special_tokens=False)
+    fused = Tokenizer(tok.model)
+    fused.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
+    return lambda ids: model.unmarked(fused.decode_batch(ids, skip_special_tokens=False))
+
+
 @lru_cache(maxsize=2)
 def _backends(data: bytes, threads: int):
-    """The model, the rebuilt tokenizer and the library it is compared with, once per worker."""
+    """The model, the rebuilt tokenizer, what restores its texts and the library it is compared with, once per worker."""
     os.environ["RAYON_NUM_THREADS"] = str(threads)
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     import sentencepiece
 
     model = Model.parse(data)
-    return model, model.tokenizer(), sentencepiece.SentencePieceProcessor(model_proto=data)
+    tok = model.tokenizer()
+    return model, tok, _restorer(model, tok), sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
 def _chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
@@ -197,7 +218,7 @@ def _chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], model, threads: int, verify: bool) -> Iterator[pa.RecordBatch]:
-    model, tok, reference = _backends(model.value, threads)
+    model, tok, restore, reference = _backends(model.value, threads)
     for batch in batches:
         texts = batch.column("__text").to_pylist()
         keep = [n for n in batch.schema.names if n != "__text"]
@@ -211,7 +232,7 @@ def _encode(batches: Iterator[pa.RecordBatch], model, threads: int, verify: bool
             names = [*keep, "__ids"]
             if verify:
                 expected = reference.encode(part, num_threads=threads)
-                decoded = tok.decode_batch(ids, skip_special_tokens=False)
+                decoded = restore(ids)
                 exact = [d == t for d, t in zip(decoded, part, strict=True)]
                 same = [
                     a == b and (x or d == reference.decode(b))
@@ -256,7 +277,7 @@ def encode(
 
 
 def _decode(batches: Iterator[pa.RecordBatch], model, threads: int) -> Iterator[pa.RecordBatch]:
-    _, tok, _ = _backends(model.value, threads)
+    _, tok, _, _ = _backends(model.value, threads)
     for batch in batches:
         ids = [i or [] for i in batch.column("__ids").to_pylist()]
         keep = [n for n in batch.schema.names if n != "__ids"]

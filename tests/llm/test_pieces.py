@@ -78,6 +78,20 @@ def test_parity_and_decoding(make_docs, odd_rows):
     assert nulls.collect()[0].decoded == ""
 
 
+@pytest.mark.parametrize("data", [P.read_model(MODEL), unigram_file(), unigram_file(collapse=True), unigram_file(byte_fallback=False)])
+def test_texts_are_restored_as_by_pieces(data):
+    model, tok, restore, reference = P._backends(data, 1)
+    texts = [*TEXTS, "   ", "▁", " ▁ \u2580\u2582", "a\U0001f600▁ é", "\u00a0x"]
+    ids = [e.ids for e in tok.encode_batch_fast(model.marked(texts), add_special_tokens=False)]
+    # Whole texts are put together before their markers are turned back: no decoder step looks at single pieces for them.
+    assert restore(ids) == tok.decode_batch(ids, skip_special_tokens=False)
+    assert [r == t for r, t in zip(restore(ids), texts)] == [reference.decode(i) == t for i, t in zip(ids, texts)]
+    if model.byte_fallback:
+        # Ids from elsewhere may spell a marker in bytes; those go by pieces, as in the library.
+        spelled = [next(i for i, (p, _, k) in enumerate(model.pieces) if k == P.BYTE and p == f"<0x{b:02X}>") for b in "▁".encode()]
+        assert tok.decode(spelled, skip_special_tokens=False) == reference.decode(spelled) == "▁"
+
+
 def test_chunks_are_bounded():
     assert list(P._chunks(["a" * 5, "b" * 6, "c", "d" * 30, ""], 10)) == [(0, 1), (1, 3), (3, 4), (4, 5)]
     assert list(P._chunks([], 10)) == []
