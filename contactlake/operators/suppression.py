@@ -41,69 +41,58 @@ def _index(suppression: DataFrame) -> DataFrame:
     return last_per_key(keyed, ["space", "key"], order).select("space", "key", "reason", "value")
 
 
-def _forms(e: Column) -> list[tuple[int, str, str, Column]]:
-    """(precedence, type, key space, key) of the ways in which a list may name an address."""
-    return [
-        (0, "email", "email", e), (1, "domain", "domain", A.part(e, 1)),
-        (2, "sha256", "hash", F.sha2(e, 256)), (3, "md5", "hash", F.md5(e)),
+# kind of match by precedence
+KINDS = ("email", "domain", "sha256", "md5")
+
+
+def _forms(emails: DataFrame, spaces: set[str]) -> DataFrame:
+    """(email, rank, space, key): the ways in which a list with these key spaces may name an address."""
+    e = F.col("email")
+    keys = [("email", e), ("domain", A.part(e, 1)), ("hash", F.sha2(e, 256)), ("hash", F.md5(e))]
+    forms = [
+        F.struct(F.lit(rank).alias("rank"), F.lit(space).alias("space"), key.alias("key"))
+        for rank, (space, key) in enumerate(keys) if space in spaces
     ]
+    if not forms:
+        return emails.limit(0).select("email", F.lit(0).alias("rank"), F.lit("").alias("space"), F.lit("").alias("key"))
+    return emails.select("email", F.inline(F.array(*forms))).where(F.col("key") != "")
 
 
-def _possible(emails: DataFrame, suppression: DataFrame) -> DataFrame:
-    """Rows (email) that the list may name; certain misses are left out without a shuffle.
+def _possible(forms: DataFrame, suppression: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """Rows of ``_forms`` that the list may hold; certain misses are left out without a shuffle.
 
     A filter takes the list's keys with their spaces; where it would be too large, all rows stay.
     """
-    entries = suppression.select(space_of(F.col("type")).alias("space"), clean_value(F.col("type"), F.col("value")).alias("key"))
-    counts = {r.space: r.n for r in entries.groupBy("space").agg(F.count("*").alias("n")).collect()}
     blocks = bloom.blocks_for(sum(counts.values()))
     if blocks * bloom.BITS // 8 > bloom.MAX_BYTES:
-        return emails
-    words = bloom.bloom_words(entries.select(F.concat("space", F.lit(":"), "key").alias("k")), "k", blocks).checkpoint(eager=True)
-    tested, flags = emails, []
-    for rank, _, space, value in _forms(F.col("email")):
-        if space in counts:
-            flags.append(f"__may{rank}")
-            tested = bloom.may_contain(tested, words, F.concat(F.lit(space + ":"), value), blocks, flags[-1])
-    hit = F.lit(False)
-    for flag in flags:
-        hit = hit | F.col(flag)
-    return tested.where(hit).select("email")
-
-
-def match_emails(emails: DataFrame, suppression: DataFrame) -> DataFrame:
-    """Suppressed ones among distinct ``email`` values, with reason and matched entry.
-
-    Works on the narrow set of distinct addresses, so neither repeated contacts
-    nor wide records are shuffled.  Precedence: email, domain, sha256, md5.
+        return forms
+    tagged = F.concat("space", F.lit(":"), "key")
+    entries = suppression.select(space_of(F.col("type")).alias("space"), clean_value(F.col("type"), F.col("value")).alias("key"))
+    words = bloom.bloom_words(entries.select(tagged.alias("k")), "k", blocks).checkpoint(eager=True)
+    return bloom.may_contain(forms, words, tagged, blocks, "__may").where("__may").drop("__may")
+
+
+def _named(contacts: DataFrame, suppression: DataFrame, email: str, prefilter: bool) -> DataFrame:
+    """Distinct forms of the contacts' addresses in the spaces that the list holds; the others cost nothing."""
+    counts = {r.space: r.n for r in suppression.groupBy(space_of(F.col("type")).alias("space")).agg(F.count("*").alias("n")).collect()}
+    emails = contacts.select(A.normalise(F.col(email)).alias("email")).where(F.col("email") != "")
+    if not prefilter:
+        return _forms(emails.distinct(), set(counts))
+    ensure_checkpoint_dir(contacts.sparkSession)
+    return _possible(_forms(emails, set(counts)), suppression, counts).distinct()
+
+
+def _matches(forms: DataFrame, suppression: DataFrame) -> DataFrame:
+    """Suppressed addresses with reason and matched entry; precedence: email, domain, sha256, md5.
+
+    Works on the narrow forms of distinct addresses, so neither repeated contacts nor wide records are shuffled.
+    All forms meet the list in one join, so the list is read once and a task holds a share of all its kinds.
     """
-    index = _index(suppression)
-    # A list holds at most three spaces; those that it lacks cost nothing.
-    spaces = {r.space for r in index.select("space").distinct().collect()}
-    hits = None
-    for rank, kind, space, value in _forms(F.col("email")):
-        if space not in spaces:
-            continue
-        side = index.where(F.col("space") == space)
-        found = emails.select("email", value.alias("key")).where(F.col("key") != "")
-        found = lookup(found, side, "key", "inner").select(
-            "email", F.lit(rank).alias("rank"), F.lit(kind).alias("matched_type"), "reason",
-            (F.col("key") if space == "hash" else F.col("value")).alias("matched_value"),
-        )
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = emails.limit(0).select(
-            "email", F.lit(0).alias("rank"), *[F.lit(None).cast("string").alias(c) for c in ("matched_type", "reason", "matched_value")]
-        )
-    return first_per_key(hits, ["email"], ["rank"]).drop("rank")
-
-
-def _matches_for(contacts: DataFrame, suppression: DataFrame, email: str, prefilter: bool) -> DataFrame:
-    named = contacts.select(A.normalise(F.col(email)).alias("email")).where(F.col("email") != "")
-    if prefilter:
-        ensure_checkpoint_dir(contacts.sparkSession)
-        named = _possible(named, suppression)
-    return match_emails(named.distinct(), suppression).withColumnRenamed("email", "__email")
+    hits = lookup(forms, _index(suppression), ["space", "key"], "inner").select(
+        F.col("email").alias("__email"), "rank", F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("rank")).alias("matched_type"), "reason",
+        F.when(F.col("space") == "hash", F.col("key")).otherwise(F.col("value")).alias("matched_value"),
+    )
+    return first_per_key(hits, ["__email"], ["rank"]).drop("rank")
 
 
 def check_suppression(contacts: DataFrame, suppression: DataFrame, email: str = "email", prefilter: bool = False) -> DataFrame:
@@ -112,7 +101,7 @@ def check_suppression(contacts: DataFrame, suppression: DataFrame, email: str =
     ``prefilter`` tests every address against a Bloom filter of the list before addresses are shuffled: the
     same result, worth its cost where few addresses are listed and contacts are many.
     """
-    hits = _matches_for(contacts, suppression, email, prefilter).select(
+    hits = _matches(_named(contacts, suppression, email, prefilter), suppression).select(
         "__email", F.col("reason").alias("suppression_reason"), "matched_type", "matched_value"
     )
     base = contacts.drop("is_suppressed", "suppression_reason").withColumn("__email", A.normalise(F.col(email)))
@@ -120,10 +109,15 @@ def check_suppression(contacts: DataFrame, suppression: DataFrame, email: str =
 
 
 def filter_suppressed(contacts: DataFrame, suppression: DataFrame, email: str = "email", prefilter: bool = False) -> DataFrame:
-    """Contacts that no entry matches; ``prefilter`` as in ``check_suppression``."""
-    hits = _matches_for(contacts, suppression, email, prefilter).select("__email")
+    """Contacts that no entry matches; ``prefilter`` as in ``check_suppression``.
+
+    Which entry matches does not matter here, so keys alone meet and nothing is ranked.
+    """
+    keys = suppression.select(space_of(F.col("type")).alias("space"), clean_value(F.col("type"), F.col("value")).alias("key")).distinct()
+    hits = lookup(_named(contacts, suppression, email, prefilter), keys, ["space", "key"], "left_semi").select(F.col("email").alias("__email"))
     base = contacts.withColumn("__email", A.normalise(F.col(email)))
-    return lookup(base, hits, "__email", "left_anti").drop("__email")
+    # A list may match most contacts; the size that Spark expects from the files' sizes is far too low to broadcast by.
+    return lookup(base, hits.hint("merge"), "__email", "left_anti").drop("__email")
 
 
 def normalise_reason(c: Column) -> Column:

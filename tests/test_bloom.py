@@ -1,5 +1,8 @@
 """Bloom filters: no key is missed, few others pass, filters merge, results stay equal."""
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from contactlake.operators import bloom, suppression
@@ -42,3 +45,17 @@ def test_suppression_is_the_same_without_a_filter(spark, monkeypatch):
     assert flagged() == with_filter and suppression.filter_suppressed(people, entries, prefilter=True).count() == left == 603 - 24
     monkeypatch.undo()
     assert suppression.filter_suppressed(people, entries.limit(0), prefilter=True).count() == 603
+
+
+def test_a_list_of_all_kinds_is_met_in_one_join(spark):
+    people = spark.range(40).selectExpr("id", "concat('user', id, '@d', id % 4, '.com') as email")
+    rows = [("email", "USER0@d0.com"), ("domain", "@D1.com"), ("md5", hashlib.md5(b"user2@d2.com").hexdigest()), ("sha256", hashlib.sha256(b"user3@d3.com").hexdigest()), ("email", "user0@d0.com"), ("x", "user6@d2.com")]
+    entries = spark.createDataFrame([(str(i), t, v, "BOUNCE") for i, (t, v) in enumerate(rows)], "id string, type string, value string, reason string")
+    for prefilter in (False, True):
+        left = suppression.filter_suppressed(people, entries, prefilter=prefilter)
+        assert sorted(r.id for r in left.collect()) == [i for i in range(40) if i not in (0, 2, 3) and i % 4 != 1]
+        plan = left._jdf.queryExecution().sparkPlan().toString()
+        # The list, the matches and the filter: a task of a join per kind held the sorts of all kinds.
+        assert len(re.findall(r"\w*Join ", plan)) == 2 + prefilter and "SortAggregate" not in plan
+    kinds = {r.id: r.matched_type for r in suppression.check_suppression(people, entries).collect() if r.is_suppressed}
+    assert (kinds[0], kinds[1], kinds[2], kinds[3]) == ("email", "domain", "md5", "sha256") and len(kinds) == 13
