@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +20,7 @@ from contactlake.functions import addresses as A
 from contactlake.functions.text import blank_to_null, strip_ws
 from contactlake.operators.firsts import first_per_key
 from contactlake.operators.joins import lookup
+from contactlake.session import ensure_checkpoint_dir
 from contactlake.sources.json_splits import Levels, json_elements
 
 # fixed values: header names per field (compared without punctuation)
@@ -44,15 +46,21 @@ LIST_LEVELS = Levels(array=(0, 1), object=(0, 2))
 NAMED_ADDRESS = r"""^([^<"]+?)\s*<([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})>"""
 MAX_ERRORS = 10
 SHOWN_CHARS = 60
+# Layouts (about 200 bytes each) of so many files are broadcast; more are joined as Spark decides.
+BROADCAST_FILES = 100_000
 
 
 @dataclass
 class ImportResult:
-    """Accepted contacts (one per address), rejected lines, one-row summary."""
+    """Accepted contacts (one per address), rejected lines; the summary has one row per file and is made when asked for."""
 
     accepted: DataFrame
     rejected: DataFrame
-    summary: DataFrame
+    normalised: DataFrame
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return import_summary(self.normalised)
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -140,8 +148,11 @@ def list_layout(lines: DataFrame, tlds: Iterable[str] | None = None) -> DataFram
 
 def parse_lines(lines: DataFrame, tlds: Iterable[str] | None = None, default_company: str | None = None) -> DataFrame:
     """(file, line, raw, raw_email, name, job_title, company, phone, linkedin) per data line."""
-    layout = list_layout(lines, tlds)
-    rows = lookup(lines, layout, "file", "inner").where(
+    ensure_checkpoint_dir(lines.sparkSession)
+    layout = list_layout(lines, tlds).checkpoint(eager=True)
+    # By the sizes of the files Spark may take the lines for the smaller side, and then reads them all in each task.
+    small = layout.count() <= BROADCAST_FILES
+    rows = lookup(lines, F.broadcast(layout) if small else layout, "file", "inner").where(
         ~(F.col("has_header") & (F.col("line") == 1))
     )
     rows = rows.withColumn("cells", cells(F.col("value"), F.col("delimiter")))
@@ -269,22 +280,29 @@ def import_summary(normalised: DataFrame, max_errors: int = MAX_ERRORS, shown_ch
     The report shows ``max_errors`` lines, each up to ``shown_chars``; rejected rows are kept whole.
     """
     ok = F.col("reject_reason").isNull()
-    # Addresses collapse before the distinct count; errors keep the ten smallest lines per task.
-    per_email = normalised.groupBy("file", F.when(ok, F.col("email")).alias("__e")).agg(F.count("*").alias("__n"))
-    totals = per_email.groupBy("file").agg(
+    ensure_checkpoint_dir(normalised.sparkSession)
+    shown = F.struct("line", F.substring("raw", 1, shown_chars).alias("raw"), F.col("reject_reason").alias("reason"))
+    # Rows are parsed once: addresses collapse, rejected lines stay, and both counts and errors are taken from that.
+    groups = (
+        normalised.groupBy("file", F.when(ok, F.col("email")).alias("__e"), F.when(~ok, shown).alias("__error"))
+        .agg(F.count("*").alias("__n"))
+        .checkpoint(eager=True)
+    )
+    totals = groups.groupBy("file").agg(
         F.sum("__n").alias("total_rows"),
         F.count("__e").alias("valid"),
         F.coalesce(F.sum(F.when(F.col("__e").isNull(), F.col("__n"))), F.lit(0)).alias("invalid"),
         F.coalesce(F.sum(F.when(F.col("__e").isNotNull(), F.col("__n") - 1)), F.lit(0)).alias("duplicates"),
     )
-    w = Window.partitionBy("file").orderBy("line")
+    w = Window.partitionBy("file").orderBy("__error.line")
+    # The ten smallest lines per file are kept per task; a line given twice is shown twice.
     errors = (
-        normalised.where(~ok)
-        .select("file", "line", F.substring("raw", 1, shown_chars).alias("raw"), F.col("reject_reason").alias("reason"))
+        groups.where(F.col("__error").isNotNull())
+        .select("file", F.explode(F.array_repeat("__error", F.least("__n", F.lit(max_errors)).cast("int"))).alias("__error"))
         .withColumn("__i", F.row_number().over(w))
         .where(F.col("__i") <= max_errors)
         .groupBy("file")
-        .agg(F.sort_array(F.collect_list(F.struct("line", "raw", "reason"))).alias("errors"))
+        .agg(F.sort_array(F.collect_list("__error")).alias("errors"))
     )
     return totals.join(errors, "file", "left")
 
@@ -299,7 +317,7 @@ def finish_import(rows: DataFrame, **options) -> ImportResult:
         "file", "line", F.when(F.length("raw_email") > 0, F.col("raw_email")).otherwise(F.col("raw")).alias("raw"),
         F.col("reject_reason").alias("reason"),
     )
-    return ImportResult(accepted, rejected, import_summary(normalised))
+    return ImportResult(accepted, rejected, normalised)
 
 
 def import_contacts_csv(spark: SparkSession, path: str, tlds: Iterable[str] | None = None, **options) -> ImportResult:

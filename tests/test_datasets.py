@@ -229,6 +229,22 @@ def test_site_crawl(spark):
             graph.checked_limits(*bad)
 
 
+def test_import_summary_parses_rows_once(spark):
+    values = ["E-Mail,Name", "a@acme.com,A", "A@acme.com,B", "none,C", "b@acme.com,D", *[f"bad{i},x" for i in range(12)]]
+    rows = [("f", i + 1, v) for i, v in enumerate(values)] + [("f", 4, "none,C"), ("g", 1, "c@acme.com")]
+    lines = spark.createDataFrame(rows, "file string, line long, value string")
+    parsed = imports.parse_lines(lines)
+    result = imports.finish_import(parsed)
+    got = {r.file: r for r in result.summary.collect()}
+    assert tuple(got["f"])[1:5] == (17, 2, 14, 1) and tuple(got["g"])[1:5] == (1, 1, 0, 0)
+    assert [(e.line, e.raw) for e in got["f"].errors] == [(4, "none,C"), (4, "none,C"), *[(i + 6, f"bad{i},x") for i in range(8)]]
+    assert got["g"].errors is None and result.accepted.count() == 3
+    # Counts and errors are taken from rows that are parsed already; lines are never the broadcast side.
+    assert "RLIKE" not in result.summary._jdf.queryExecution().sparkPlan().toString()
+    join = parsed._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in join and "SortMergeJoin" not in join
+
+
 def depths(seeds, edges):
     """Least number of links that cost 1, by relaxing every edge until nothing changes."""
     found = {s: 0 for s in seeds}
