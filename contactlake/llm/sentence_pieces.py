@@ -4,9 +4,11 @@ The model file is a protocol buffer; the few fields that matter are read here:
 pieces with scores and kinds, the model kind, and the normaliser.  From them a
 tokenizers pipeline is rebuilt: normaliser, metaspace marker, unigram scores or
 merges ranked by score, byte fallback.  Batches are encoded by the library's
-own threads.  Every text's ids are compared with those of the SentencePiece
-library and decoded by the rebuilt decoder; a text that this does not restore
-exactly is also compared with the library's decoding.
+own threads.  Where pieces are merged, texts are cut between characters that stand
+together in no piece and each different run of a batch is encoded once; no merge goes
+across such a cut, so these are the ids of the whole texts.  Every whole text's ids are
+compared with those of the SentencePiece library and decoded by the rebuilt decoder; a
+text that this does not restore exactly is also compared with the library's decoding.
 
 Scale: map-only; the model file (bounded by its vocabulary) is read on the driver
 and broadcast, so executors need no path.  Batches are bounded by characters, so
@@ -23,7 +25,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -39,6 +41,10 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 THREADS = 2
 BATCH_CHARS = 1 << 22
+# Keeps runs apart: the library takes no piece that holds this byte beside others.
+APART = 0
+# So many runs are encoded as one text.
+GROUP = 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -69,6 +75,16 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+@dataclass
+class Cuts:
+    """Where texts may be cut, by their UTF-8 bytes with blanks for markers."""
+
+    # Whether these bytes, one after the other, are in some piece or inside a character.
+    joins: np.ndarray
+    # Bytes that each id stands for.
+    sizes: np.ndarray
+
+
 @dataclass
 class Model:
     """What a model file says."""
@@ -137,6 +153,19 @@ class Model:
         texts = [t.replace(MARK, " ") for t in fused]
         return [t.removeprefix(" ") for t in texts] if self.dummy_prefix else texts
 
+    @cached_property
+    def cuts(self) -> Cuts | None:
+        """Where texts may be cut, if pieces are merged and each character is a piece or bytes: unknown ones are fused."""
+        whole = self.byte_fallback and sum(kind == BYTE for *_, kind in self.pieces) == 256
+        if not (self.plain and self.kind == BPE and whole):
+            return None
+        joins = np.zeros((256, 256), bool)
+        texts = [b"-" if kind == BYTE else piece.replace(MARK, " ").encode() for piece, _, kind in self.pieces]
+        for text in texts:
+            joins[list(text[:-1]), list(text[1:])] = True
+        joins[:, 0x80:0xC0] = True
+        return Cuts(joins, np.array([len(t) for t in texts]))
+
     def merges(self) -> list[tuple[str, str]]:
         """Pairs that make a piece, best score first; equal scores in order of ids."""
         usable = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER, UNUSED)}
@@ -189,7 +218,7 @@ def _restorer(model: Model, tok):
     if not any(piece == MARK and kind == NORMAL for piece, _, kind in model.pieces):
         return lambda ids: tok.decode_batch(ids, skip_special_tokens=False)
     fused = Tokenizer(tok.model)
-    fused.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
+    fused.decoder = decoders.ByteFallback()
     return lambda ids: model.unmarked(fused.decode_batch(ids, skip_special_tokens=False))
 
 
@@ -217,25 +246,73 @@ def _chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def _offsets(sizes) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def _whole_ids(tok, texts: list[str]) -> pa.ListArray:
+    """Ids per text, as the tokenizer wants them."""
+    ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    offsets = _offsets([len(i) for i in ids])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))))
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of texts that are no slice."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1)
+    return offsets, np.frombuffer(texts.buffers()[2], np.uint8, int(offsets[-1]))
+
+
+def _run_ids(cuts: Cuts, tok, runs: pa.Array) -> pa.ListArray:
+    """Ids per run.  Many are encoded as one text, with a byte between those that would merge; sizes tell them apart."""
+    offsets, data = _bytes(runs)
+    merging = np.flatnonzero(cuts.joins[data[offsets[1:-1] - 1], data[offsets[1:-1]]]) + 1
+    starts = offsets[:-1] + np.bincount(merging, minlength=len(runs)).cumsum()
+    spaced = np.insert(data, offsets[merging], APART).tobytes()
+    groups = [*starts[::GROUP].tolist(), len(spaced)]
+    texts = [spaced[a:b].decode().replace(" ", MARK) for a, b in zip(groups, groups[1:], strict=False)]
+    ids = _whole_ids(tok, texts).values.to_numpy()
+    ids = np.delete(ids, np.searchsorted(np.cumsum(cuts.sizes[ids]), starts[merging] - 1, side="right"))
+    at = np.searchsorted(_offsets(cuts.sizes[ids]), offsets).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(ids))
+
+
+def _ids(model: Model, tok, texts: list[str]) -> pa.ListArray:
+    """Ids per text."""
+    cuts = model.cuts
+    if cuts is None or not any(texts):
+        return _whole_ids(tok, model.marked(texts))
+    prefix = " " if model.dummy_prefix else ""
+    held = pa.array([prefix + t.replace(MARK, " ") if t else t for t in texts], pa.string())
+    offsets, data = _bytes(held)
+    cut = ~cuts.joins.ravel()[data[:-1].astype(np.uint16) << 8 | data[1:]]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    cut[inner - 1] = True
+    at = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(data)]]).astype(np.int32)
+    runs = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), held.buffers()[2]]).dictionary_encode()
+    ids = _run_ids(cuts, tok, runs.dictionary).take(runs.indices)
+    return pa.ListArray.from_arrays(ids.offsets.take(pa.array(np.searchsorted(at, offsets))), ids.values)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], model, threads: int, verify: bool) -> Iterator[pa.RecordBatch]:
     model, tok, restore, reference = _backends(model.value, threads)
+    # Lists of ids share these numbers.
+    numbers = np.arange(len(model.pieces)).astype(object)
     for batch in batches:
         texts = batch.column("__text").to_pylist()
         keep = [n for n in batch.schema.names if n != "__text"]
         for start, stop in _chunks(texts, BATCH_CHARS):
             part = texts[start:stop]
-            ids = [e.ids for e in tok.encode_batch_fast(model.marked(part), add_special_tokens=False)]
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-            columns = [batch.column(n).slice(start, stop - start) for n in keep]
-            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+            encoded = _ids(model, tok, part)
+            columns = [*[batch.column(n).slice(start, stop - start) for n in keep], encoded]
             names = [*keep, "__ids"]
             if verify:
-                expected = reference.encode(part, num_threads=threads)
-                decoded = restore(ids)
+                ids = np.split(encoded.values.to_numpy(), encoded.offsets.to_numpy()[1:-1])
+                expected = reference.encode(part, num_threads=threads, return_type="numpy")
+                decoded = restore([numbers[i].tolist() for i in ids])
                 exact = [d == t for d, t in zip(decoded, part, strict=True)]
                 same = [
-                    a == b and (x or d == reference.decode(b))
+                    np.array_equal(a, b) and (x or d == reference.decode(b.tolist()))
                     for a, b, x, d in zip(ids, expected, exact, decoded, strict=True)
                 ]
                 digests = [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]

@@ -1,6 +1,7 @@
 """SentencePiece models: parity with the library, exact decoding, a unigram model made here."""
 
 import hashlib
+import random
 import struct
 
 import pytest
@@ -92,6 +93,53 @@ def test_texts_are_restored_as_by_pieces(data):
         assert tok.decode(spelled, skip_special_tokens=False) == reference.decode(spelled) == "▁"
 
 
+def merges_file(words, byte_fallback=True):
+    """A hand-written model of merges in the format of the library; earlier words merge first."""
+    pieces = [("<unk>", 0.0, P.UNKNOWN), ("<s>", 0.0, P.CONTROL), ("</s>", 0.0, P.CONTROL)]
+    if byte_fallback:
+        pieces += [(f"<0x{b:02X}>", 0.0, P.BYTE) for b in range(256)]
+    pieces += [(w, -1.0 - i, P.NORMAL) for i, w in enumerate(words)]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, k)) for p, s, k in pieces)
+    trainer = field(3, P.BPE) + field(4, len(pieces)) + field(35, int(byte_fallback)) + field(40, 0) + field(41, 1) + field(42, 2) + field(43, (1 << 64) - 1)
+    return data + field(2, trainer) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+
+
+# The second holds a piece that goes on across a marker, the last knows no bytes.
+WORDS = ["▁a", "ab", "▁▁", "bé", "▁ab", "a▁", "a▁b", "▁", "a", "b", "é", "."]
+CUT_MODELS = [(P.read_model(MODEL), True), (merges_file(WORDS), True), (merges_file(WORDS, byte_fallback=False), False)]
+
+
+@pytest.mark.parametrize("data, cut", CUT_MODELS)
+def test_cut_texts_have_the_ids_of_whole_texts(data, cut):
+    model, tok, _, reference = P._backends(data, 1)
+    assert (model.cuts is not None) == cut
+    draw = random.Random(5)
+    parts = ["a", "b", "ab", "é", " ", "  ", "\n", "▁", "日", "😀", "▂", "’", "—", "\x00", "\x01", ".", "the", "<0x41>", "</s>", "A"]
+    assert P._ids(model, tok, []).to_pylist() == [] and P._ids(model, tok, ["", ""]).to_pylist() == [[], []]
+    for size in (1, 3, 40, 3000):
+        for _ in range(10):
+            texts = ["".join(draw.choices(parts, k=draw.randint(0, size))) for _ in range(draw.choice([1, 5, 400 if size < 50 else 9]))]
+            ids = P._ids(model, tok, texts).to_pylist()
+            assert ids == [e.ids for e in tok.encode_batch_fast(model.marked(texts), add_special_tokens=False)]
+            assert not model.byte_fallback or ids == reference.encode(texts)
+
+
+def test_runs_of_a_batch_are_encoded_once():
+    model, tok, _, reference = P._backends(P.read_model(MODEL), 1)
+    seen = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kwargs):
+            seen.extend(texts)
+            return tok.encode_batch_fast(texts, **kwargs)
+
+    draw = random.Random(6)
+    words = ["".join(draw.choices("etaoinshrdlu", k=draw.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(draw.choices(words, k=400)) + ".\nEnd" for _ in range(200)]
+    assert P._ids(model, Counting(), texts).to_pylist() == reference.encode(texts)
+    assert sum(map(len, seen)) < sum(map(len, texts)) / 50
+
+
 def test_chunks_are_bounded():
     assert list(P._chunks(["a" * 5, "b" * 6, "c", "d" * 30, ""], 10)) == [(0, 1), (1, 3), (3, 4), (4, 5)]
     assert list(P._chunks([], 10)) == []
