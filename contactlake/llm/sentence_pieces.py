@@ -11,8 +11,9 @@ compared with those of the SentencePiece library and decoded by the rebuilt deco
 text that this does not restore exactly is also compared with the library's decoding.
 
 Scale: map-only; the model file (bounded by its vocabulary) is read on the driver
-and broadcast, so executors need no path.  Batches are bounded by characters, so
-memory does not depend on the number of rows; one long text is one batch.
+and broadcast, so executors need no path.  A worker takes few rows of a batch at a
+time, and of these few characters, so its memory does not depend on the number of
+rows; one long text is taken alone.  A text that is kept goes to the worker once.
 
 Nulls: a null text is empty and gives no ids; null and repeated ids pass
 through.  An empty table gives no rows.
@@ -26,7 +27,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache, partial
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 THREADS = 2
-BATCH_CHARS = 1 << 22
+# So many rows are taken at a time; of these, runs of so many characters are told apart at a time, and so many
+# characters go through a tokenizer or decoder and are handed on.
+SLICE_ROWS = 1024
+BATCH_CHARS = 1 << 21
+PART_CHARS = 1 << 18
 # Keeps runs apart: the library takes no piece that holds this byte beside others.
 APART = 0
 # So many runs are encoded as one text.
@@ -234,6 +239,13 @@ def _backends(data: bytes, threads: int):
     return model, tok, _restorer(model, tok), sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, ``SLICE_ROWS`` at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def _chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts with at most ``limit`` characters, or one text."""
     start = held = 0
@@ -251,10 +263,13 @@ def _offsets(sizes) -> np.ndarray:
 
 
 def _whole_ids(tok, texts: list[str]) -> pa.ListArray:
-    """Ids per text, as the tokenizer wants them."""
-    ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    offsets = _offsets([len(i) for i in ids])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))))
+    """Ids per text, as the tokenizer wants them.  What it returns is large, so it gets a part at a time."""
+    sizes, values = [], [np.empty(0, np.int32)]
+    for start, stop in _chunks(texts, PART_CHARS):
+        ids = [e.ids for e in tok.encode_batch_fast(texts[start:stop], add_special_tokens=False)]
+        sizes += map(len, ids)
+        values.append(np.fromiter(chain.from_iterable(ids), np.int32))
+    return pa.ListArray.from_arrays(pa.array(_offsets(sizes)), pa.array(np.concatenate(values)))
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -294,31 +309,33 @@ def _ids(model: Model, tok, texts: list[str]) -> pa.ListArray:
     return pa.ListArray.from_arrays(ids.offsets.take(pa.array(np.searchsorted(at, offsets))), ids.values)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], model, threads: int, verify: bool) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], model, threads: int, verify: bool, text: str) -> Iterator[pa.RecordBatch]:
     model, tok, restore, reference = _backends(model.value, threads)
     # Lists of ids share these numbers.
     numbers = np.arange(len(model.pieces)).astype(object)
-    for batch in batches:
-        texts = batch.column("__text").to_pylist()
-        keep = [n for n in batch.schema.names if n != "__text"]
+    for rows in _slices(batches):
+        texts = [t or "" for t in rows.column(text).to_pylist()]
+        keep = [n for n in rows.schema.names if n != "__text"]
         for start, stop in _chunks(texts, BATCH_CHARS):
-            part = texts[start:stop]
-            encoded = _ids(model, tok, part)
-            columns = [*[batch.column(n).slice(start, stop - start) for n in keep], encoded]
-            names = [*keep, "__ids"]
-            if verify:
-                ids = np.split(encoded.values.to_numpy(), encoded.offsets.to_numpy()[1:-1])
-                expected = reference.encode(part, num_threads=threads, return_type="numpy")
-                decoded = restore([numbers[i].tolist() for i in ids])
-                exact = [d == t for d, t in zip(decoded, part, strict=True)]
-                same = [
-                    np.array_equal(a, b) and (x or d == reference.decode(b.tolist()))
-                    for a, b, x, d in zip(ids, expected, exact, decoded, strict=True)
-                ]
-                digests = [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]
-                columns += [pa.array(same, pa.bool_()), pa.array(exact, pa.bool_()), pa.array(digests, pa.string())]
-                names += ["__parity", "__lossless", "__decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            encoded = _ids(model, tok, texts[start:stop])
+            values, offsets = encoded.values.to_numpy(), encoded.offsets.to_numpy()
+            for a, b in _chunks(texts[start:stop], PART_CHARS):
+                columns = [*[rows.column(n).slice(start + a, b - a) for n in keep], encoded.slice(a, b - a)]
+                names = [*keep, "__ids"]
+                if verify:
+                    part = texts[start + a : start + b]
+                    ids = [values[x:y] for x, y in pairwise(offsets[a : b + 1])]
+                    expected = reference.encode(part, num_threads=threads, return_type="numpy")
+                    decoded = restore([numbers[i].tolist() for i in ids])
+                    exact = [d == t for d, t in zip(decoded, part, strict=True)]
+                    same = [
+                        np.array_equal(x, y) and (e or d == reference.decode(y.tolist()))
+                        for x, y, e, d in zip(ids, expected, exact, decoded, strict=True)
+                    ]
+                    digests = [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]
+                    columns += [pa.array(same, pa.bool_()), pa.array(exact, pa.bool_()), pa.array(digests, pa.string())]
+                    names += ["__parity", "__lossless", "__decoded_sha256"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def read_model(path: str) -> bytes:
@@ -337,9 +354,11 @@ def encode(
     """
     held = Guarded(docs)
     keep = list(docs.columns) if keep is None else keep
-    rows = held.rows.select(
-        *[held.col(c) for c in dict.fromkeys(keep)], whole_text(held.col(text_col)).alias("__text")
-    )
+    rows = held.rows.select(*[held.col(c) for c in dict.fromkeys(keep)])
+    text = held.name(text_col)
+    if text_col not in keep or held.rows.schema[text].dataType != T.StringType():
+        text = "__text"
+        rows = held.rows.select(*rows.columns, whole_text(held.col(text_col)).alias(text))
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     checks = [("__parity", T.BooleanType()), ("__lossless", T.BooleanType()), ("__decoded_sha256", T.StringType())]
     checks = checks if verify else []
@@ -347,7 +366,7 @@ def encode(
         [f for f in rows.schema.fields if f.name != "__text"]
         + [T.StructField("__ids", T.ArrayType(T.IntegerType()))] + [T.StructField(*check) for check in checks]
     )
-    out = rows.mapInArrow(partial(_encode, model=model, threads=threads, verify=verify), schema)
+    out = rows.mapInArrow(partial(_encode, model=model, threads=threads, verify=verify, text=text), schema)
     added = {"input_ids": F.col("__ids"), "n_tokens": F.size("__ids").cast("long")}
     added |= {name.removeprefix("__"): F.col(name) for name, _ in checks}
     return out.select(*[held.col(c).alias(c) for c in dict.fromkeys(keep) if c not in added], *[c.alias(n) for n, c in added.items()])

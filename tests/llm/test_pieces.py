@@ -3,7 +3,9 @@
 import hashlib
 import random
 import struct
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -143,3 +145,28 @@ def test_runs_of_a_batch_are_encoded_once():
 def test_chunks_are_bounded():
     assert list(P._chunks(["a" * 5, "b" * 6, "c", "d" * 30, ""], 10)) == [(0, 1), (1, 3), (3, 4), (4, 5)]
     assert list(P._chunks([], 10)) == []
+
+
+def test_workers_take_few_characters_at_a_time():
+    data = P.read_model(MODEL)
+    texts = [*["some words " * 9000] * 40, None, "", *["short text"] * 3000, "one long text " * 30000, *TEXTS]
+    batch = pa.record_batch({"text": pa.array(texts, pa.string()), "n": pa.array(range(len(texts)))})
+    out = list(P._encode(iter([batch, batch.slice(0, 0)]), SimpleNamespace(value=data), 1, True, "text"))
+    sizes = [sum(len(t or "") for t in b.column("text").to_pylist()) for b in out]
+    assert all(size <= 1 << 18 or b.num_rows == 1 for size, b in zip(sizes, out)) and max(b.num_rows for b in out) <= 1024
+    rows = pa.Table.from_batches(out).to_pylist()
+    reference = sentencepiece.SentencePieceProcessor(model_proto=data)
+    assert [(r["n"], r["text"]) for r in rows] == list(enumerate(texts))
+    assert [r["__ids"] for r in rows] == reference.encode([t or "" for t in texts]) and all(r["__parity"] for r in rows)
+
+
+def test_kept_texts_go_to_workers_once(make_docs, odd_rows):
+    docs = make_docs(odd_rows)
+    kept = P.encode(docs, MODEL)
+    assert "__text" not in kept._jdf.queryExecution().toString()
+    apart = P.encode(docs.withColumn("text", F.col("text").cast("binary")), MODEL, keep=["doc_id"])
+    binary = P.encode(docs.withColumn("text", F.col("text").cast("binary")), MODEL)
+    key = ["doc_id", "n_tokens", "decoded_sha256", "parity", "lossless"]
+    want = sorted(map(str, kept.select(key).collect()))
+    assert want == sorted(map(str, apart.select(key).collect())) == sorted(map(str, binary.select(key).collect()))
+    assert [r.text for r in kept.orderBy("doc_id", "text").collect()] == [r.text for r in docs.orderBy("doc_id", "text").collect()]
